@@ -9,7 +9,7 @@ statistics and the merge of the shards' top k is exact.
 
 Queries are a stated set; they meet the shards in blocks of about `BLOCK_TERMS`
 terms, the size of what is broadcast. In a shard, for each query:
-  * lists are split as WAND does: those of terms in more than one of `DENSE`
+  * lists are split as WAND does: those of terms in more than one in `DENSE`
     documents have a small bound for their length and can't make a document a
     result alone; the others are essential and are summed at once;
   * block maxima of the long lists over `WINDOW` documents, weighted and added,
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import hash_spans, materialize, pack, ranges, shared_path, small_batches, text_slices, unpack, word_spans
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK_TERMS, DENSE, WINDOW, SLACK = 12 << 20, 1_500_000, 24, 32, 1e-5
+SHARD, BLOCK_TERMS, DENSE, WINDOW, SLACK = 12 << 20, 900_000, 6, 8, 1e-5
 
 
 def _terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,15 +1,159 @@
-"""All registered queries of the reference operators, with SQL for DuckDB."""
+"""All registered queries of the graph and history operators, with SQL for DuckDB where SQL expresses them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .fixtures import GRAPH_SQL, HISTORY_SQL, code_graph, history
+from .functions import predicates, search
+from .model import Graph
+from .operators import cohesion, cycles, deadcode, dsm, explore, metrics, rules
+from .operators import history as mining
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _graph(name: str, build: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = lambda spark, d: build(code_graph(spark, d))
+    if sql:
+        _SQL[name] = GRAPH_SQL + (sql if sql.startswith(",") else " " + sql)
+
+
+def _history(name: str, build: Callable[..., DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = lambda spark, d: build(*history(spark, d))
+    if sql:
+        _SQL[name] = HISTORY_SQL + (sql if sql.startswith(",") else " " + sql)
+
+
+def _classes(g: Graph, most: int = 20) -> DataFrame:
+    """A selection as a user would make it: the classes of the first parts."""
+    return g.elements.where(F.col("id").isin(*[f"C:{k}" for k in range(most + 1)])).select("id")
+
+
+def _members(g: Graph, most: int = 20) -> DataFrame:
+    return g.elements.where(F.col("parent_id").isin(*[f"C:{k}" for k in range(most + 1)])).select("id")
+
+
+_PICK = ", pick AS (SELECT id FROM elements WHERE element_type = 'Class' AND CAST(substr(id, 3) AS BIGINT) <= 20)"
+_PICK_M = ", pick AS (SELECT m.id FROM elements m JOIN elements c ON c.id = m.parent_id WHERE c.element_type = 'Class' AND CAST(substr(c.id, 3) AS BIGINT) <= 20)"
+_SUB = ", sub AS (SELECT DISTINCT c.id FROM closure c JOIN pick p ON p.id = c.root)"
+_EDGE = "r.source_id, r.target_id, r.type, r.attributes"
+
+# projections, filters, search
+_graph("fan_in_out", metrics.fans, "SELECT t.id, t.full_name, (SELECT count(*) FROM type_edges WHERE dst = t.id) AS fan_in, (SELECT count(*) FROM type_edges WHERE src = t.id) AS fan_out FROM own_types t")
+_graph("element_degree", metrics.degrees, "SELECT e.id, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM elements e LEFT JOIN (SELECT target_id, count(*) AS n FROM relationships GROUP BY 1) i ON i.target_id = e.id LEFT JOIN (SELECT source_id, count(*) AS n FROM relationships GROUP BY 1) o ON o.source_id = e.id")
+_graph("summarize_by_kind", metrics.summarize, "SELECT element_type, count(*) AS elements FROM elements GROUP BY 1")
+_graph("search_negation", lambda g: g.elements.where(search.compile_search("-steel brand#1 type:class | copper type:namespace")).select("id", "full_name"), "SELECT id, full_name FROM elements WHERE (NOT contains(lower(full_name), 'steel') AND contains(lower(full_name), 'brand#1') AND element_type = 'Class') OR (contains(lower(full_name), 'copper') AND element_type = 'Namespace')")
+_graph("search_camel_hump", lambda g: g.elements.where(search.compile_search("Brand#1 source:intern")).select("id"), "SELECT id FROM elements WHERE regexp_matches(full_name, 'Brand#1') AND NOT is_external")
+_graph("search_generated", lambda g: g.elements.where(search.compile_search("source:generated | source:extern type:class", "name")).select("id"), "SELECT id FROM elements WHERE is_generated OR (is_external AND element_type = 'Class')")
+_graph("search_unknown_kind", lambda g: g.elements.where(search.compile_search("type:nonsense")).select("id"), "SELECT id FROM elements WHERE element_type = 'Other'")
+_graph("search_ranked", lambda g: search.ranked(g.elements.where(search.compile_search("p1")), 200).select("id", "full_name"), "SELECT id, full_name FROM elements WHERE contains(lower(full_name), 'p1') ORDER BY is_external, CASE element_type WHEN 'Assembly' THEN 0 WHEN 'Namespace' THEN 1 WHEN 'Class' THEN 2 ELSE 5 END, full_name, id LIMIT 200")
+_graph("tree_search", lambda g: explore.tree_search(g, search.compile_search("s1 type:method", "name", negation=False)), "SELECT DISTINCT c.root AS id FROM closure c JOIN elements e ON e.id = c.id WHERE contains(lower(e.name), 's1') AND e.element_type = 'Method'")
+_graph("hide_filter", lambda g: g.relationships.where(~F.col("type").isin("Handles", "Inherits")).select("source_id", "target_id", "type"), "SELECT source_id, target_id, type FROM relationships WHERE type NOT IN ('Handles', 'Inherits')")
+_graph("complexity_rating", lambda g: g.metrics.select("element_id", predicates.rating(F.col("cyclomatic_complexity"), 2, 5).alias("rating")), "SELECT element_id, CASE WHEN cyclomatic_complexity <= 2 THEN 'Good' WHEN cyclomatic_complexity <= 5 THEN 'Warning' ELSE 'Bad' END AS rating FROM metrics")
+_graph("flag_rendering", lambda g: g.relationships.select("source_id", "target_id", "type", predicates.flag_names(F.col("attributes")).alias("flags")), "SELECT source_id, target_id, type, CASE WHEN attributes = 0 THEN '' ELSE '[' || concat_ws(', ', CASE WHEN attributes & 2 <> 0 THEN 'IsStaticCall' END, CASE WHEN attributes & 8 <> 0 THEN 'IsInstanceCall' END, CASE WHEN attributes & 64 <> 0 THEN 'EventRegistration' END, CASE WHEN attributes & 128 <> 0 THEN 'EventUnregistration' END) || ']' END AS flags FROM relationships")
+
+# graph algebra
+_graph("find_parents", lambda g: explore.find_parents(g, _members(g)), _PICK_M + " SELECT DISTINCT parent_id AS id FROM elements WHERE id IN (SELECT id FROM pick) AND parent_id IS NOT NULL")
+_graph("outgoing_calls", lambda g: explore.outgoing(g, _members(g, 200), ("Calls",)), _PICK_M.replace("<= 20", "<= 200") + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.source_id WHERE r.type = 'Calls'")
+_graph("incoming_relationships", lambda g: explore.incoming(g, _members(g)), _PICK_M + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.target_id")
+_graph("neighbours", lambda g: explore.neighbours(g, _members(g)), _PICK_M + f" SELECT DISTINCT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM pick) OR r.target_id IN (SELECT id FROM pick)")
+_graph("outgoing_deep", lambda g: explore.outgoing_deep(g, _classes(g)), _PICK + _SUB + f" SELECT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM sub) AND r.target_id NOT IN (SELECT id FROM sub)")
+_graph("incoming_deep", lambda g: explore.incoming_deep(g, _classes(g)), _PICK + _SUB + f" SELECT {_EDGE} FROM relationships r WHERE r.target_id IN (SELECT id FROM sub) AND r.source_id NOT IN (SELECT id FROM sub)")
+_graph("induced_edges", lambda g: explore.induced(g, g.elements.where("access_level = 'Public'").select("id")), f"SELECT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM elements WHERE access_level = 'Public') AND r.target_id IN (SELECT id FROM elements WHERE access_level = 'Public')")
+_graph("relationships_between_roots", lambda g: explore.relationships_between_roots(g, g.elements.where("element_type = 'Assembly'").select("id")), f", sub AS (SELECT root, id FROM closure WHERE root LIKE 'T:%') SELECT DISTINCT {_EDGE} FROM relationships r JOIN sub s ON s.id = r.source_id JOIN sub t ON t.id = r.target_id WHERE s.root <> t.root")
+_graph("specializations", lambda g: explore.specializations(g, _classes(g)), _PICK + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.target_id WHERE r.type IN ('Inherits', 'Implements', 'Overrides')")
+_graph("abstractions", lambda g: explore.abstractions(g, _classes(g, 200)), _PICK.replace("<= 20", "<= 200") + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.source_id WHERE r.type IN ('Inherits', 'Implements', 'Overrides')")
+_graph("missing_types", lambda g: explore.missing_types(g, _members(g)), _PICK_M + " SELECT DISTINCT parent_id AS id FROM elements WHERE id IN (SELECT id FROM pick)")
+_graph("hierarchy_gaps", lambda g: explore.hierarchy_gaps(g, _members(g).unionByName(g.elements.where("element_type = 'Assembly'").select("id"))), _PICK_M + ", known AS (SELECT id FROM pick UNION SELECT id FROM elements WHERE element_type = 'Assembly') SELECT DISTINCT c.root AS id FROM closure c JOIN pick p ON p.id = c.id WHERE c.root NOT IN (SELECT id FROM known)")
+_graph("subgraph_elements", lambda g: explore.subgraph(g, _members(g).unionByName(_classes(g, 10))).elements.select("id", "parent_id"), _PICK_M + ", kept AS (SELECT id FROM pick UNION SELECT id FROM elements WHERE element_type = 'Class' AND CAST(substr(id, 3) AS BIGINT) <= 10) SELECT id, CASE WHEN parent_id IN (SELECT id FROM kept) THEN parent_id END AS parent_id FROM elements WHERE id IN (SELECT id FROM kept)")
+_graph("focus_crossing", lambda g: explore.focus_crossing(g, _classes(g))[1], _PICK + _SUB + ", crossing AS (SELECT source_id, target_id FROM relationships WHERE source_id IN (SELECT id FROM sub) AND target_id NOT IN (SELECT id FROM sub)) SELECT DISTINCT c.root AS id FROM closure c WHERE c.id IN (SELECT source_id FROM crossing UNION SELECT target_id FROM crossing)")
+_graph("subtree", lambda g: g.subtree(_classes(g)), _PICK + " SELECT c.root, c.id FROM closure c JOIN pick p ON p.id = c.root")
+_graph("type_edges", lambda g: g.type_edges, "SELECT src, dst FROM type_edges")
+_graph("assembly_edges", lambda g: g.assembly_edges, ", top AS (SELECT root, id FROM closure WHERE root LIKE 'T:%') SELECT DISTINCT s.root AS src, t.root AS dst FROM deps d JOIN top s ON s.id = d.source_id JOIN top t ON t.id = d.target_id WHERE s.root <> t.root")
+_graph("bundled_edges", lambda g: explore.bundled_edges(g, g.elements.where("element_type = 'Namespace'").select("id")), ", near AS (SELECT root, id FROM closure WHERE root LIKE 'N:%') SELECT s.root AS source_id, t.root AS target_id, count(*) AS edges, CASE WHEN count(DISTINCT r.type) = 1 THEN min(r.type) ELSE 'Bundled' END AS type FROM relationships r JOIN near s ON s.id = r.source_id JOIN near t ON t.id = r.target_id WHERE s.root <> t.root GROUP BY 1, 2")
+_graph("dead_ends", lambda g: g.relationships.join(g.elements.select(F.col("id").alias("target_id")), "target_id", "left_anti").select("source_id", "target_id", "type"), "SELECT source_id, target_id, type FROM relationships WHERE target_id NOT IN (SELECT id FROM elements)")
+
+# aggregates
+_graph("languages", metrics.languages, "SELECT CASE WHEN file LIKE '%.cs' THEN 'C#' ELSE 'Python' END AS language, count(DISTINCT lower(file)) AS files FROM elements WHERE file IS NOT NULL GROUP BY 1")
+_graph("source_root", metrics.source_root, "SELECT 'src' AS root")
+_graph("event_imbalances", metrics.event_imbalances, "SELECT source_id, target_id, attributes FROM relationships WHERE type = 'Handles' AND attributes & 192 <> 192")
+_graph("method_complexity", metrics.method_complexity, "SELECT element_id, full_name, cyclomatic_complexity, code_lines, comment_lines, CASE WHEN code_lines + comment_lines = 0 THEN 0.0::DOUBLE ELSE CAST(comment_lines AS DOUBLE) / (code_lines + comment_lines) END AS comment_ratio FROM metrics JOIN elements ON id = element_id")
+_graph("tangledness", lambda g: metrics.tangledness(g.type_edges, g.types.select(F.col("id").alias("node"), F.col("parent_id").alias("module"))).select(F.round("tangledness", 9).alias("tangledness")), """, module AS (SELECT id AS node, parent_id AS module FROM elements WHERE element_type = 'Class' AND NOT is_external), size AS (SELECT module, CAST(count(*) AS DOUBLE) AS n FROM module GROUP BY 1),
+block AS (SELECT a.module AS r, b.module AS s, count(*) AS filled FROM type_edges JOIN module a ON a.node = src JOIN module b ON b.node = dst GROUP BY 1, 2), slot AS (SELECT filled, CASE WHEN r = s THEN x.n * (x.n - 1) ELSE x.n * y.n END AS slots FROM block JOIN size x ON x.module = r JOIN size y ON y.module = s),
+cost AS (SELECT sum(CASE WHEN filled >= slots THEN 0 ELSE slots * (-(filled / slots) * log2(filled / slots) - (1 - filled / slots) * log2(1 - filled / slots)) END) AS cost, sum(filled) AS e FROM slot), whole AS (SELECT sum(n) * (sum(n) - 1) AS m FROM size)
+SELECT round(cost / (m * (-(e / m) * log2(e / m) - (1 - e / m) * log2(1 - e / m))), 9) AS tangledness FROM cost, whole""")
+
+# fixpoints
+_REACH = ", reach AS (SELECT src, dst FROM type_edges UNION SELECT r.src, e.dst FROM reach r JOIN type_edges e ON e.src = r.dst)"
+_graph("callers", lambda g: explore.callers(g, _classes(g, 200).select("id").unionByName(_members(g, 200))).select("id"), _PICK_M.replace("<= 20", "<= 200") + ", up AS (SELECT r.source_id AS id FROM relationships r JOIN pick ON pick.id = r.target_id WHERE r.type = 'Calls' UNION SELECT r.source_id FROM up JOIN relationships r ON r.target_id = up.id WHERE r.type = 'Calls') SELECT id FROM up")
+_graph("inheritance_tree", lambda g: explore.inheritance_tree(g, _classes(g)), _PICK + ", up AS (SELECT id AS origin, id FROM pick UNION SELECT up.origin, r.target_id FROM up JOIN relationships r ON r.source_id = up.id AND r.type IN ('Inherits', 'Implements')), down AS (SELECT id AS origin, id FROM pick UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements')) SELECT origin, id FROM up UNION SELECT origin, id FROM down")
+_graph("walk_inheritance", lambda g: explore.walk_inheritance(g, _classes(g), False).select("origin", "id"), _PICK + ", down AS (SELECT pick.id AS origin, r.source_id AS id FROM pick JOIN relationships r ON r.target_id = pick.id AND r.type IN ('Inherits', 'Implements', 'Overrides') UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT origin, id FROM down WHERE origin <> id")
+_graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, _classes(g)))
+_graph("paths_between", lambda g: explore.paths_between(g, _classes(g, 12), 5))
+_graph("follow_callers", lambda g: explore.follow_callers(g, _members(g, 5)))
+_graph("blast_radius", metrics.blast_radius, _REACH + " SELECT t.id, count(r.src) AS blast_radius FROM own_types t LEFT JOIN reach r ON r.dst = t.id AND r.src <> t.id GROUP BY t.id")
+_graph("type_cycles", metrics.components, _REACH + " SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
+_graph("page_rank", lambda g: metrics.type_ranks(g, most=20, tolerance=0.0).select("id", F.round("score", 6).alias("score")), """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types), outs AS (SELECT src, CAST(count(*) AS DOUBLE) AS k FROM type_edges GROUP BY 1),
+""" + ",\n".join(f"r{k} AS (SELECT t.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (SELECT coalesce(sum(p.rank), 0) FROM {'r' + str(k - 1) if k > 1 else '(SELECT id, 1 / n AS rank FROM own_types, n)'} p LEFT JOIN outs o ON o.src = p.id WHERE o.k IS NULL) / n.n + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM own_types t CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(p.rank / o.k) AS given FROM type_edges e JOIN {'r' + str(k - 1) if k > 1 else '(SELECT id, 1 / n AS rank FROM own_types, n)'} p ON p.id = e.src JOIN outs o ON o.src = e.src GROUP BY 1) g ON g.dst = t.id)" for k in range(1, 21)) + " SELECT id, round(rank * n, 6) AS score FROM r20, n")
+_graph("feedback_edges", lambda g: metrics.feedback_edges(g.type_edges, metrics.components(g)))
+_graph("system_metrics", metrics.system_metrics)
+_graph("propagation_and_cyclicity", lambda g: metrics.system_metrics(g).select("types", "dependencies", F.round("propagation_cost", 9).alias("propagation_cost"), F.round("cyclicity", 9).alias("cyclicity")), _REACH + " SELECT (SELECT count(*) FROM own_types) AS types, (SELECT count(*) FROM type_edges) AS dependencies, round((SELECT count(*) FROM reach WHERE src <> dst) / (n * (n - 1)), 9) AS propagation_cost, round((SELECT count(*) FROM reach WHERE src = dst) / n, 9) AS cyclicity FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types)")
+_LIFT = """, own AS (SELECT * FROM elements WHERE NOT is_external), rel AS (SELECT DISTINCT source_id, target_id FROM relationships r JOIN elements a ON a.id = r.source_id JOIN elements b ON b.id = r.target_id WHERE NOT a.is_external AND NOT b.is_external AND r.type NOT IN ('Handles', 'Overrides')),
+anc AS (SELECT e.id, e.element_type, CASE e.element_type WHEN 'Method' THEN c.id WHEN 'Class' THEN e.id END AS k, CASE e.element_type WHEN 'Method' THEN n.id ELSE c.id END AS ns, CASE e.element_type WHEN 'Method' THEN n.parent_id ELSE c.parent_id END AS top FROM own e LEFT JOIN elements c ON c.id = e.parent_id LEFT JOIN elements n ON n.id = c.parent_id WHERE e.element_type IN ('Class', 'Method')),
+lifted AS (SELECT CASE WHEN s.top <> t.top THEN s.top WHEN s.ns <> t.ns THEN s.ns WHEN s.k <> t.k THEN s.k ELSE s.id END AS src, CASE WHEN s.top <> t.top THEN t.top WHEN s.ns <> t.ns THEN t.ns WHEN s.k <> t.k THEN t.k ELSE t.id END AS dst, r.source_id, r.target_id FROM rel r JOIN anc s ON s.id = r.source_id JOIN anc t ON t.id = r.target_id)"""
+_graph("search_graph", cycles.search_edges, _LIFT + " SELECT src, dst, source_id, target_id FROM lifted WHERE src <> dst OR src LIKE 'M:%'")
+_graph("cycle_groups", cycles.cycle_groups, _LIFT + ", step AS (SELECT DISTINCT src, dst FROM lifted WHERE src <> dst), reach AS (SELECT src, dst FROM step UNION SELECT r.src, e.dst FROM reach r JOIN step e ON e.src = r.dst) SELECT least(a.src, min(a.dst)) AS component, a.src AS id FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
+_graph("cycle_edges", cycles.cycle_edges)
+_graph("cycle_summary", cycles.cycle_summary)
+_graph("member_partitions", lambda g: cohesion.partitions(g, _classes(g)), _PICK + " SELECT parent_id AS type_id, id AS partition, id FROM elements WHERE parent_id IN (SELECT id FROM pick) AND NOT EXISTS (SELECT 1 FROM deps d JOIN elements a ON a.id = d.source_id JOIN elements b ON b.id = d.target_id WHERE a.parent_id = b.parent_id AND a.id <> b.id AND a.parent_id IN (SELECT id FROM pick))")
+_graph("type_cohesion", cohesion.type_cohesion)
+_graph("dead_code", deadcode.dead_code)
+_graph("dsm_weights", dsm.weights, ", up AS (SELECT e.id, e.id AS root FROM own_types e UNION ALL SELECT e.id, x.parent_id FROM own_types e JOIN elements x ON x.id = e.id UNION ALL SELECT e.id, n.parent_id FROM own_types e JOIN elements x ON x.id = e.id JOIN elements n ON n.id = x.parent_id) SELECT a.root AS consumer, b.root AS provider, count(*) AS weight FROM type_edges e JOIN up a ON a.id = e.src JOIN up b ON b.id = e.dst WHERE NOT EXISTS (SELECT 1 FROM up x WHERE x.id = e.dst AND x.root = a.root) AND NOT EXISTS (SELECT 1 FROM up x WHERE x.id = e.src AND x.root = b.root) GROUP BY 1, 2")
+_graph("dsm_relations", lambda g: dsm.relations_of(g, g.elements.where("element_type = 'Namespace'").select("id")), ", ns AS (SELECT c.root, c.id FROM closure c WHERE c.root LIKE 'N:%' AND c.id LIKE 'C:%') SELECT e.id AS root, (SELECT count(*) FROM type_edges x JOIN ns b ON b.id = x.dst JOIN ns a ON a.id = x.src WHERE b.root = e.id AND a.root <> e.id) AS ingoing, (SELECT count(*) FROM type_edges x JOIN ns b ON b.id = x.dst JOIN ns a ON a.id = x.src WHERE a.root = e.id AND b.root <> e.id) AS outgoing, (SELECT count(*) FROM type_edges x JOIN ns b ON b.id = x.dst JOIN ns a ON a.id = x.src WHERE a.root = e.id AND b.root = e.id) AS internal FROM elements e WHERE e.element_type = 'Namespace'")
+_graph("dsm_sibling_cycles", dsm.sibling_cycles)
+_graph("dsm_sibling_order", dsm.sibling_order)
+
+# rules
+_STEEL, _COPPER = "ECONOMY", "PROMO"
+
+
+def _denied(g: Graph) -> DataFrame:
+    return rules.evaluate(g, rules.parse(f"DENY {_STEEL}.** -> {_COPPER}.**\nALLOW {_STEEL}.Brand#11.** -> {_COPPER}.**")).violations
+
+
+_TREE = ", tree AS (SELECT r.full_name AS root, c.id FROM closure c JOIN elements r ON r.id = c.root)"
+_graph("rule_deny", _denied, _TREE + f" SELECT 'DENY {_STEEL}.** -> {_COPPER}.**' AS rule, d.source_id, d.target_id, d.type FROM deps d WHERE d.source_id IN (SELECT id FROM tree WHERE root = '{_STEEL}') AND d.target_id IN (SELECT id FROM tree WHERE root = '{_COPPER}') AND d.source_id NOT IN (SELECT id FROM tree WHERE root = '{_STEEL}.Brand#11')")
+_graph("rule_isolate", lambda g: rules.evaluate(g, rules.parse(f"ISOLATE {_STEEL}.**")).violations, _TREE + f" SELECT 'ISOLATE {_STEEL}.**' AS rule, d.source_id, d.target_id, d.type FROM deps d JOIN elements e ON e.id = d.target_id AND NOT e.is_external WHERE d.source_id IN (SELECT id FROM tree WHERE root = '{_STEEL}') AND d.target_id NOT IN (SELECT id FROM tree WHERE root = '{_STEEL}')")
+_graph("rule_restrict", lambda g: rules.evaluate(g, rules.parse(f"RESTRICT {_STEEL}.** -> {_COPPER}.**\nRESTRICT {_STEEL}.** -> SMALL.**")).violations, _TREE + f" SELECT 'RESTRICT {_STEEL}.** -> {_COPPER}.**; RESTRICT {_STEEL}.** -> SMALL.**' AS rule, d.source_id, d.target_id, d.type FROM deps d JOIN elements e ON e.id = d.target_id AND NOT e.is_external WHERE d.source_id IN (SELECT id FROM tree WHERE root = '{_STEEL}') AND d.target_id NOT IN (SELECT id FROM tree WHERE root IN ('{_STEEL}', '{_COPPER}', 'SMALL'))")
+_graph("rule_max_lines", lambda g: rules.evaluate(g, rules.parse("MAXLINES = 90")).elements, "SELECT 'MAXLINES = 90' AS rule, element_id AS id, code_lines AS value FROM metrics WHERE code_lines > 90")
+_graph("rule_no_cycles", lambda g: rules.evaluate(g, rules.parse(f"NOCYCLES {_STEEL}")).cycles)
+_graph("rule_fingerprints", lambda g: rules.fingerprints(_denied(g), g).select("source_id", "target_id", "type", "fingerprint"))
+
+# histories
+_history("artifacts", lambda s, i, f, c: mining.artifacts(s, i), "SELECT id, max(path) AS path, max(commits) AS commits, max(committers) AS committers, max(date) AS date FROM (SELECT i.id, i.path, i.kind, s.date, count(*) OVER (PARTITION BY i.id) AS commits, x.committers, row_number() OVER (PARTITION BY i.id ORDER BY s.date DESC, i.change_set_id DESC) AS n FROM items i JOIN sets s ON s.id = i.change_set_id JOIN (SELECT i.id, count(DISTINCT s.committer) AS committers FROM items i JOIN sets s ON s.id = i.change_set_id GROUP BY 1) x ON x.id = i.id) WHERE n = 1 AND kind & 32 = 0 GROUP BY id")
+_COUPLED = ", counts AS (SELECT k, count(*) AS n FROM rows GROUP BY 1), pairs AS (SELECT a.k AS item1, b.k AS item2, count(*) - 1 AS c FROM rows a JOIN rows b ON a.cs = b.cs AND a.k < b.k GROUP BY 1, 2) SELECT item1, item2, c AS couplings, round_even(100.0::DOUBLE * c / (x.n + y.n - c), 2) AS degree FROM pairs JOIN counts x ON x.k = item1 JOIN counts y ON y.k = item2"
+_history("change_couplings", lambda s, i, f, c: mining.change_couplings(i, 2, 1.0), ", rows AS (SELECT change_set_id AS cs, id AS k FROM items)" + _COUPLED + " WHERE c >= 2 AND round_even(100.0::DOUBLE * c / (x.n + y.n - c), 2) >= 1.0")
+_history("classified_couplings", lambda s, i, f, c: mining.classified_couplings(i, F.split("path", "/")[1]), ", rows AS (SELECT DISTINCT change_set_id AS cs, split_part(path, '/', 2) AS k FROM items)" + _COUPLED)
+_history("fractal_values", lambda s, i, f, c: mining.fractal_values(c).select("path", F.round("fractal", 9).alias("fractal")), "SELECT path, round(1 - sum(pow(CAST(lines AS DOUBLE) / total, 2)), 9) AS fractal FROM (SELECT path, lines, sum(lines) OVER (PARTITION BY path) AS total FROM contributions) GROUP BY path")
+_history("main_developers", lambda s, i, f, c: mining.main_developers(c), "SELECT path, developer, 100.0::DOUBLE * lines / total AS percent FROM (SELECT *, sum(lines) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY lines DESC, developer) AS n FROM contributions) WHERE n = 1")
+_history("contributions_by_alias", lambda s, i, f, c: mining.by_alias(c, c.select("developer").distinct().withColumn("alias", F.concat(F.lit("team"), F.col("developer").cast("long") % 7))), "SELECT path, 'team' || CAST(developer AS BIGINT) % 7 AS developer, CAST(sum(lines) AS BIGINT) AS lines FROM contributions GROUP BY 1, 2")
+_history("developers", lambda s, i, f, c: mining.developers(s, c), "SELECT committer AS developer FROM sets UNION SELECT developer FROM contributions")
+_history("hotspots", lambda s, i, f, c: mining.hotspots(mining.artifacts(s, i), f).select("path", "commits", "code", F.round("hotspot", 9).alias("hotspot")), ", latest AS (SELECT i.id, i.path, i.kind, count(*) OVER (PARTITION BY i.id) AS commits, row_number() OVER (PARTITION BY i.id ORDER BY s.date DESC, i.change_set_id DESC) AS n FROM items i JOIN sets s ON s.id = i.change_set_id), sized AS (SELECT l.path, l.commits, f.code FROM latest l JOIN files f ON f.id = l.id WHERE n = 1 AND kind & 32 = 0), r AS (SELECT min(commits) AS lc, max(commits) AS hc, min(code) AS ls, max(code) AS hs FROM sized) SELECT path, commits, CAST(code AS BIGINT) AS code, round(CAST(commits - lc AS DOUBLE) / nullif(hc - lc, 0) * (CAST(code - ls AS DOUBLE) / nullif(hs - ls, 0)), 9) AS hotspot FROM sized, r WHERE code >= 2 AND commits >= 2")
+_history("knowledge", lambda s, i, f, c: mining.knowledge(f, c), "SELECT f.path, CAST(code AS DOUBLE) AS area, coalesce(developer, '') AS colour FROM files f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY lines DESC, developer) AS n FROM contributions) c ON c.path = f.path AND n = 1 WHERE code >= 1")
+_history("area_roll_up", lambda s, i, f, c: mining.roll_up(f.select("path", F.col("code").cast("double").alias("area"))), "SELECT node, CAST(sum(code) AS DOUBLE) AS area, count(*) AS leaves FROM (SELECT path AS node, code FROM files UNION ALL SELECT split_part(path, '/', 1), code FROM files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), code FROM files) GROUP BY node")
+_history("normalized_weights", lambda s, i, f, c: mining.normalized_weights(f.select("path", F.col("code").alias("weight"))).select("path", F.round("percentile", 9).alias("percentile"), F.round("normalized", 9).alias("normalized")), "SELECT path, round((rank() OVER (ORDER BY code) - 1 + (count(*) OVER (PARTITION BY code) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1), 9) AS percentile, round(sqrt(CAST(code - min(code) OVER () AS DOUBLE) / (max(code) OVER () - min(code) OVER ())), 9) AS normalized FROM files")
+_history("cleaned_history", lambda s, i, f, c: mining.clean(i).select("change_set_id", "id"), "SELECT change_set_id, id FROM items WHERE id NOT IN (SELECT id FROM items WHERE kind & 32 <> 0)")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

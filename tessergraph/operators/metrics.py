@@ -86,12 +86,16 @@ def condensed(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 def blast_radius(g: Graph) -> DataFrame:
     """id and how many other types reach it. Cycles are condensed first: their members share what reaches them."""
+    if "blast" in g._kept:
+        return g._kept["blast"]
     named, edges = condensed(g)
     starts = named.select(F.col("component").alias("origin"), F.col("component").alias("node")).distinct()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     sizes = named.select(F.col("component").alias("node"), "size").distinct()
     above = reach(back, starts).join(sizes, "node").groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("above"))
-    return named.join(above, "component", "left").select(F.col("node").alias("id"), (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("blast_radius"))
+    counted = named.join(above, "component", "left").select(F.col("node").alias("id"), (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("blast_radius"))
+    g._kept["blast"] = materialize(counted, "blast-radius")
+    return g._kept["blast"]
 
 
 def feedback_order(edges: pd.DataFrame) -> list[str]:

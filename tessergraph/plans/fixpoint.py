@@ -62,10 +62,12 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
     return nodes.join(state.groupBy(u.alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have edges in and out; what goes can be in no cycle."""
+def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """Edges between nodes that have edges in and out, for some rounds; what goes can be in no cycle, and what stays is sorted out by colours."""
     n = edges.count()
-    while n:
+    for _ in range(rounds):
+        if not n:
+            break
         both = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
         kept = materialize(edges.join(both, edges["src"] == both["node"], "left_semi").join(both.withColumnRenamed("node", "other"), F.col("dst") == F.col("other"), "left_semi"), "scc-trim")
         discard(edges)

@@ -1,5 +1,5 @@
-"""Pieces shared by the operators of this subpackage: shared storage, word
-splitting and hashing over Arrow buffers, and connected components.
+"""Pieces shared by the operators of this subpackage: word splitting and hashing
+over Arrow buffers, and packing of arrays.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, the same
 definition in numpy (`word_spans`), in Spark SQL and in DuckDB (`WORD`).
@@ -7,14 +7,17 @@ definition in numpy (`word_spans`), in Spark SQL and in DuckDB (`WORD`).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from ..plans.fixpoint import connected_components as connected_components
+from ..plans.storage import discard as discard
+from ..plans.storage import materialize as materialize
+from ..plans.storage import shared_dir
 
 #: A word as a regular expression, for Java and for RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,36 +28,10 @@ _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.u
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none (as
-    in tests on one machine) a temporary one is set."""
-    name = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not name:
-        name = tempfile.mkdtemp(prefix="tessergraph-")
-        spark.conf.set("spark.checkpoint.dir", name)
-    return name.rstrip("/")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a frame made by `materialize` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows of an Arrow batch, and so the text a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -157,38 +134,3 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
         at += n * width
     return out
-
-
-def connected_components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
-    """(node, component) for every node of an undirected edge list; a component is named by its smallest node.
-
-    Alternates the large-star and small-star steps (Kiveris et al., 2014), each
-    an aggregation and a join whose large side AQE may split, until nothing
-    changes. Each round is cut by a shared table; the driver sees two numbers.
-    Self edges name a component of one node; null ends are dropped; an empty
-    edge list gives no rows.
-    """
-    u, v = F.col("u"), F.col("v")
-    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{label}-nodes")
-    state = materialize(pairs.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), f"{label}-edges")
-
-    def fingerprint(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
-
-    seen = fingerprint(state)
-    while seen[0]:
-        both = state.unionByName(state.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        following = materialize(small, f"{label}-edges")
-        now = fingerprint(following)
-        discard(state)
-        state = following
-        if now == seen:
-            break
-        seen = now
-    return nodes.join(state.groupBy(u.alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

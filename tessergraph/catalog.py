@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import GRAPH_SQL, HISTORY_SQL, code_graph, history
 from .functions import predicates, search
 from .model import Graph
-from .operators import cohesion, cycles, deadcode, dsm, explore, metrics, rules
+from .operators import cohesion, cycles, deadcode, dsm, explore, layout, metrics, rules
 from .operators import history as mining
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,7 @@ _graph("inheritance_tree", lambda g: explore.inheritance_tree(g, _classes(g)), _
 _graph("walk_inheritance", lambda g: explore.walk_inheritance(g, _classes(g), False).select("origin", "id"), _PICK + ", down AS (SELECT pick.id AS origin, r.source_id AS id FROM pick JOIN relationships r ON r.target_id = pick.id AND r.type IN ('Inherits', 'Implements', 'Overrides') UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT origin, id FROM down WHERE origin <> id")
 _graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, _classes(g)))
 _graph("paths_between", lambda g: explore.paths_between(g, _classes(g, 12), 5))
+_graph("path_chains", lambda g: explore.chains(explore.paths_between(g, _classes(g, 12), 5)))
 _graph("follow_callers", lambda g: explore.follow_callers(g, _members(g, 5)))
 _graph("blast_radius", metrics.blast_radius, _REACH + " SELECT t.id, count(r.src) AS blast_radius FROM own_types t LEFT JOIN reach r ON r.dst = t.id AND r.src <> t.id GROUP BY t.id")
 _graph("type_cycles", metrics.components, _REACH + " SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
@@ -150,6 +151,9 @@ _history("area_roll_up", lambda s, i, f, c: mining.roll_up(f.select("path", F.co
 _history("normalized_weights", lambda s, i, f, c: mining.normalized_weights(f.select("path", F.col("code").alias("weight"))).select("path", F.round("percentile", 9).alias("percentile"), F.round("normalized", 9).alias("normalized")), "SELECT path, round((rank() OVER (ORDER BY code) - 1 + (count(*) OVER (PARTITION BY code) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1), 9) AS percentile, round(sqrt(CAST(code - min(code) OVER () AS DOUBLE) / (max(code) OVER () - min(code) OVER ())), 9) AS normalized FROM files")
 _history("cleaned_history", lambda s, i, f, c: mining.clean(i).select("change_set_id", "id"), "SELECT change_set_id, id FROM items WHERE id NOT IN (SELECT id FROM items WHERE kind & 32 <> 0)")
 
+_history("treemap", lambda s, i, f, c: layout.treemap(mining.roll_up(f.select("path", F.col("code").cast("double").alias("area")))))
+_history("top_changed_range", lambda s, i, f, c: f.where(F.col("code").between(10, 20) & predicates.row_filter("Small 1", F.col("path"))).select("path", "code"), "SELECT path, code FROM files WHERE code BETWEEN 10 AND 20 AND contains(lower(path), 'small') AND contains(lower(path), '1')")
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

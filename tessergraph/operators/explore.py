@@ -244,3 +244,26 @@ def follow_callers(g: Graph, ids: DataFrame, most: int = 64) -> DataFrame:
             break
         work, seen = new, seen.unionByName(new)
     return seen.select("id").distinct()
+
+
+def chains(paths: DataFrame, most: int = 15) -> DataFrame:
+    """(a, b, chain) of the edges of shortest paths as whole chains of ids, of each pair the first `most` in order.
+
+    A level a round; a pair keeps no more than `most` open chains, each of which can be finished.
+    """
+    from pyspark.sql import Window
+
+    edges = materialize(paths.select("a", "b", "source_id", "target_id", "depth").distinct(), "chain-edges")
+    first = Window.partitionBy("a", "b").orderBy("chain")
+    keep = lambda df: df.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    longest = edges.groupBy("a", "b").agg(F.max("depth").alias("length"))
+    row = longest.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    open_ = keep(edges.where("depth = 1").select("a", "b", F.array("source_id", "target_id").alias("chain")))
+    out = None
+    for depth in range(1, row + 1):
+        open_ = materialize(open_, "chains")
+        done = open_.join(longest.where(F.col("length") == depth), ["a", "b"], "left_semi")
+        out = done if out is None else out.unionByName(done)
+        step = edges.where(F.col("depth") == depth + 1).select("a", "b", F.col("source_id").alias("end"), "target_id")
+        open_ = keep(open_.withColumn("end", F.element_at("chain", -1)).join(step, ["a", "b", "end"]).select("a", "b", F.concat("chain", F.array("target_id")).alias("chain")))
+    return open_ if out is None else out

@@ -155,6 +155,7 @@ def walk_inheritance(g: Graph, ids: DataFrame, upward: bool = True) -> DataFrame
 def paths_between(g: Graph, ids: DataFrame, most: int = 8) -> DataFrame:
     """All shortest chains of dependencies between each ordered pair of selected roots with disjoint subtrees: (a, b, source_id, target_id, depth).
 
+    The selection is a user's list, so its pairs are the question and few.
     All pairs advance in one loop, a level a round; a pair stops at the first
     level that meets its target. Going back along levels leaves the edges of
     shortest paths only.

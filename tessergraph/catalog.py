@@ -30,19 +30,19 @@ def _history(name: str, build: Callable[..., DataFrame], sql: str | None = None)
         _SQL[name] = HISTORY_SQL + (sql if sql.startswith(",") else " " + sql)
 
 
-def _classes(g: Graph, most: int = 20) -> DataFrame:
-    """A selection as a user would make it: the classes of the first parts."""
-    return g.elements.where(F.col("id").isin(*[f"C:{k}" for k in range(most + 1)])).select("id")
+def _of(g: Graph, *kinds: str) -> DataFrame:
+    """A selection of all elements of some kinds."""
+    return g.elements.where(F.col("element_type").isin(*kinds)).select("id")
 
 
-def _members(g: Graph, most: int = 20) -> DataFrame:
-    return g.elements.where(F.col("parent_id").isin(*[f"C:{k}" for k in range(most + 1)])).select("id")
+def _hidden(g: Graph) -> DataFrame:
+    """A selection with an inside and an outside: all internal classes."""
+    return g.elements.where("element_type = 'Class' and access_level = 'Internal'").select("id")
 
 
-_PICK = ", pick AS (SELECT id FROM elements WHERE element_type = 'Class' AND CAST(substr(id, 3) AS BIGINT) <= 20)"
-_PICK_M = ", pick AS (SELECT m.id FROM elements m JOIN elements c ON c.id = m.parent_id WHERE c.element_type = 'Class' AND CAST(substr(c.id, 3) AS BIGINT) <= 20)"
-_SUB = ", sub AS (SELECT DISTINCT c.id FROM closure c JOIN pick p ON p.id = c.root)"
+_HIDDEN = ", sub AS (SELECT DISTINCT c.id FROM closure c JOIN elements p ON p.id = c.root WHERE p.element_type = 'Class' AND p.access_level = 'Internal')"
 _EDGE = "r.source_id, r.target_id, r.type, r.attributes"
+_IN = lambda kind, column: f"{column} IN (SELECT id FROM elements WHERE element_type = '{kind}')"
 
 # projections, filters, search
 _graph("fan_in_out", metrics.fans, "SELECT t.id, t.full_name, (SELECT count(*) FROM type_edges WHERE dst = t.id) AS fan_in, (SELECT count(*) FROM type_edges WHERE src = t.id) AS fan_out FROM own_types t")
@@ -59,21 +59,21 @@ _graph("complexity_rating", lambda g: g.metrics.select("element_id", predicates.
 _graph("flag_rendering", lambda g: g.relationships.select("source_id", "target_id", "type", predicates.flag_names(F.col("attributes")).alias("flags")), "SELECT source_id, target_id, type, CASE WHEN attributes = 0 THEN '' ELSE '[' || concat_ws(', ', CASE WHEN attributes & 2 <> 0 THEN 'IsStaticCall' END, CASE WHEN attributes & 8 <> 0 THEN 'IsInstanceCall' END, CASE WHEN attributes & 64 <> 0 THEN 'EventRegistration' END, CASE WHEN attributes & 128 <> 0 THEN 'EventUnregistration' END) || ']' END AS flags FROM relationships")
 
 # graph algebra
-_graph("find_parents", lambda g: explore.find_parents(g, _members(g)), _PICK_M + " SELECT DISTINCT parent_id AS id FROM elements WHERE id IN (SELECT id FROM pick) AND parent_id IS NOT NULL")
-_graph("outgoing_calls", lambda g: explore.outgoing(g, _members(g, 200), ("Calls",)), _PICK_M.replace("<= 20", "<= 200") + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.source_id WHERE r.type = 'Calls'")
-_graph("incoming_relationships", lambda g: explore.incoming(g, _members(g)), _PICK_M + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.target_id")
-_graph("neighbours", lambda g: explore.neighbours(g, _members(g)), _PICK_M + f" SELECT DISTINCT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM pick) OR r.target_id IN (SELECT id FROM pick)")
-_graph("outgoing_deep", lambda g: explore.outgoing_deep(g, _classes(g)), _PICK + _SUB + f" SELECT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM sub) AND r.target_id NOT IN (SELECT id FROM sub)")
-_graph("incoming_deep", lambda g: explore.incoming_deep(g, _classes(g)), _PICK + _SUB + f" SELECT {_EDGE} FROM relationships r WHERE r.target_id IN (SELECT id FROM sub) AND r.source_id NOT IN (SELECT id FROM sub)")
+_graph("find_parents", lambda g: explore.find_parents(g, g.elements.select("id")), "SELECT DISTINCT parent_id AS id FROM elements WHERE parent_id IS NOT NULL")
+_graph("outgoing_calls", lambda g: explore.outgoing(g, _of(g, "Method"), ("Calls",)), f"SELECT {_EDGE} FROM relationships r WHERE r.type = 'Calls' AND {_IN('Method', 'r.source_id')}")
+_graph("incoming_relationships", lambda g: explore.incoming(g, _of(g, "Method")), f"SELECT {_EDGE} FROM relationships r WHERE {_IN('Method', 'r.target_id')}")
+_graph("neighbours", lambda g: explore.neighbours(g, _hidden(g)), f"SELECT DISTINCT {_EDGE} FROM relationships r JOIN elements e ON e.id IN (r.source_id, r.target_id) WHERE e.element_type = 'Class' AND e.access_level = 'Internal'")
+_graph("outgoing_deep", lambda g: explore.outgoing_deep(g, _hidden(g)), _HIDDEN + f" SELECT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM sub) AND r.target_id NOT IN (SELECT id FROM sub)")
+_graph("incoming_deep", lambda g: explore.incoming_deep(g, _hidden(g)), _HIDDEN + f" SELECT {_EDGE} FROM relationships r WHERE r.target_id IN (SELECT id FROM sub) AND r.source_id NOT IN (SELECT id FROM sub)")
 _graph("induced_edges", lambda g: explore.induced(g, g.elements.where("access_level = 'Public'").select("id")), f"SELECT {_EDGE} FROM relationships r WHERE r.source_id IN (SELECT id FROM elements WHERE access_level = 'Public') AND r.target_id IN (SELECT id FROM elements WHERE access_level = 'Public')")
 _graph("relationships_between_roots", lambda g: explore.relationships_between_roots(g, g.elements.where("element_type = 'Assembly'").select("id")), f", sub AS (SELECT root, id FROM closure WHERE root LIKE 'T:%') SELECT DISTINCT {_EDGE} FROM relationships r JOIN sub s ON s.id = r.source_id JOIN sub t ON t.id = r.target_id WHERE s.root <> t.root")
-_graph("specializations", lambda g: explore.specializations(g, _classes(g)), _PICK + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.target_id WHERE r.type IN ('Inherits', 'Implements', 'Overrides')")
-_graph("abstractions", lambda g: explore.abstractions(g, _classes(g, 200)), _PICK.replace("<= 20", "<= 200") + f" SELECT {_EDGE} FROM relationships r JOIN pick ON pick.id = r.source_id WHERE r.type IN ('Inherits', 'Implements', 'Overrides')")
-_graph("missing_types", lambda g: explore.missing_types(g, _members(g)), _PICK_M + " SELECT DISTINCT parent_id AS id FROM elements WHERE id IN (SELECT id FROM pick)")
-_graph("hierarchy_gaps", lambda g: explore.hierarchy_gaps(g, _members(g).unionByName(g.elements.where("element_type = 'Assembly'").select("id"))), _PICK_M + ", known AS (SELECT id FROM pick UNION SELECT id FROM elements WHERE element_type = 'Assembly') SELECT DISTINCT c.root AS id FROM closure c JOIN pick p ON p.id = c.id WHERE c.root NOT IN (SELECT id FROM known)")
-_graph("subgraph_elements", lambda g: explore.subgraph(g, _members(g).unionByName(_classes(g, 10))).elements.select("id", "parent_id"), _PICK_M + ", kept AS (SELECT id FROM pick UNION SELECT id FROM elements WHERE element_type = 'Class' AND CAST(substr(id, 3) AS BIGINT) <= 10) SELECT id, CASE WHEN parent_id IN (SELECT id FROM kept) THEN parent_id END AS parent_id FROM elements WHERE id IN (SELECT id FROM kept)")
-_graph("focus_crossing", lambda g: explore.focus_crossing(g, _classes(g))[1], _PICK + _SUB + ", crossing AS (SELECT source_id, target_id FROM relationships WHERE source_id IN (SELECT id FROM sub) AND target_id NOT IN (SELECT id FROM sub)) SELECT DISTINCT c.root AS id FROM closure c WHERE c.id IN (SELECT source_id FROM crossing UNION SELECT target_id FROM crossing)")
-_graph("subtree", lambda g: g.subtree(_classes(g)), _PICK + " SELECT c.root, c.id FROM closure c JOIN pick p ON p.id = c.root")
+_graph("specializations", lambda g: explore.specializations(g, _of(g, "Class")), f"SELECT {_EDGE} FROM relationships r WHERE r.type IN ('Inherits', 'Implements', 'Overrides') AND {_IN('Class', 'r.target_id')}")
+_graph("abstractions", lambda g: explore.abstractions(g, _of(g, "Class")), f"SELECT {_EDGE} FROM relationships r WHERE r.type IN ('Inherits', 'Implements', 'Overrides') AND {_IN('Class', 'r.source_id')}")
+_graph("missing_types", lambda g: explore.missing_types(g, _of(g, "Method")), "SELECT DISTINCT parent_id AS id FROM elements WHERE element_type = 'Method'")
+_graph("hierarchy_gaps", lambda g: explore.hierarchy_gaps(g, _of(g, "Method", "Assembly")), f"SELECT DISTINCT c.root AS id FROM closure c WHERE {_IN('Method', 'c.id')} AND NOT {_IN('Method', 'c.root')} AND NOT {_IN('Assembly', 'c.root')}")
+_graph("subgraph_elements", lambda g: explore.subgraph(g, _of(g, "Class", "Method")).elements.select("id", "parent_id"), "SELECT id, CASE WHEN element_type = 'Method' THEN parent_id END AS parent_id FROM elements WHERE element_type IN ('Class', 'Method')")
+_graph("focus_crossing", lambda g: explore.focus_crossing(g, _hidden(g))[1], _HIDDEN + ", crossing AS (SELECT source_id, target_id FROM relationships WHERE source_id IN (SELECT id FROM sub) AND target_id NOT IN (SELECT id FROM sub)) SELECT DISTINCT c.root AS id FROM closure c WHERE c.id IN (SELECT source_id FROM crossing UNION SELECT target_id FROM crossing)")
+_graph("subtree", lambda g: g.subtree(_of(g, "Class", "Namespace")), f"SELECT c.root, c.id FROM closure c WHERE {_IN('Class', 'c.root')} OR {_IN('Namespace', 'c.root')}")
 _graph("type_edges", lambda g: g.type_edges, "SELECT src, dst FROM type_edges")
 _graph("assembly_edges", lambda g: g.assembly_edges, ", top AS (SELECT root, id FROM closure WHERE root LIKE 'T:%') SELECT DISTINCT s.root AS src, t.root AS dst FROM deps d JOIN top s ON s.id = d.source_id JOIN top t ON t.id = d.target_id WHERE s.root <> t.root")
 _graph("bundled_edges", lambda g: explore.bundled_edges(g, g.elements.where("element_type = 'Namespace'").select("id")), ", near AS (SELECT root, id FROM closure WHERE root LIKE 'N:%') SELECT s.root AS source_id, t.root AS target_id, count(*) AS edges, CASE WHEN count(DISTINCT r.type) = 1 THEN min(r.type) ELSE 'Bundled' END AS type FROM relationships r JOIN near s ON s.id = r.source_id JOIN near t ON t.id = r.target_id WHERE s.root <> t.root GROUP BY 1, 2")
@@ -91,13 +91,13 @@ SELECT round(cost / (m * (-(e / m) * log2(e / m) - (1 - e / m) * log2(1 - e / m)
 
 # fixpoints
 _REACH = ", reach AS (SELECT src, dst FROM type_edges UNION SELECT r.src, e.dst FROM reach r JOIN type_edges e ON e.src = r.dst)"
-_graph("callers", lambda g: explore.callers(g, _classes(g, 200).select("id").unionByName(_members(g, 200))).select("id"), _PICK_M.replace("<= 20", "<= 200") + ", up AS (SELECT r.source_id AS id FROM relationships r JOIN pick ON pick.id = r.target_id WHERE r.type = 'Calls' UNION SELECT r.source_id FROM up JOIN relationships r ON r.target_id = up.id WHERE r.type = 'Calls') SELECT id FROM up")
-_graph("inheritance_tree", lambda g: explore.inheritance_tree(g, _classes(g)), _PICK + ", up AS (SELECT id AS origin, id FROM pick UNION SELECT up.origin, r.target_id FROM up JOIN relationships r ON r.source_id = up.id AND r.type IN ('Inherits', 'Implements')), down AS (SELECT id AS origin, id FROM pick UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements')) SELECT origin, id FROM up UNION SELECT origin, id FROM down")
-_graph("walk_inheritance", lambda g: explore.walk_inheritance(g, _classes(g), False).select("origin", "id"), _PICK + ", down AS (SELECT pick.id AS origin, r.source_id AS id FROM pick JOIN relationships r ON r.target_id = pick.id AND r.type IN ('Inherits', 'Implements', 'Overrides') UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT origin, id FROM down WHERE origin <> id")
-_graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, _classes(g)))
-_graph("paths_between", lambda g: explore.paths_between(g, _classes(g, 12), 5))
-_graph("path_chains", lambda g: explore.chains(explore.paths_between(g, _classes(g, 12), 5)))
-_graph("follow_callers", lambda g: explore.follow_callers(g, _members(g, 5)))
+_graph("callers", lambda g: explore.callers(g, g.elements.select("id")).select("id"), "SELECT DISTINCT source_id AS id FROM relationships WHERE type = 'Calls'")
+_graph("inheritance_tree", lambda g: explore.inheritance_tree(g, _of(g, "Class")), ", types AS (SELECT id FROM elements WHERE element_type = 'Class'), up AS (SELECT id AS origin, id FROM types UNION SELECT up.origin, r.target_id FROM up JOIN relationships r ON r.source_id = up.id AND r.type IN ('Inherits', 'Implements')), down AS (SELECT id AS origin, id FROM types UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements')) SELECT origin, id FROM up UNION SELECT origin, id FROM down")
+_graph("walk_inheritance", lambda g: explore.walk_inheritance(g, _of(g, "Class", "Method"), False).select("origin", "id"), ", down AS (SELECT r.target_id AS origin, r.source_id AS id FROM relationships r WHERE r.type IN ('Inherits', 'Implements', 'Overrides') UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT origin, id FROM down WHERE origin <> id")
+_graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, _of(g, "Class")), ", based AS (SELECT source_id AS container, target_id AS base FROM relationships WHERE type = 'Inherits') SELECT a.container, b.container AS id FROM based a JOIN based b ON b.base = a.base AND b.container <> a.container")
+_graph("paths_between", lambda g: explore.paths_between(g, _of(g, "Assembly"), 5))
+_graph("path_chains", lambda g: explore.chains(explore.paths_between(g, _of(g, "Assembly"), 5)))
+_graph("follow_callers", lambda g: explore.follow_callers(g, _of(g, "Method")))
 _graph("blast_radius", metrics.blast_radius, _REACH + " SELECT t.id, count(r.src) AS blast_radius FROM own_types t LEFT JOIN reach r ON r.dst = t.id AND r.src <> t.id GROUP BY t.id")
 _graph("type_cycles", metrics.components, _REACH + " SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
 _graph("page_rank", lambda g: metrics.type_ranks(g, most=20, tolerance=0.0).select("id", F.round("score", 6).alias("score")), """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types), outs AS (SELECT src, CAST(count(*) AS DOUBLE) AS k FROM type_edges GROUP BY 1),
@@ -112,7 +112,9 @@ _graph("search_graph", cycles.search_edges, _LIFT + " SELECT src, dst, source_id
 _graph("cycle_groups", cycles.cycle_groups, _LIFT + ", step AS (SELECT DISTINCT src, dst FROM lifted WHERE src <> dst), reach AS (SELECT src, dst FROM step UNION SELECT r.src, e.dst FROM reach r JOIN step e ON e.src = r.dst) SELECT least(a.src, min(a.dst)) AS component, a.src AS id FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
 _graph("cycle_edges", cycles.cycle_edges)
 _graph("cycle_summary", cycles.cycle_summary)
-_graph("member_partitions", lambda g: cohesion.partitions(g, _classes(g)), _PICK + " SELECT parent_id AS type_id, id AS partition, id FROM elements WHERE parent_id IN (SELECT id FROM pick) AND NOT EXISTS (SELECT 1 FROM deps d JOIN elements a ON a.id = d.source_id JOIN elements b ON b.id = d.target_id WHERE a.parent_id = b.parent_id AND a.id <> b.id AND a.parent_id IN (SELECT id FROM pick))")
+_graph("member_partitions", lambda g: cohesion.partitions(g, _of(g, "Class")), """, tie AS (SELECT d.source_id AS a, d.target_id AS b FROM deps d JOIN elements x ON x.id = d.source_id JOIN elements y ON y.id = d.target_id WHERE x.parent_id = y.parent_id AND x.element_type = 'Method' AND y.element_type = 'Method'),
+ties AS (SELECT a, b FROM tie UNION SELECT b, a FROM tie), reach AS (SELECT id AS a, id AS b FROM elements WHERE element_type = 'Method' UNION SELECT r.a, t.b FROM reach r JOIN ties t ON t.a = r.b)
+SELECT m.parent_id AS type_id, min(r.b) AS partition, m.id FROM elements m JOIN reach r ON r.a = m.id GROUP BY m.parent_id, m.id""")
 _graph("type_cohesion", cohesion.type_cohesion)
 _graph("dead_code", deadcode.dead_code)
 _graph("dsm_weights", dsm.weights, ", up AS (SELECT e.id, e.id AS root FROM own_types e UNION ALL SELECT e.id, x.parent_id FROM own_types e JOIN elements x ON x.id = e.id UNION ALL SELECT e.id, n.parent_id FROM own_types e JOIN elements x ON x.id = e.id JOIN elements n ON n.id = x.parent_id) SELECT a.root AS consumer, b.root AS provider, count(*) AS weight FROM type_edges e JOIN up a ON a.id = e.src JOIN up b ON b.id = e.dst WHERE NOT EXISTS (SELECT 1 FROM up x WHERE x.id = e.dst AND x.root = a.root) AND NOT EXISTS (SELECT 1 FROM up x WHERE x.id = e.src AND x.root = b.root) GROUP BY 1, 2")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import GRAPH_SQL, HISTORY_SQL, code_graph, history
 from .functions import predicates, search
 from .model import Graph
-from .operators import cohesion, cycles, deadcode, dsm, explore, layout, metrics, rules
+from .operators import cohesion, cycles, deadcode, dsm, explore, layout, matrix, metrics, rules
 from .operators import history as mining
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,19 @@ _graph("dsm_relations", lambda g: dsm.relations_of(g, g.elements.where("element_
 _graph("dsm_sibling_cycles", dsm.sibling_cycles)
 _graph("dsm_sibling_order", dsm.sibling_order)
 
+_UP = ", up AS (SELECT c.id, c.root FROM closure c JOIN own_types t ON t.id = c.id)"
+_graph("matrix_elements", matrix.matrix_elements, _UP + " SELECT id, name, element_type, parent_id AS parent FROM elements WHERE id IN (SELECT root FROM up)")
+_graph("matrix_metrics", matrix.matrix_metrics, _UP + """, size AS (SELECT c.root, count(*) AS elements FROM closure c JOIN (SELECT DISTINCT root AS id FROM up) k ON k.id = c.id GROUP BY 1),
+flow AS (SELECT root, count(*) FILTER (WHERE NOT s AND d) AS ingoing, count(*) FILTER (WHERE s AND NOT d) AS outgoing, count(*) FILTER (WHERE s AND d) AS internal FROM (SELECT u.root, e.src, e.dst, bool_or(u.id = e.src) AS s, bool_or(u.id = e.dst) AS d FROM type_edges e JOIN up u ON u.id IN (e.src, e.dst) GROUP BY 1, 2, 3) GROUP BY 1),
+near AS (SELECT DISTINCT a.root AS a, b.root AS b, x.parent_id FROM type_edges e JOIN up a ON a.id = e.src JOIN up b ON b.id = e.dst JOIN elements x ON x.id = a.root JOIN elements y ON y.id = b.root WHERE a.root <> b.root AND coalesce(x.parent_id, '') = coalesce(y.parent_id, '')),
+cycle AS (SELECT n.parent_id, EXISTS (SELECT 1 FROM type_edges e WHERE e.src = n.a AND e.dst = n.b) AND EXISTS (SELECT 1 FROM type_edges e WHERE e.src = n.b AND e.dst = n.a) AS direct FROM near n JOIN near m ON m.a = n.b AND m.b = n.a WHERE n.a < n.b),
+ring AS (SELECT c.root, count(*) FILTER (WHERE NOT direct) AS h, count(*) FILTER (WHERE direct) AS s FROM cycle y JOIN closure c ON c.id = y.parent_id GROUP BY 1)
+SELECT z.root AS id, elements, elements * 100.0::DOUBLE / (SELECT count(DISTINCT root) FROM up) AS percent, coalesce(ingoing, 0) AS ingoing, coalesce(outgoing, 0) AS outgoing, coalesce(internal, 0) AS internal, coalesce(ingoing, 0) + coalesce(outgoing, 0) AS external, coalesce(h, 0) AS hierarchical_cycles, coalesce(s, 0) AS system_cycles,
+CASE WHEN internal > 0 THEN (coalesce(h, 0) + coalesce(s, 0)) * 100.0::DOUBLE / internal ELSE 0 END AS cyclicity FROM size z LEFT JOIN flow f ON f.root = z.root LEFT JOIN ring r ON r.root = z.root""")
+_graph("relations_between", lambda g: matrix.relations_between(g, _hidden(g), _of(g, "Assembly")), ", hidden AS (SELECT id FROM elements WHERE element_type = 'Class' AND access_level = 'Internal') SELECT src AS consumer, dst AS provider FROM type_edges WHERE src IN (SELECT id FROM hidden)")
+_graph("providers", lambda g: matrix.partners(g, _hidden(g)), ", hidden AS (SELECT id FROM elements WHERE element_type = 'Class' AND access_level = 'Internal') SELECT dst AS id, t.full_name, count(*) AS weight FROM type_edges JOIN own_types t ON t.id = dst WHERE src IN (SELECT id FROM hidden) AND dst NOT IN (SELECT id FROM hidden) GROUP BY 1, 2")
+_graph("consumers", lambda g: matrix.partners(g, _hidden(g), False), ", hidden AS (SELECT id FROM elements WHERE element_type = 'Class' AND access_level = 'Internal') SELECT src AS id, t.full_name, count(*) AS weight FROM type_edges JOIN own_types t ON t.id = src WHERE dst IN (SELECT id FROM hidden) AND src NOT IN (SELECT id FROM hidden) GROUP BY 1, 2")
+
 # rules
 _STEEL, _COPPER = "ECONOMY", "PROMO"
 

@@ -66,9 +66,6 @@ def developers(change_sets: DataFrame, contributions: DataFrame) -> DataFrame:
     return change_sets.select(F.col("committer").alias("developer")).unionByName(contributions.select("developer")).where("trim(developer) <> ''").distinct()
 
 
-
-
-
 def hotspots(summary: DataFrame, code: DataFrame, least_code: int = 2, least_commits: int = 2) -> DataFrame:
     """path, commits, code and hotspot (product of both, each scaled over all artifacts; null if a range is zero) of artifacts of some size.
 
@@ -114,3 +111,36 @@ def clean(items: DataFrame, alive: DataFrame | None = None) -> DataFrame:
     gone = F.col("kind").bitwiseAND(KINDS["Delete"]) != 0
     kept = items.join(alive.select("id"), "id", "left_semi") if alive is not None else items.join(items.where(gone).select("id").distinct(), "id", "left_anti")
     return kept.where(~gone)
+
+
+def shrink(nodes: DataFrame) -> DataFrame:
+    """Of rolled-up nodes those from the first folder with more than one child on; without such a folder the deepest node."""
+    top = nodes.select("node", F.size(F.split("node", "/")).alias("depth"))
+    # a level with one node, and all below it, is passed
+    single = top.groupBy("depth").agg(F.count("*").alias("n"))
+    passed = single.withColumn("open", F.max(F.when(F.col("n") > 1, 1).otherwise(0)).over(Window.orderBy("depth"))).where("open = 0")  # a row a level of the tree
+    start = passed.agg(F.max("depth").alias("from"))
+    return nodes.withColumn("_d", F.size(F.split("node", "/"))).join(F.broadcast(start), F.lit(True)).where(F.col("_d") >= F.coalesce("from", F.lit(0))).drop("_d", "from")
+
+
+def colour_keys(knowledge: DataFrame) -> DataFrame:
+    """Distinct colour keys of leaves, the empty one left out."""
+    return knowledge.select("colour").where("colour <> ''").distinct()
+
+
+def distinct_values(leaves: DataFrame, column: str) -> DataFrame:
+    """What a range of areas or weights can be picked from."""
+    return leaves.select(column).where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).distinct().orderBy(column)
+
+
+def highlighted(name: Column, text: str | None = None, ranges: Column | None = None) -> Column:
+    """Whether a leaf stands out: its name holds the text in any case, and it lies in the ranges; of both only what is given counts, and nothing given marks none."""
+    found = F.lower(name).contains(text.lower()) if text else None
+    given = [c for c in (found, ranges) if c is not None]
+    return F.lit(False) if not given else given[0] if len(given) == 1 else given[0] & given[1]
+
+
+def default_aliases(change_sets: DataFrame, contributions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(developer, alias): everyone stands for themselves, but for the aliases that are known already."""
+    every = developers(change_sets, contributions).withColumn("alias", F.col("developer"))
+    return every if known is None else known.select("developer", "alias").unionByName(every.join(known, "developer", "left_anti"))

@@ -7,6 +7,7 @@ from tessergraph.operators import history as mining
 from tessergraph.operators import matrix
 from tessergraph.operators.edits import EditError
 from tessergraph.operators.matrix_edits import ACTIONS, Editor, Matrix
+from tessergraph.sinks import projects
 
 from .test_graphs import flat, graph, ids
 
@@ -116,3 +117,23 @@ def test_values_of_leaves(spark):
     given = spark.createDataFrame([("p", "bob", 1)], "path string, developer string, lines int")
     known = spark.createDataFrame([("bob", "team")], "developer string, alias string")
     assert flat(mining.default_aliases(sets, given, known), "developer", "alias") == [("ann", "ann"), ("bob", "team")]
+
+
+def test_files_can_be_read_back(spark, editor, tmp_path):
+    m = editor.apply("delete", ident="n")
+    projects.write_matrix(m, f"{tmp_path}/matrix")
+    back = projects.read_matrix_folder(spark, f"{tmp_path}/matrix")
+    assert sorted(map(tuple, back.elements.collect()), key=str) == sorted(map(tuple, m.elements.collect()), key=str)
+    assert sorted(map(tuple, back.relations.collect()), key=str) == sorted(map(tuple, m.relations.collect()), key=str)
+
+    sets = spark.sql("select '1' as id, 'ann' as committer, timestamp '2020-01-02 03:04:05' as date, 'x' as other")
+    projects.write_history(f"{tmp_path}/history", change_sets=sets)
+    (again,) = projects.read_history(spark, f"{tmp_path}/history", "change_sets")
+    assert again.select("id", "committer", F.col("date").cast("string"), "comment").first() == ("1", "ann", "2020-01-02 03:04:05", None)
+
+    g = nested(spark)
+    shown = spark.createDataFrame([("p", "red"), ("q", None), ("gone", "red")], "id string, flag string")
+    edges = spark.createDataFrame([("p", "q", "Uses"), ("p", "r", "Uses"), ("p", "q", "Calls")], "source_id string, target_id string, type string")
+    projects.save_session(shown, edges, f"{tmp_path}/session")
+    e, r = projects.restore_session(g, f"{tmp_path}/session")
+    assert dict(flat(e, "id", "flag")) == {"p": "red", "q": None} and flat(r, "source_id", "target_id", "type") == [("p", "q", "Uses")]

@@ -236,6 +236,24 @@ def test_scores_against_brute_force(messy, docs, empty):
     assert lm_scoring.score(empty).collect() == []
 
 
+def test_rare_words_of_a_large_corpus_keep_their_counts(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(600):
+        words = np.where(rng.random(2000) < 0.8, rng.zipf(1.3, 2000) % 5000, rng.integers(5000, 400_000, 2000))
+        words[:3] = (500_000 + k, 1, 500_000 + k) if k % 2 else (600_000, 600_001, 600_001 + k % 3)
+        texts.append([f"w{w}" for w in words])
+    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
+    n = sum(one.values())
+    assert n > lm_scoring.VOCABULARY and sum(c == 1 for c in one.values()) > 50_000
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(table).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        s = [math.log(one[w] / n) if i == 0 else math.log(two[t[i - 1], w] / one[t[i - 1]]) if two[t[i - 1], w] >= 2 else math.log(0.4 * one[w] / n) for i, w in enumerate(t)]
+        assert got[k] == pytest.approx(sum(s) / len(s), abs=2e-6)
+
+
 # 6 token counts
 
 

@@ -7,22 +7,31 @@ Positions come from marking each match in place and measuring the pieces
 between marks, so nothing leaves whole-stage code generation.
 
 The battery looks at tokens of [A-Za-z0-9+/_-] of `MIN_TOKEN` or more characters
-that hold letters and digits and touch no base span. The encoding is inferred
-as the smallest alphabet holding the token: hex, base32, base36 or base64. For
+that hold letters and digits and touch no base span, and within them at each part
+without separators (+/_-) that is as long and holds both. The encoding is inferred
+for each as the smallest alphabet holding its letters and digits: hex, base32 or
+base36 of one case, in which separators are left out, else base64. For
 the null hypothesis that symbols are drawn uniformly from it, three p-values
 are taken:
   * chi-squared over four equal classes of symbols,
   * Wald-Wolfowitz runs of symbols above and below the middle,
   * serial correlation at lag one of symbol values.
 A token is compatible with randomness if three times the least of them (at most
-1) is `COMPATIBLE` or more. Whether it is evidence of randomness at all depends
-on its length: ordinary identifiers change between letters, capitals and digits
-at few places (separators aside), so the number of changes is tested against a rate of
-`ORDINARY_CHANGES` a position. Those p-values go through the Benjamini-Hochberg
+1) is `COMPATIBLE` or more. That alone is no evidence of randomness: a short
+ordinary token can pass. What is to be rejected with a controlled rate is that a
+token is ordinary, so the p-values to control are those of ordinary text, against
+uniform symbols of the inferred alphabet: the likelihood of the token as ordinary
+text over that as uniform symbols, times `ENCODINGS` for the choice of alphabet.
+By Markov's inequality ordinary text has such a ratio of p or less with
+probability p at most. Ordinary text is a chain: it goes from one of lower case,
+capitals and digits to another with probability `ORDINARY_CHANGES`, letters follow
+letters as `_PAIRS` has them, digits are uniform, and separators say nothing.
+The p-values go through the Benjamini-Hochberg
 procedure over all candidates of the table, weighted by length (weights
 proportional to length, mean one; Genovese, Roeder and Wasserman, 2006) at level
 `FDR`: short tokens need stronger evidence, and of the tokens reported about
-`FDR` at most are ordinary. The cut comes from a histogram of p-values with at
+`FDR` at most are ordinary, as far as ordinary tokens are like that chain. A part
+within a reported token is not reported again. The cut comes from a histogram of p-values with at
 most 2000 bins, so the driver sees one number.
 
 Defined results: a null or empty text has no spans (counts 0, empty strings; the
@@ -33,6 +42,8 @@ character outside the patterns; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +51,7 @@ from .common import materialize
 
 KINDS = ("assign", "access", "hex")
 MIN_TOKEN, ORDINARY_CHANGES, COMPATIBLE, FDR, BINS = 20, 0.15, 0.001, 0.01, 2000
+ENCODINGS = 4
 _MARK = "\x02"
 #: Patterns in Java's syntax. Where the least length can be part of the pattern without changing what is found, it is.
 _PATTERNS = {
@@ -49,8 +61,40 @@ _PATTERNS = {
 }
 #: Cheap necessary conditions, so that texts without a match are not rewritten.
 _MAYBE = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
+#: Of each letter (a row; the first row is the start of a word) and the letter after it -8 ln(probability) as a character
+#: from "0" on, from words of four languages and of program text, smoothed.
+_PAIRS = "".join((
+    r"DOHFAKQOJ\WIKFGKOHECMQQa^]",
+    r"PPFGM[QYF\YEI@RQZBCBCTZZWc",
+    r"F]PV9_^[KFc>\V?XbNNUFbcbMa",
+    r"GaWZE]`9AcKIXW?\aOTDQaac^d",
+    r"EVVN8Z^S@acQ]Q<\cOKNLaZ`Zd",
+    r"EVKIIOVWG_\EP?PQW>CGNUYOYR",
+    r"CWTVFGWW<e]HZU<YaCLJG[`cX]",
+    r">SU\9_TLGe[KXIMWcKCMIV[cbX",
+    r"?OS\7_UMFeVNZNEU_NKGRVVc`W",
+    r"LTFP@SQZT`_IK;BRYMGAZRaXcU",
+    r"4aT\=`a\UeY[_WG\cXVWIccc`d",
+    r"M`UR4[U[GebJ]MRTaSGUQ^Jc`d",
+    r"EZVP:B\\Aaa@ZUGW_UILL__cHb",
+    r"AM[U6^`\AeaUQVEDcWMSPbbc]d",
+    r"DQHB@VCQJ\UNSODTVNH>ORYc\Z",
+    r"ONKHOSV\I[YOJ;QM[@DHAWR_ba",
+    r"<_VT@E_WKe_E\VBJaCQDNX^cNd",
+    r"Xa]\S`a\YddZ_VY`cVXX1ccccd",
+    r"AROR9YLSF^VROHEV]EIGOVYcQ[",
+    r"IVCS;]RHFW[PPTKOUOG=J_[bSd",
+    r"DXSW>Y\<@d^RXTKV`CKLI[XaON",
+    r"LRQX:QWXMe^HK@NLXBJGXX`Bc_",
+    r"=`[]6^_[<ec[XUG]cXYW\b_bcc",
+    r"@_ZRGZ`9=ddQ^KF]cDNU[`Y^cd",
+    r"C\?YAV_YFecLNWGEPIS;[PaUYb",
+    r"MQRTBVZNHedNMHH<bO@?[[Mb\]",
+    r"GMJS=`PTHUUNNUOUTONL8Vcc`V",
+))
 _TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
 _TOKEN_MAYBE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{{{MIN_TOKEN}}}"
+_PART, _SEPARATOR = rf"[A-Za-z0-9]{{{MIN_TOKEN},}}", "[+/_-]"
 
 
 def _spans(text: Column, kind: str, pattern: str, maybe: str, keep) -> Column:
@@ -88,20 +132,44 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _parts(tokens: Column) -> Column:
+    """Parts without separators of the tokens that have separators."""
+    inside = F.filter(tokens, lambda t: t.token.rlike(_SEPARATOR))
+    mixed = lambda p: p.rlike("[0-9]") & p.rlike("[A-Za-z]")
+    return F.flatten(
+        F.transform(inside, lambda t: F.transform(_spans(t.token, "random", _PART, _PART, mixed), lambda p: F.struct((p.start + t.start).alias("start"), (p.end + t.start).alias("end"), p.kind.alias("kind"), p.token.alias("token"))))
+    )
+
+
+def _cost(k: Column, letter: Column, k_before: Column, letter_before: Column) -> Column:
+    """-ln of the probability of an ordinary symbol after another, by class and letter (0: none); separators and the start have class 3."""
+    row = F.when((k_before == k) | ((k_before == 1) & (k == 0)), letter_before).otherwise(0)
+    pair = (F.ascii(F.substring(F.lit(_PAIRS), row * 26 + letter, F.lit(1))) - 48) / 8.0
+    change = F.when(k_before == 3, math.log(3)).when(k_before == k, -math.log(1 - ORDINARY_CHANGES)).otherwise(-math.log(ORDINARY_CHANGES / 2))
+    return F.when(k == 3, 0.0).otherwise(change + F.when(k == 2, math.log(10)).otherwise(pair))
+
+
 def _stages(tokens: Column) -> Column:
-    """Adds size of the inferred alphabet, p_random (the battery) and p_ordinary (changes of class) to each token of an array."""
-    hexadecimal = lambda t: t.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+    """Adds size of the inferred alphabet, p_random (the battery) and p_ordinary (against ordinary text) to each token of an array."""
+    bare = lambda x: F.regexp_replace(x.token, _SEPARATOR, "")
     sized = F.transform(
         tokens,
         lambda x: F.struct(
             x.start.alias("start"),
             x.end.alias("end"),
-            F.when(hexadecimal(x.token), F.lower(x.token)).otherwise(F.translate(x.token, "-_", "+/")).alias("token"),
-            F.when(hexadecimal(x.token), 16).when(x.token.rlike("^[A-Z2-7]+$"), 32).when(x.token.rlike("^[a-z0-9]+$"), 36).otherwise(64).cast("double").alias("size"),
+            x.token.alias("raw"),
+            F.when(bare(x).rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(bare(x).rlike("^([A-Z2-7]+|[a-z2-7]+)$"), 32).when(bare(x).rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36).otherwise(64).cast("double").alias("size"),
+        ),
+    )
+    sized = F.transform(
+        sized,
+        lambda x: F.struct(
+            *[x[c].alias(c) for c in ("start", "end", "raw", "size")],
+            F.when(x.size == 64, F.translate(x.raw, "-_", "+/")).when(x.size == 32, F.upper(F.regexp_replace(x.raw, _SEPARATOR, ""))).otherwise(F.lower(F.regexp_replace(x.raw, _SEPARATOR, ""))).alias("token"),
         ),
     )
     alphabet = lambda size: F.when(size == 16, F.lit("0123456789abcdef")).when(size == 32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).when(size == 36, F.lit("abcdefghijklmnopqrstuvwxyz0123456789")).otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-    # values of the symbols, and the class of each: letter, capital, digit, other
+    # values of the symbols, and of the token as it stands the letter and class of each: letter, capital, digit, other
     valued = F.transform(
         sized,
         lambda x: F.struct(
@@ -110,7 +178,8 @@ def _stages(tokens: Column) -> Column:
             x.size.alias("size"),
             F.length(x.token).cast("double").alias("n"),
             F.transform(F.split(x.token, ""), lambda c: (F.call_function("instr", alphabet(x.size), c) - 1).cast("double")).alias("v"),
-            F.transform(F.split(x.token, ""), lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)).alias("k"),
+            F.transform(F.split(x.raw, ""), lambda c: F.call_function("instr", F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(c))).alias("l"),
+            F.transform(F.split(x.raw, ""), lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)).alias("k"),
         ),
     )
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, y: s + y)
@@ -123,7 +192,10 @@ def _stages(tokens: Column) -> Column:
             (1 + total(F.transform(F.zip_with(F.slice(x.v, 1, F.size(x.v) - 1), F.slice(x.v, 2, F.size(x.v) - 1), lambda a, b: (a * 2 >= x.size) != (b * 2 >= x.size)), lambda d: d.cast("double")))).alias("runs"),
             (total(x.v) / x.n).alias("mean"),
             x.v.alias("v"),
-            total(F.zip_with(F.slice(x.k, 1, F.size(x.k) - 1), F.slice(x.k, 2, F.size(x.k) - 1), lambda a, b: ((a != b) & (a < 3) & (b < 3)).cast("double"))).alias("changes"),
+            (
+                total(F.zip_with(F.zip_with(x.k, x.l, lambda k, l: F.struct(k.alias("k"), l.alias("l"))), F.concat(F.array(F.struct(F.lit(3).alias("k"), F.lit(0).alias("l"))), F.slice(F.zip_with(x.k, x.l, lambda k, l: F.struct(k.alias("k"), l.alias("l"))), 1, F.size(x.k) - 1)), lambda c, before: _cost(c.k, c.l, before.k, before.l)))
+                - F.log(x.size) * F.size(F.filter(x.k, lambda k: k < 3))
+            ).alias("surprise"),
         ),
     )
     tested = F.transform(
@@ -135,7 +207,7 @@ def _stages(tokens: Column) -> Column:
             (
                 F.coalesce(F.try_divide(total(F.zip_with(F.slice(x.v, 1, F.size(x.v) - 1), F.slice(x.v, 2, F.size(x.v) - 1), lambda a, b: (a - x.mean) * (b - x.mean))), total(F.transform(x.v, lambda y: (y - x.mean) * (y - x.mean)))), F.lit(1.0)) * F.sqrt(x.n) + 1 / F.sqrt(x.n)
             ).alias("z_serial"),
-            ((x.changes - 0.5 - (x.n - 1) * ORDINARY_CHANGES) / F.sqrt((x.n - 1) * ORDINARY_CHANGES * (1 - ORDINARY_CHANGES))).alias("z_changes"),
+            x.surprise.alias("surprise"),
         ),
     )
     uniform = lambda chi: F.least(F.lit(1.0), 2 * normal_tail(F.sqrt(F.greatest(chi, F.lit(0.0)))) + F.sqrt(F.greatest(chi, F.lit(0.0)) * 0.6366197723675814) * F.exp(-F.greatest(chi, F.lit(0.0)) / 2))
@@ -144,7 +216,7 @@ def _stages(tokens: Column) -> Column:
         lambda x: F.struct(
             *[x[c].alias(c) for c in ("start", "end", "n")],
             F.least(F.lit(1.0), 3 * F.least(uniform(x.chi), 2 * normal_tail(F.abs(x.z_runs)), 2 * normal_tail(F.abs(x.z_serial)))).alias("p_random"),
-            F.greatest(normal_tail(x.z_changes), F.lit(1e-99)).alias("p_ordinary"),
+            F.least(F.lit(1.0), F.greatest(ENCODINGS * F.exp(F.greatest(-x.surprise, F.lit(-250.0))), F.lit(1e-99))).alias("p_ordinary"),
         ),
     )
 
@@ -159,6 +231,7 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     base = base_spans(F.col("_text"))
     tokens = _spans(F.col("_text"), "random", _TOKEN, _TOKEN_MAYBE, lambda p: p.rlike("[0-9]") & p.rlike("[A-Za-z]"))
     first = source.withColumn("_base", base).withColumn("_tokens", tokens).select(*keep, "_base", F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (b.end > t.start))).alias("_tokens"))
+    first = first.withColumn("_tokens", F.concat("_tokens", _parts(F.col("_tokens"))))
     narrow = F.transform("_base", lambda b: F.struct(b.start.alias("start"), b.end.alias("end"), b.kind.alias("kind"))).alias("_base")
     found = materialize(first.select(*keep, narrow, _stages(F.col("_tokens")).alias("_tokens")), "secrets")
 
@@ -175,7 +248,10 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
             edge = 10 ** (-r["bin"] / 20)
             if edge <= FDR * so_far / m:
                 cut = edge
-        chosen = F.transform(F.filter("_tokens", lambda t: (weighted(t.p_ordinary, t.n) <= cut) & (t.p_random >= COMPATIBLE)), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), F.lit("random").alias("kind")))
+        hits = F.filter("_tokens", lambda t: (weighted(t.p_ordinary, t.n) <= cut) & (t.p_random >= COMPATIBLE))
+        found = found.withColumn("_tokens", hits)
+        whole = lambda t: ~F.exists("_tokens", lambda o: (o.start <= t.start) & (o.end >= t.end) & (o.end - o.start > t.end - t.start))
+        chosen = F.transform(F.filter("_tokens", whole), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), F.lit("random").alias("kind")))
     ranked = F.transform(F.concat("_base", chosen), lambda s: F.struct(s.start.alias("start"), F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "random")]), s.kind).alias("rank"), s.end.alias("end"), s.kind.alias("kind")))
     return found.select(*keep, F.transform(F.array_sort(ranked), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))).alias("spans"))
 

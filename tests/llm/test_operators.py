@@ -143,6 +143,30 @@ def test_battery_finds_random_tokens_and_leaves_ordinary_ones(spark):
     assert len(found & set(range(40))) >= 38 and not found & set(range(40, 46))
 
 
+def test_battery_recall_by_encoding_and_length(spark):
+    rng = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base32": lower.upper() + "234567", "base36": lower + digits, "hex": digits + "ABCDEF", "base64": secret_scan_alphabet}
+    made = {}
+    for kind, alphabet in kinds.items():
+        for n in (20, 24, 32, 40):
+            for _ in range(150):
+                t = "".join(rng.choice(alphabet) for _ in range(n))
+                if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+                    made[len(made)] = (kind, n, t)
+    words = "version document internal release number parse header index network socket buffer handler quality garden fenetre escuela".split()
+    plain = [rng.choice("-_/").join(rng.choice(words) for _ in range(4)) + rng.choice(("-", "_", "")) + str(rng.randrange(3000)) for _ in range(1500)]
+    plain += ["".join(rng.choice(words).capitalize() for _ in range(3)) + str(rng.randrange(3000)) for _ in range(1500)]
+    inside = {100_000 + k: f"version_of_{made[k][2]}" for k in made if made[k][0] == "base32"}
+    rows = [(k, f"see {t} here") for k, (_, _, t) in made.items()] + list(inside.items()) + [(-k - 1, f"see {t} here") for k, t in enumerate(plain)]
+    got = {r["doc_id"] for r in secret_scan.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s["kind"] == "random" for s in r["spans"])}
+    total, hits = Counter((k, n) for k, n, _ in made.values()), Counter(made[i][:2] for i in got if i in made)
+    recall = {x: hits[x] / total[x] for x in sorted(total)}
+    assert min(recall.values()) >= 0.95, recall
+    assert len(got & set(inside)) / len(inside) >= 0.95
+    assert sum(i < 0 for i in got) <= 0.02 * len(got)
+
+
 def test_battery_p_values_against_numpy(spark):
     token = "aB3dE5gH1jK9mN0pQ2sT4vW6yZ8bC7xF"
     df = spark.createDataFrame([(token,)], "token string").select(secret_scan._stages(F.array(F.struct(F.lit(0).alias("start"), F.lit(32).alias("end"), F.lit("random").alias("kind"), F.col("token").alias("token")))).alias("t"))

@@ -2,7 +2,9 @@
 (LSH Forest, Bawa, Condie and Ganesan, 2005).
 
 Each of `TREES` trees gives a vector a string of `LENGTH` bits, the signs of
-products with random directions. A tree is its strings in sorted order; the
+products with random directions, of the unit vector less the mean of all unit
+vectors: distances of unit vectors order as cosines do, and vectors around a
+common direction would else share most bits. A tree is its strings in sorted order; the
 vectors sharing the first x bits of a query are one stretch of it.
 
 * Descending: counts of the first `DEPTH` bits of all trees, a table of at most
@@ -10,7 +12,10 @@ vectors sharing the first x bits of a query are one stretch of it.
   how long a prefix with a query.
 * Synchronously ascending: a query shortens the prefix in all trees together,
   until their stretches hold `SHARE` of the table's rows (counted a tree each,
-  and at least `LEAST` rows), which sets its prefix length x.
+  and at least `LEAST` rows, and k + 1 a tree), which sets its prefix length x.
+  A query that has not reached them at `ROUTE` bits goes on to the empty prefix:
+  it visits all parts of one tree, by hash of vec_id, and so is compared with
+  every row once, which is twice `SHARE`. So each query finds k rows if there are.
 * Tables are cut into (tree, first `ROUTE` bits) and, where such a part is large,
   into chunks of at most about `CHUNK` vectors by hash of vec_id, so no task holds
   an unbounded group; a query visits the chunks of its part in each tree. There the chunk is sorted, the query's stretch found by bisection, and
@@ -18,8 +23,8 @@ vectors sharing the first x bits of a query are one stretch of it.
 
 The candidates' share is set for recall: on vectors without structure the depth
 at which a neighbour still shares a prefix depends on the angle and not on the
-row count, so a fixed share keeps recall as tables grow. x is never less than
-`ROUTE`, nor more than `DEPTH`.
+row count, so a fixed share keeps recall as tables grow. x is 0 or from `ROUTE`
+to `DEPTH`.
 
 Defined results: vectors that are null, zero, of another length than most or hold null or non-finite components take no part;
 repeated vec_ids are candidates each (a query is left out of its own by vec_id);
@@ -52,6 +57,12 @@ def strings(vectors: np.ndarray, planes: np.ndarray, length: int = LENGTH) -> np
     return bits @ (np.uint64(1) << np.arange(length - 1, -1, -1, dtype=np.uint64))
 
 
+def centred(vectors: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors less the mean; what is left of vectors equal to it but for rounding is zero."""
+    left = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True)) - mean
+    return np.where((left * left).sum(1, keepdims=True) < 1e-18, 0.0, left)
+
+
 def _stack(column: pa.Array) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(lists.flatten()).reshape(len(lists), -1)
@@ -71,11 +82,23 @@ def nearest(table: DataFrame, k: int = 5, queries: str = "vec_id % 50 = 0", tree
     small_batches(spark, 4096)
     planes = spark.sparkContext.broadcast(directions(width, trees))
 
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                sums += centred(_stack(batch.column(0)), np.zeros(width)).sum(0)
+        yield pa.record_batch([pa.array(np.arange(width)), pa.array(sums)], names=["place", "sum"])
+
+    # one row a component
+    sums = rows.select("vector").mapInArrow(add, "place long, sum double").groupBy("place").agg(F.sum("sum").alias("sum")).toPandas()
+    mean = np.zeros(width)
+    mean[sums["place"].to_numpy(np.int64)] = np.round(sums["sum"].to_numpy() / total, 12)
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((trees, 1 << DEPTH), np.int64)
         for batch in batches:
             if batch.num_rows:
-                short = (strings(_stack(batch.column(0)), planes.value) >> np.uint64(LENGTH - DEPTH)).astype(np.int64)
+                short = (strings(centred(_stack(batch.column(0)), mean), planes.value) >> np.uint64(LENGTH - DEPTH)).astype(np.int64)
                 for t in range(trees):
                     seen[t] += np.bincount(short[:, t], minlength=1 << DEPTH)
         some = np.flatnonzero(seen)
@@ -88,7 +111,7 @@ def nearest(table: DataFrame, k: int = 5, queries: str = "vec_id % 50 = 0", tree
     counts = [deepest.reshape(trees, 1 << DEPTH)]
     while counts[0].shape[1] > 1:
         counts.insert(0, counts[0].reshape(trees, -1, 2).sum(2))
-    wanted = max(least, share * total)
+    wanted = max(least, share * total, (k + 1) * trees)
     shared = spark.sparkContext.broadcast(counts)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,25 +122,31 @@ def nearest(table: DataFrame, k: int = 5, queries: str = "vec_id % 50 = 0", tree
                 continue
             vectors, ids = _stack(batch.column("vector")), np.asarray(batch.column("vec_id"))
             asks = np.asarray(batch.column("asks"))
-            codes = strings(vectors, planes.value)
+            codes = strings(centred(vectors, mean), planes.value)
             part = (codes >> np.uint64(LENGTH - ROUTE)).astype(np.int64)
-            depth = np.full(len(ids), ROUTE)
-            for x in range(DEPTH, ROUTE, -1):
+            depth = np.zeros(len(ids), np.int64)
+            for x in range(DEPTH, ROUTE - 1, -1):
                 prefix = (codes >> np.uint64(LENGTH - x)).astype(np.int64)
                 found = sum(counts[x][t, prefix[:, t]] for t in range(trees))
-                depth = np.where((depth == ROUTE) & (found >= wanted), x, depth)
+                depth = np.where((depth == 0) & (found >= wanted), x, depth)
             for t in range(trees):
                 chunks = np.maximum(1, -(-counts[ROUTE][t, part[:, t]] // CHUNK))
                 own = (ids * 2654435761 % 4294967296) % chunks
-                some = np.flatnonzero(asks)
+                some = np.flatnonzero(asks & (depth > 0))
                 times = chunks[some]
                 q = np.repeat(some, times)
-                every = np.concatenate((np.arange(len(ids)), q))
-                chunk = np.concatenate((own, np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)))
-                side = np.concatenate((np.zeros(len(ids), np.int32), np.ones(len(q), np.int32)))
+                # queries far from the others, in one tree each: all chunks of all parts
+                far = np.flatnonzero(asks & (depth == 0) & (ids % trees == t))
+                room = -(-counts[ROUTE][t] // CHUNK)
+                all_parts = np.repeat(np.arange(1 << ROUTE), room)
+                all_chunks = np.arange(len(all_parts)) - np.repeat(np.cumsum(room) - room, room)
+                every = np.concatenate((np.arange(len(ids)), q, np.repeat(far, len(all_parts))))
+                to = np.concatenate((part[:, t], part[q, t], np.tile(all_parts, len(far))))
+                chunk = np.concatenate((own, np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times), np.tile(all_chunks, len(far))))
+                side = (np.arange(len(every)) >= len(ids)).astype(np.int32)
                 flat = pa.array(vectors[every].reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(every) + 1, dtype=np.int32) * width), flat)
-                yield pa.record_batch([pa.array(np.full(len(every), t, np.int32)), pa.array(part[every, t]), pa.array(chunk), pa.array(side), pa.array(ids[every]), pa.array(codes[every, t].astype(np.int64)), pa.array(depth[every].astype(np.int32)), lists], names=["tree", "part", "chunk", "side", "vec_id", "code", "depth", "vector"])
+                yield pa.record_batch([pa.array(np.full(len(every), t, np.int32)), pa.array(to), pa.array(chunk), pa.array(side), pa.array(ids[every]), pa.array(codes[every, t].astype(np.int64)), pa.array(depth[every].astype(np.int32)), lists], names=["tree", "part", "chunk", "side", "vec_id", "code", "depth", "vector"])
 
     def search(pdf: pa.Table) -> pa.Table:
         side = np.asarray(pdf.column("side"))

@@ -339,6 +339,35 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann_forest.nearest(table.limit(0)).collect() == []
 
 
+def neighbours(spark, x, asking: int):
+    """Found and true ids of the five nearest of the first rows."""
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann_forest.nearest(table, queries=f"vec_id < {asking}").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return [(got[k], [v for v in np.argsort(-(unit @ unit[k]), kind="stable").tolist() if v != k][:5]) for k in range(asking)]
+
+
+def test_neighbours_of_tiny_and_opposite_vectors(spark):
+    assert neighbours(spark, np.array([[1.0, 2.0, 3.0], [-1.0, -2.0, -3.0]]), 2) == [([1], [1]), ([0], [0])]
+    rng = np.random.default_rng(2)
+    for rows, width in ((6, 8), (6, 64), (40, 8)):
+        assert all(a == b for a, b in neighbours(spark, rng.standard_normal((rows, width)), rows))
+
+
+@pytest.mark.parametrize("shift", [1.5, 3.0])
+def test_recall_of_queries_off_the_bulk(spark, shift):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64)) + shift
+    x[:2] = rng.standard_normal((2, 64)) - shift
+    x[2:22] = rng.standard_normal((20, 64))
+    found = neighbours(spark, x, 42)
+    assert all(len(a) == 5 for a, _ in found)
+    for some in (found[:2], found[2:22], found[22:]):
+        assert sum(len(set(a) & set(b)) for a, b in some) / (5 * len(some)) >= 0.9
+
+
 # 8 top-k search
 
 

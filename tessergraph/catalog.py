@@ -102,6 +102,7 @@ _graph("blast_radius", metrics.blast_radius, _REACH + " SELECT t.id, count(r.src
 _graph("type_cycles", metrics.components, _REACH + " SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
 _graph("page_rank", lambda g: metrics.type_ranks(g, most=20, tolerance=0.0).select("id", F.round("score", 6).alias("score")), """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types), outs AS (SELECT src, CAST(count(*) AS DOUBLE) AS k FROM type_edges GROUP BY 1),
 """ + ",\n".join(f"r{k} AS (SELECT t.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (SELECT coalesce(sum(p.rank), 0) FROM {'r' + str(k - 1) if k > 1 else '(SELECT id, 1 / n AS rank FROM own_types, n)'} p LEFT JOIN outs o ON o.src = p.id WHERE o.k IS NULL) / n.n + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM own_types t CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(p.rank / o.k) AS given FROM type_edges e JOIN {'r' + str(k - 1) if k > 1 else '(SELECT id, 1 / n AS rank FROM own_types, n)'} p ON p.id = e.src JOIN outs o ON o.src = e.src GROUP BY 1) g ON g.dst = t.id)" for k in range(1, 21)) + " SELECT id, round(rank * n, 6) AS score FROM r20, n")
+_graph("type_ranks", metrics.type_ranks)
 _graph("feedback_edges", lambda g: metrics.feedback_edges(g.type_edges, metrics.components(g)))
 _graph("system_metrics", metrics.system_metrics)
 _graph("propagation_and_cyclicity", lambda g: metrics.system_metrics(g).select("types", "dependencies", F.round("propagation_cost", 9).alias("propagation_cost"), F.round("cyclicity", 9).alias("cyclicity")), _REACH + " SELECT (SELECT count(*) FROM own_types) AS types, (SELECT count(*) FROM type_edges) AS dependencies, round((SELECT count(*) FROM reach WHERE src <> dst) / (n * (n - 1)), 9) AS propagation_cost, round((SELECT count(*) FROM reach WHERE src = dst) / n, 9) AS cyclicity FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types)")

@@ -6,6 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessergraph import catalog
+from tessergraph.fixtures import code_graph
 from tessergraph.functions.predicates import flag_names
 from tessergraph.functions.search import camel_hump, compile_search
 from tessergraph.model import ELEMENTS, RELATIONSHIPS, Graph
@@ -76,6 +78,28 @@ def test_ranks(spark):
     assert {r["id"]: (r["fan_in"], r["fan_out"]) for r in metrics.fans(g).collect()}["H"] == (3, 0)
 
 
+def test_registered_ranks_run_until_they_converge(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = catalog.queries()["type_ranks"](spark, folder).collect()
+    g = code_graph(spark, folder)
+    place = {r["id"]: k for k, r in enumerate(g.types.select("id").collect())}
+    n, after = len(place), defaultdict(list)
+    for a, b in flat(g.type_edges, "src", "dst"):
+        after[a].append(b)
+    ranks, rounds, change = [1 / n] * n, 0, 1.0
+    while rounds < 100 and change >= 1e-6:
+        lost = sum(ranks[k] for i, k in place.items() if not after[i])
+        following = [0.15 / n + 0.85 * lost / n] * n
+        for a, targets in after.items():
+            for b in targets:
+                following[place[b]] += 0.85 * ranks[place[a]] / len(targets)
+        change, ranks, rounds = sum(abs(x - y) for x, y in zip(ranks, following, strict=True)), following, rounds + 1
+    assert 20 < rounds < 100
+    assert {r["id"]: r["score"] for r in rows} == {i: pytest.approx(ranks[k] * n, abs=1e-9) for i, k in place.items()}
+    ordered = sorted(rows, key=lambda r: (-round(r["score"], 9), r["full_name"]))
+    assert [r["position"] for r in ordered] == list(range(1, n + 1))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_strong_components_and_reach_against_brute_force(spark, seed):
     rng = random.Random(seed)

@@ -206,7 +206,7 @@ def tree_search(g: Graph, predicate) -> DataFrame:
     return g.paths.join(hits, "id", "left_semi").select(F.explode("path").alias("id")).distinct()
 
 
-def follow_callers(g: Graph, ids: DataFrame, most: int = 64) -> DataFrame:
+def follow_callers(g: Graph, ids: DataFrame) -> DataFrame:
     """Callers by context: elements reached backward from the ids over calls, contracts and events (id).
 
     A work item is an element with the containers whose forbidden call sources
@@ -214,7 +214,8 @@ def follow_callers(g: Graph, ids: DataFrame, most: int = 64) -> DataFrame:
     is forbidden; a base call keeps the context and adds its caller's container;
     another call on an instance or a type starts afresh with the caller's
     container; contracts implemented keep the context; of an event, those who
-    specialise it keep it and those who raise it start afresh.
+    specialise it keep it and those who raise it start afresh. The walk ends
+    when a round finds no new pair of element and context.
     """
     own = g.paths.select("id", F.coalesce("containing_type", "id").alias("container"), "element_type")
     containers = own.select(F.col("container").alias("id")).distinct()
@@ -222,8 +223,8 @@ def follow_callers(g: Graph, ids: DataFrame, most: int = 64) -> DataFrame:
     rel = g.relationships.join(own.select(F.col("id").alias("source_id"), F.col("container").alias("source_container"), F.col("element_type").alias("source_type")), "source_id").join(own.select(F.col("id").alias("target_id"), F.col("element_type").alias("target_type")), "target_id")
     rel = materialize(rel.where("type in ('Calls', 'Implements', 'Overrides', 'Handles', 'Invokes')"), "call-edges")
     work = materialize(own.join(_ids(ids), "id", "left_semi").select("id", F.array("container").alias("context")), "work")
-    seen = work
-    for _ in range(most):
+    seen, rounds = work, 0
+    while True:
         out = work.select("id", "context", F.explode("context").alias("c")).join(forbidden, "c", "left").groupBy("id", "context").agg(F.flatten(F.collect_list(F.coalesce("out", F.array().cast("array<string>")))).alias("forbidden"))
         back = out.join(rel, F.col("id") == F.col("target_id"))
         masked = F.col("attributes").bitwiseAND(31)
@@ -243,7 +244,9 @@ def follow_callers(g: Graph, ids: DataFrame, most: int = 64) -> DataFrame:
         new = materialize(stepped.unionByName(forth).distinct().join(seen, ["id", "context"], "left_anti"), "work")
         if new.isEmpty():
             break
-        work, seen = new, seen.unionByName(new)
+        work, seen, rounds = new, seen.unionByName(new), rounds + 1
+        if rounds % 16 == 0:
+            seen = materialize(seen, "seen")  # one table again, so that plans stay short
     return seen.select("id").distinct()
 
 

@@ -78,6 +78,13 @@ def test_ranks(spark):
     assert {r["id"]: (r["fan_in"], r["fan_out"]) for r in metrics.fans(g).collect()}["H"] == (3, 0)
 
 
+def test_callers_are_followed_however_far(spark):
+    n = 70
+    g = graph(spark, [("T", "Assembly", None), *[x for k in range(n) for x in ((f"C{k}", "Class", "T"), (f"M{k}", "Method", f"C{k}"))]], [(f"M{k + 1}", "Calls", f"M{k}", 8) for k in range(n - 1)])
+    assert {r["id"] for r in explore.follow_callers(g, ids(spark, "M0")).collect()} == {f"M{k}" for k in range(n)}
+    assert {r["id"] for r in explore.follow_callers(g, ids(spark, "M66")).collect()} == {f"M{k}" for k in range(66, n)}
+
+
 def test_registered_ranks_run_until_they_converge(spark):
     folder = "/root/testdata/sf0.001"
     rows = catalog.queries()["type_ranks"](spark, folder).collect()

@@ -14,6 +14,8 @@ from .model import ELEMENTS, RELATIONSHIPS, Graph
 from .plans.storage import materialize
 
 _graphs: dict[tuple[str, str], Graph] = {}
+#: Whether graphs, and what is derived from them, are kept for the next query of the application.
+keep_graphs = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a folder of tables, made once an application."""
+    """The graph of a folder of tables, made once an application, or anew where `keep_graphs` is off."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
+    if key not in _graphs or not keep_graphs:
         part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
         none = F.array().cast(ELEMENTS["attributes"].dataType)
         nowhere = F.array().cast(ELEMENTS["source_locations"].dataType)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (one machine) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset and all runs in this process, a temporary one is set; a cluster has to name one."""
     name = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not name:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         name = tempfile.mkdtemp(prefix="tessergraph-")
         spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")

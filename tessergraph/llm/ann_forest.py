@@ -42,8 +42,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 TREES, LENGTH, DEPTH, ROUTE, SHARE, LEAST, CHUNK, SEED = 64, 48, 12, 4, 0.5, 2000, 20_000, 8191
 
 
@@ -79,7 +77,6 @@ def nearest(table: DataFrame, k: int = 5, queries: str = "vec_id % 50 = 0", tree
         return spark.createDataFrame([], schema)
     width, total = common["width"], common["count"]
     rows = rows.where(F.size("vector") == width)
-    small_batches(spark, 4096)
     planes = spark.sparkContext.broadcast(directions(width, trees))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,12 @@
 """Pieces shared by the operators of this subpackage: word splitting and hashing
 over Arrow buffers, and packing of arrays.
 
+Spark cuts what it hands to Python into batches by bytes
+(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster says
+otherwise), and `text_slices` cuts those again, so a worker's memory doesn't
+depend on how many long texts stand together. No operator changes a setting of
+the session.
+
 A word is a maximal run of bytes other than space and \\x09-\\x0D, the same
 definition in numpy (`word_spans`), in Spark SQL and in DuckDB (`WORD`).
 """
@@ -32,11 +38,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows of an Arrow batch, and so the text a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator."""
     x = (x ^ (x >> np.uint64(30))) * _M2

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hash_spans, materialize, mix64, ranges, small_batches, text_slices, word_spans
+from .common import connected_components, discard, hash_spans, materialize, mix64, ranges, text_slices, word_spans
 
 SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-6
 #: Bounds of a block: shingles, and rows.
@@ -98,7 +98,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 bands.append(np.zeros(BANDS, np.uint64))
         flat = np.concatenate(bands).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-        yield pa.record_batch([part.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "one", "two", "bands"])
+        yield pa.record_batch([part.column("key"), pa.array(np.array(n, np.int64)), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists], names=["key", "n", "one", "two", "bands"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,18 +163,16 @@ def _compare(threshold: float):
     return pairs
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and n_links of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(texts.mapInArrow(_fingerprints, "doc_id long, n long, one long, two long, bands array<long>"), "jaccard-prints")
-    held = prints.where("n > 0 and doc_id is not null")
-    classes = materialize(held.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "jaccard-classes")
-
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    edges = banded.join(shared, ["band", "key"]).where("rep <> leader").select("rep", "leader").distinct()
+def _classes(texts: DataFrame, threshold: float) -> DataFrame:
+    """key, class (the smallest key of its class) and links of every row of (key, text); a null key has no class."""
+    kind = texts.schema["key"].dataType.simpleString()
+    prints = materialize(texts.mapInArrow(_fingerprints, f"key {kind}, n long, one long, two long, bands array<long>"), "jaccard-prints")
+    held = prints.where("n > 0 and key is not null")
+    classes = materialize(held.groupBy("one", "two", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "key").alias("bands")), "jaccard-classes")
+
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
+    shared = banded.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
+    edges = banded.join(shared, ["band", "hash"]).where("rep <> leader").select("rep", "leader").distinct()
     groups = materialize(connected_components(edges, "rep", "leader", "jaccard-candidates"), "jaccard-groups")
 
     members = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "copies", "n", "one", "two"), "rep")
@@ -187,23 +185,40 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     # block b meets every block: as the first of a pair with those after it, as the second with those before
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    work = placed.withColumn("shard", F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.lit(-1).cast("long")))
+    work = placed.withColumn("shard", F.when(F.col("blocks") > 1, F.col("component")))
     placed = work.select("component", "shard", "bin", "rep", "copies", meets.alias("meets"))
-    kinds = "component long, shard long, bin long, rep long, copies long, meets array<struct<i:int,j:int,side:int>>, shingles binary"
-    sets = texts.join(placed, texts["doc_id"] == placed["rep"]).drop("doc_id").select(*placed.columns, "text").mapInArrow(_sets, kinds)
+    kinds = f"component {kind}, shard {kind}, bin long, rep {kind}, copies long, meets array<struct<i:int,j:int,side:int>>, shingles binary"
+    sets = texts.join(placed, texts["key"] == placed["rep"]).drop("key").select(*placed.columns, "text").mapInArrow(_sets, kinds)
     tasks = sets.withColumn("m", F.explode("meets")).select("component", "shard", "bin", "rep", "copies", "shingles", "m.*")
-    found = materialize(tasks.groupBy("shard", "bin", "i", "j").applyInPandas(_compare(threshold), "rep long, links long, partner long"), "jaccard-links")
+    found = materialize(tasks.groupBy("shard", "bin", "i", "j").applyInPandas(_compare(threshold), f"rep {kind}, links long, partner {kind}"), "jaccard-links")
 
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = connected_components(found.where("rep <> partner"), "rep", "partner", "jaccard-classes")
     named = named.select(F.col("node").alias("rep"), "component")
     outcome = classes.select("one", "two", "n", "rep", "copies").join(counted, "rep", "left").join(named, "rep", "left")
     outcome = outcome.select("one", "two", "n", F.coalesce("component", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    alone = prints.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return held.select("doc_id", "one", "two", "n").join(outcome, ["one", "two", "n"]).select("doc_id", F.col("class").alias("class_id"), F.col("links").alias("n_links")).unionByName(alone)
+    discard(groups)
+    alone = prints.where("n = 0 or key is null").select("key", F.col("key").alias("class"), F.lit(0).cast("long").alias("links"))
+    return held.select("key", "one", "two", "n").join(outcome, ["one", "two", "n"]).select("key", "class", "links").unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and n_links of every document."""
+    found = _classes(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), threshold)
+    return found.select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that name their class: one of each group of near copies, in the input's columns. doc_id must identify a document."""
-    first = jaccard_join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One document of each group of near copies, in the input's columns: that with the smallest doc_id.
+
+    Documents without a doc_id come last and are told apart by their texts, so of
+    equal ones one stays, and one that is a near copy of a document with an id
+    goes. Of rows that share a doc_id one stays, that with the least text.
+    """
+    # doc_ids as texts that sort as the numbers do
+    known = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    key = F.coalesce(known, F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
+    first = _classes(docs.select(key.alias("key"), "text"), threshold).where("key = class").select(F.col("key").alias("_near_copy_key")).distinct()
+    left = docs.withColumn("_near_copy_key", key).join(first, "_near_copy_key", "left_semi")
+    # joined by key already, so this needs no further shuffle
+    return left.groupBy("_near_copy_key").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")

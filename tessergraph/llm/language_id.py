@@ -27,8 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 UNDETERMINED = "und"
 _BLANK = 32
 _letters: list[np.ndarray] = []
@@ -102,11 +100,10 @@ def learn(labelled: DataFrame, top: int = 400, sample_rows: int = 3000, text: st
     are summed on the executors; each language's `top` n-grams reach the driver.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    # labels are a closed set by contract; the most frequent 1000 bound what the driver sees
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    # a row a label: the driver holds as much as the profiles themselves, `top` n-grams a label
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Profiles({}, top)
-    small_batches(rows.sparkSession)
     share = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, sample_rows / n)))])
     picked = rows.where(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
 
@@ -129,7 +126,6 @@ def learn(labelled: DataFrame, top: int = 400, sample_rows: int = 3000, text: st
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep_text: bool = False) -> DataFrame:
     """The input's columns, the text only with `keep_text`, with lang_pred and score of each whole text."""
-    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if (keep_text or c != text) and c not in ("lang_pred", "score")]
     schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
 

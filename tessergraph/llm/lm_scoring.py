@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialize, mix64, pack, small_batches, text_slices, unpack, word_spans
+from .common import hash_spans, materialize, mix64, pack, text_slices, unpack, word_spans
 
 VOCABULARY, HEAD, MIN_COUNT, BACKOFF = 1_000_000, 512, 2, 0.4
 #: Roles of a rare word: second of a pair with a numbered or a rare word, first of one with either, start of a document.
@@ -136,7 +136,6 @@ def _spread(sums: np.ndarray, order: np.ndarray, where: np.ndarray) -> np.ndarra
 
 def train(docs: DataFrame) -> Model:
     """Two passes over all texts: word counts, then counts of the most frequent words' pairs."""
-    small_batches(docs.sparkSession)
     words = materialize(docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # more frequent than one in VOCABULARY: at most VOCABULARY rows; the others are counted in `score`

@@ -1,10 +1,13 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key (MD5 of seed and doc_id, so other engines can follow). Documents are range-sorted by key within
+Every document gets a hash-random key (MD5 of seed and doc_id, so other engines
+can follow). Rows that agree in doc_id, source and size are one group with a
+number of rows, added up before the shuffle, so rows that share a key because
+they repeat or have no doc_id are few. Groups are range-sorted by key within
 their source: the key's leading bits name a range (about `RANGE_ROWS` documents
-of the largest table each), sizes are summed a range, and running sums of the
-ranges of a source give each range its offset; within a range a running sum
-gives each document its place. So a source of any size is spread over its
+of a source that is the whole table), sizes are summed a range, and running sums
+of the ranges of a source give each range its offset; within a range a running
+sum gives each group its place. So a source of any size is spread over its
 ranges and no task holds a source. The source's budget is cut at the exact
 word: whole epochs of the source first, then the documents that lie below the
 rest, the one across the cut in part.
@@ -18,7 +21,10 @@ Defined results: a null text counts 0 words; a null source is a source of its
 own, sorted last; an empty table gives no rows; documents with equal keys are
 ordered by doc_id (null first) and size, so repeated rows share a cut in an
 arbitrary but harmless order (they are equal); a source without words has
-target 0; other columns are ignored.
+target 0; other columns are ignored. Rows of a null doc_id share one key and are
+ordered by size; in the mixed corpus their text takes its place. There, rows that agree in doc_id, source and text
+are one document that was given several times: it is there as often as all of
+them together were to be taken, with the other columns of one of them.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, discard, materialize
 
-WEIGHTS, MOST, RANGE_ROWS, SEED = (5.0, 2.0, 1.0), 3.0, 20_000, 4211
+WEIGHTS, MOST, RANGE_ROWS, SEED = (5.0, 2.0, 1.0), 3.0, 4000, 4211
 
 
 def words(text: Column) -> Column:
@@ -59,26 +65,39 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         if row[0] is None or row[0] == full or not row[2]:
             break
         full, level = row[0], max(level, (total - row[1]) / row[2])
+    discard(sources)
     return table.select("source", "source_size", F.least(F.col("weight") * level, F.col("source_size") * most).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    sized = materialize(docs.select("doc_id", "source", words(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("key")), "mix-sizes")
-    bits = min(32, max(0, math.ceil(math.log2(max(1, sized.count()) / RANGE_ROWS))))
-    by_source = source_targets(sized, weights, most)
+def _placed(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int, text: str, name: Column, *more: Column) -> DataFrame:
+    """doc_id, source, size (and `more`) of each group of equal rows, their number m, source_size, target, epochs taken whole, and words below the rest: `room` from the group's first row on."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name)).alias("key")
+    rows = docs.select("doc_id", "source", words(F.col(text)).alias("size"), key, *more)
+    groups = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("m")), "mix-sizes")
+    bits = min(32, max(0, math.ceil(math.log2(max(1, groups.count()) / RANGE_ROWS))))
+    by_source = source_targets(groups.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most)
     # the order of keys is the order of ranges as well
-    ranged = sized.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
-    offsets = ranged.groupBy("source", "range").agg(F.sum("size").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ranged = groups.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits)).withColumn("all", F.col("size") * F.col("m"))
+    offsets = ranged.groupBy("source", "range").agg(F.sum("all").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *[c for c in rows.columns[4:]]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("all").over(within), F.lit(0)))
     targets = by_source.withColumnRenamed("source", "s")
     both = offsets.join(targets, offsets["source"].eqNullSafe(targets["s"])).select(F.col("source").alias("s"), F.col("range").alias("r"), "offset", "source_size", "target")
-    joined = placed.join(both, placed["source"].eqNullSafe(both["s"]) & (placed["range"] == both["r"]))
+    joined = placed.join(both, placed["source"].eqNullSafe(both["s"]) & (placed["range"] == both["r"])).drop("s", "r", "key", "all")
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+    return joined.withColumns({"epochs": epochs, "room": rest - F.col("offset") - F.col("inside")})
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, text: str = "text") -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    groups = _placed(docs, weights, most, seed, text, F.col("doc_id").cast("string"))
+    # a row each again, in two steps, so that no list is as long as a group
+    some, n = 4096, F.col("m")
+    pages = groups.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / some))))
+    rows = pages.withColumn("j", F.explode(F.sequence(F.col("page") * some, F.least(n, (F.col("page") + 1) * some) - 1)))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("room") - F.col("j") * F.col("size")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 def cut_text(text: Column, n: Column) -> Column:
@@ -88,14 +107,17 @@ def cut_text(text: Column, n: Column) -> Column:
 
 
 def apply_mix(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The mixed corpus in the input's columns: a document is there once an epoch, the one across a source's cut with the words before the cut; n_chars follows the text. Documents without words, or wholly above the cut, are not there.
-
-    doc_id must identify a document here.
-    """
-    taken = mix(docs, text=text).select("doc_id", "size", "taken").where("taken > 0")
-    copies = taken.select(F.col("doc_id").alias("_id"), "size", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))).alias("_words"))
-    out = docs.join(copies, docs["doc_id"] == copies["_id"])
-    cut = F.when(F.col("_words") < F.col("size"), cut_text(F.col(text), F.col("_words"))).otherwise(F.col(text))
-    columns = [cut.alias(c) if c == text else F.col(c) for c in docs.columns]
-    out = out.select(*columns)
+    """The mixed corpus in the input's columns: a document is there once an epoch, the one across a source's cut with the words before the cut; n_chars follows the text. Documents without words, or wholly above the cut, are not there."""
+    identity = F.md5(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.md5(text).alias("t"))))
+    groups = _placed(docs, WEIGHTS, MOST, SEED, text, F.coalesce(F.col("doc_id").cast("string"), F.md5(text)), identity.alias("_mix_same"))
+    taken = F.col("epochs") * F.col("size") * F.col("m") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size") * F.col("m"), F.col("room")))
+    groups = materialize(groups.select("_mix_same", F.col("size").alias("_mix_size"), F.col("m").alias("_mix_m"), taken.alias("_mix_taken")).where("_mix_taken > 0"), "mix-taken")
+    named = docs.withColumn("_mix_same", identity)
+    single = named.join(groups.where("_mix_m = 1").drop("_mix_m"), "_mix_same")
+    # few but for rows given again and again, which are brought together before the shuffle
+    again = named.join(groups.where("_mix_m > 1").drop("_mix_m"), "_mix_same").groupBy("_mix_same", "_mix_size", "_mix_taken").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*[c for c in docs.columns if c != text]))).alias("_mix_row"))
+    every = single.select("_mix_size", "_mix_taken", *docs.columns).unionByName(again.select("_mix_size", "_mix_taken", "_mix_row.*"))
+    copies = every.withColumn("_mix_words", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_taken") - 1) / F.col("_mix_size"))), lambda i: F.least(F.col("_mix_size"), F.col("_mix_taken") - i * F.col("_mix_size")))))
+    cut = F.when(F.col("_mix_words") < F.col("_mix_size"), cut_text(F.col(text), F.col("_mix_words"))).otherwise(F.col(text))
+    out = copies.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

@@ -12,7 +12,8 @@ the windows hold no candidate, so leaving them out changes nothing.
 
 Weights are learned here by maximum likelihood with stochastic gradients: from
 windows of a bounded sample of documents (`sample_docs` in expectation, chosen by
-hash of doc_id) whose labels are the base spans, from the same windows with
+hash of doc_id; at most `most` windows of at most `longest` characters, which bound
+what is learned from and not what is searched) whose labels are the base spans, from the same windows with
 spans rewritten into forms the patterns don't cover (a phone number without its
 plus sign), and from made-up windows that show all types and numbers that are
 none (dates, amounts, versions, times). An entity is reported if its posterior
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_SPACES, FEATURES, CONFIDENT, SEED = 16, 6, 1 << 14, 0.9, 77
@@ -256,16 +257,15 @@ def fit(examples: list[tuple[str, list[Span]]], epochs: int = 6, rate: float = 0
     return weights
 
 
-def learn(docs: DataFrame, sample_docs: int = 4000, most: int = 1500) -> np.ndarray:
-    """Weights from windows of about `sample_docs` documents; of those windows at most `most` reach the driver."""
-    small_batches(docs.sparkSession)
+def learn(docs: DataFrame, sample_docs: int = 4000, most: int = 1500, longest: int = 400) -> np.ndarray:
+    """Weights from windows of about `sample_docs` documents; of those of up to `longest` characters at most `most` reach the driver."""
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
     key = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, text[a:b]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b in windows(text) if b - a <= 400]
+            found = [(k, text[a:b]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b in windows(text) if b - a <= longest]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["key", "window"])
 
     sample = docs.where(key < share * (1 << 30)).where(F.col("text").rlike("[0-9@]")).select(key.alias("key"), "text").mapInArrow(cut, "key long, window string")
@@ -305,7 +305,6 @@ def detect(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end) of every document."""
     weights = learn(docs) if weights is None else weights
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    small_batches(docs.sparkSession)
     span = "array<struct<kind:string,start:int,end:int>>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

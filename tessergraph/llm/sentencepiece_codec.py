@@ -11,9 +11,9 @@ Spaces are piece bytes themselves: the marker U+2581 of a piece is stored as
 back to bytes and survives decoding. A space is put before the text and taken
 off again on decoding. No piece holds a marker after another character, so a
 text is cut before each run of spaces and its parts are encoded on their own:
-the best path of the whole is the best paths of the parts. A batch's distinct
-parts are searched together, position by position, as arrays; a part that is
-longer than `LONG` bytes goes through the same search alone. A character no
+the best path of the whole is the best paths of the parts. A slice's distinct
+parts are searched together by length, position by position, as arrays; a part
+of another length than all others goes through the same search alone. A character no
 piece covers costs the least score less 10 and becomes its UTF-8 bytes.
 
 Defined results: null text gives null ids and null decoded text; an empty text
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, ranges, small_batches, text_slices
+from .common import hash_spans, ranges, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN_PENALTY, LONG = 10.0, 96
+UNKNOWN_PENALTY = 10.0
 _SLICE = 4 << 20
 _models: dict[str, UnigramModel] = {}
 
@@ -243,7 +243,6 @@ class UnigramModel:
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
     """The columns `keep`, ids (array of int) and round_trip: whether decoding gives the text back byte for byte; with `decoded` the decoded text too."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(UnigramModel.load(model))  # a vocabulary's size, whatever the table
     keep = tuple(c for c in keep if c not in ("ids", "round_trip", "decoded"))
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
@@ -274,7 +273,6 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", model: str = MODEL) -> DataFrame:
     """The columns `keep` and the text of each row's ids; null ids give null."""
-    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(UnigramModel.load(model))
     schema = encoded.select(*keep).schema.add("text", "string")
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialize, pack, ranges, shared_path, small_batches, text_slices, unpack, word_spans
+from .common import hash_spans, materialize, pack, ranges, shared_path, text_slices, unpack, word_spans
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK_TERMS, DENSE, WINDOW, SLACK = 12 << 20, 900_000, 6, 8, 1e-5
@@ -92,7 +92,6 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The shards of an index over (doc_id, text), in the shared folder."""
-    small_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     return materialize(rows.mapInArrow(_build, "docs long, words long, lexicon binary, postings binary, documents binary"), "index")
 
@@ -190,7 +189,6 @@ def search_shard(q: Queries, idf: np.ndarray, average: float, blobs: tuple[bytes
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of the index for each (doc_id, text) of `queries`."""
     spark = index.sparkSession
-    small_batches(spark)
     wanted = queries.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).distinct()
     asked = materialize(wanted.mapInArrow(_query_terms, "doc_id long, terms array<long>, times array<long>").where(F.size("terms") > 0), "queries")
     size, docs = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0], index.agg(F.sum("docs"), F.sum("words")).first()
@@ -199,7 +197,6 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if not size or not docs[0]:
         return spark.createDataFrame([], schema)
     total, average = docs[0], docs[1] / docs[0]
-    small_batches(spark, 1)  # one shard at a time in a worker
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toPandas()
         if not len(rows):

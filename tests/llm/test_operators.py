@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -167,23 +168,77 @@ def test_battery_recall_by_encoding_and_length(spark):
     assert sum(i < 0 for i in got) <= 0.02 * len(got)
 
 
-def test_battery_p_values_against_numpy(spark):
-    token = "aB3dE5gH1jK9mN0pQ2sT4vW6yZ8bC7xF"
-    df = spark.createDataFrame([(token,)], "token string").select(secret_scan._stages(F.array(F.struct(F.lit(0).alias("start"), F.lit(32).alias("end"), F.lit("random").alias("kind"), F.col("token").alias("token")))).alias("t"))
-    got = df.first()["t"][0]
-    v = np.array([secret_scan_alphabet.index(c) for c in token], float)
-    n = len(v)
+def battery(token: str, alphabet: str) -> tuple[float, float, float]:
+    """p_uniform, the log likelihood ratio and p of a token without separators."""
+    v = np.array([alphabet.index(c) for c in token], float)
+    n, size = len(v), len(alphabet)
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
-    counts = np.bincount((v * 4 // 64).astype(int), minlength=4)
-    chi = (counts**2).sum() * 4 / n - n
-    high = v >= 32
+    chi = (np.bincount(v.astype(int)) ** 2).sum() * size / n - n
+    z_chi = ((max(chi, 0) / (size - 1)) ** (1 / 3) - (1 - 2 / (9 * (size - 1)))) / math.sqrt(2 / (9 * (size - 1)))
+    high = 2 * v >= size
     n1 = high.sum()
     runs, mean = 1 + (high[1:] != high[:-1]).sum(), 1 + 2 * n1 * (n - n1) / n
-    z_runs = (runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+    z_runs = (runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)) if 0 < n1 < n else 37
     c = v - v.mean()
     z_serial = (c[1:] * c[:-1]).sum() / (c * c).sum() * math.sqrt(n) + 1 / math.sqrt(n)
-    p_chi = 2 * tail(math.sqrt(chi)) + math.sqrt(2 * chi / math.pi) * math.exp(-chi / 2)
-    assert got["p_random"] == pytest.approx(min(1, 3 * min(p_chi, 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))), abs=1e-5)
+    p = min(1, 3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial))))
+    cost, before = 0.0, (3, 0)
+    for ch in token:  # the chain of ordinary text, symbol by symbol
+        k = 0 if ch.islower() else 1 if ch.isupper() else 2
+        letter = ord(ch.lower()) - 96 if k < 2 else 0
+        row = before[1] if before[0] == k or (before[0], k) == (1, 0) else 0
+        cost += math.log(3) if before[0] == 3 else -math.log(0.85) if before[0] == k else -math.log(0.075)
+        cost += math.log(10) if k == 2 else (ord(secret_scan._PAIRS[row * 26 + letter - 1]) - 48) / 8
+        before = (k, letter)
+    ratio = cost - n * math.log(size)
+    return p, ratio, 1.0 if p < 0.001 else min(1, max(4 * math.exp(-min(ratio, 250)), 1e-99))
+
+
+def test_battery_p_values_against_numpy(spark):
+    rng = random.Random(8)
+    tokens = ["aB3dE5gH1jK9mN0pQ2sT4vW6yZ8bC7xF", "internationalization2024", "zzzzzzzzzzzzzzzzzzzzzzz1", "zq7Jx"]
+    tokens += ["".join(rng.choice(secret_scan_alphabet[:62]) for _ in range(k)) + "aB1" for k in (8, 20, 60)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k)) + "z9" for k in (8, 30)]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secret_scan._stages(F.array(F.struct(F.lit(0).alias("start"), F.length("token").alias("end"), F.lit("random").alias("kind"), F.col("token").alias("token")))).alias("t"))
+    for r in df.collect():
+        got, token = r["t"][0], r["token"]
+        small = re.fullmatch("[a-z0-9]+", token)
+        p, ratio, combined = battery(token, ("abcdefghijklmnopqrstuvwxyz0123456789" if re.search("[0189]", token) else "abcdefghijklmnopqrstuvwxyz234567") if small else secret_scan_alphabet)
+        assert got["p_uniform"] == pytest.approx(p, abs=1e-5)
+        assert got["uniformity"] + got["runs"] + got["serial"] == pytest.approx(ratio, abs=1e-6)
+        assert got["p"] == pytest.approx(combined, rel=1e-6)
+
+
+def test_cut_against_the_procedure(spark):
+    rng = random.Random(2)
+    rows = [(rng.random(), rng.randrange(8, 60)) for _ in range(700)] + [(10 ** -rng.uniform(1, 40), rng.randrange(8, 60)) for _ in range(90)]
+    mean, cut = secret_scan.cut_of(spark.createDataFrame([(p, float(n)) for p, n in rows], "p double, n double"))
+    assert mean == pytest.approx(sum(n for _, n in rows) / len(rows))
+    weighted = sorted(min(1.0, p * mean / n) for p, n in rows)
+    exact = max(k for k, q in enumerate(weighted, 1) if q <= 0.01 * k / len(rows))
+    found = sum(q <= cut for q in weighted)
+    # bins count at their upper edge, so never more are reported, and hardly fewer
+    assert exact - 2 <= found <= exact and found > 50
+
+
+def test_many_matches_in_one_text(spark):
+    n = 50_000
+    text = " ".join(f"token={k:06d} {'x' * (k % 3)}" for k in range(n))
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secret_scan.scan(df).first()
+    assert row["n_assign"] == n and row["spans"].startswith("assign:0:12,assign:14:26,")
+    got = secret_scan.redact(df).first()["text"]
+    assert got == " ".join(f"[assign] {'x' * (k % 3)}" for k in range(n))
+    assert time.perf_counter() - began < 60
+
+
+def test_prefixed_and_short_tokens(spark):
+    rng = random.Random(12)
+    prefixed = ["ghp_" + "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(36)) for _ in range(30)]
+    short = ["".join(rng.choice(secret_scan_alphabet[:62]) for _ in range(14)) + "a1" for _ in range(30)]
+    df = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(prefixed + short)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secret_scan.detect(df).collect() if r["spans"]}
+    assert len(found & set(range(30))) >= 28 and len(found & set(range(30, 60))) >= 25
 
 
 secret_scan_alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -241,6 +296,29 @@ def test_mixed_corpus_has_the_words_taken(docs):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_mixed_corpus_of_repeated_rows_and_rows_without_id(spark, messy, empty):
+    named = messy.where("doc_id is not null")
+    for table in (named, named.union(named), messy, messy.union(messy).union(messy.where("doc_id is null"))):
+        taken = Counter()
+        for r in mixing.mix(table).collect():
+            taken[r["doc_id"]] += r["taken"]
+        mixed = mixing.apply_mix(table)
+        assert mixed.columns == table.columns
+        got = Counter()
+        for r in mixed.collect():
+            got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        # without an id another row may be the one across the cut, but the words are as many
+        assert got == {k: v for k, v in taken.items() if v} or None in taken and sum(got.values()) == sum(taken.values())
+    assert mixing.apply_mix(empty).collect() == []
+
+
+def test_one_key_in_many_rows_is_few_groups(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("some words here").alias("text"))
+    got = mixing.mix(rows)
+    assert got.count() == 9000 and got.agg(F.sum("taken")).first()[0] == 27_000
+    assert mixing.apply_mix(rows).count() == 9000
+
+
 # 5 language-model scores
 
 
@@ -282,7 +360,7 @@ def test_rare_words_of_a_large_corpus_keep_their_counts(spark):
 
 
 def test_token_counts_against_the_tokenizer(docs, texts, messy, empty):
-    tokenizer = token_counts.encoder(token_counts.VOCABULARY)
+    tokenizer = token_counts.encoder(token_counts.vocabulary_bytes(token_counts.VOCABULARY))
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.document_token_counts(docs).collect()} == {k: len(tokenizer.encode_ordinary(t)) for k, t in texts.items()}
     rows = messy.where("doc_id is null or doc_id < 11").coalesce(1)
     got = token_counts.document_token_counts(rows).collect()
@@ -301,8 +379,15 @@ def test_stitching_across_blocks(spark, tmp_path):
             if at < size or at > start:
                 expected.append((k, start, at - start, at < size))
             start = at + 1
-    for block in (1, 3, 64, 5000):
-        rows = token_counts.count_tokens(spark, str(tmp_path), block=block).collect()
+    (tmp_path / "part-9").write_bytes(b"\xef\xbb\xbf" + token_counts.END.to_bytes(2, "little") + b"\x0a" + token_counts.END.to_bytes(2, "little") * 2)
+    expected += [(9, 0, 3, True), (9, 4, 0, True)]
+    (tmp_path / "part-8").write_bytes(np.array([10, token_counts.END, 2570, 10], "<u2").tobytes() + b"\x0a")
+    expected += [(8, 0, 1, True), (8, 2, 2, False)]
+    for block, most in ((1, "7b"), (3, "64b"), (64, "100b"), (5000, "128m")):
+        small = spark.newSession()
+        small.conf.set("spark.sql.files.maxPartitionBytes", most)
+        small.conf.set("spark.sql.files.openCostInBytes", "1b")
+        rows = token_counts.count_tokens(small, str(tmp_path), block=block).collect()
         assert sorted((int(r["file"].rsplit("-", 1)[1]), r["start"], r["n_tokens"], r["ended"]) for r in rows) == sorted(expected)
         assert all(len({r["doc_no"] for r in rows if r["file"] == f}) == sum(r["file"] == f for r in rows) for f in {r["file"] for r in rows})
 
@@ -448,6 +533,16 @@ def test_jaccard_join_of_messy_texts(messy, empty):
     assert jaccard_join.jaccard_join(empty).collect() == []
 
 
+def test_one_document_of_each_group_stays(spark, messy, empty):
+    rows = jaccard_join.keep_one(messy)
+    assert rows.columns == messy.columns
+    # 1, 2 and 3 are near copies and 3 is there twice; the row without an id stays
+    assert sorted(r["doc_id"] for r in rows.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 11] and rows.where("doc_id is null").count() == 1
+    more = messy.union(messy).union(messy.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))).union(messy.where("doc_id = 2").withColumn("doc_id", F.lit(-5).cast("long")))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in jaccard_join.keep_one(more).collect()) == [*((False, k) for k in (-5, 4, 5, 6, 7, 8, 9, 10, 11)), (True, 0)]
+    assert jaccard_join.keep_one(empty).collect() == []
+
+
 def test_posterior_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(0)
     for n, least in jaccard_join.least_matches():

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 from tessergraph.llm import queries
+from tessergraph.llm.common import materialize
 
 from .test_operators import WORD, near_groups, secrets
 
@@ -30,6 +31,19 @@ def test_stages_against_brute_force(spark):
     assert stages[4](spark, docs, SMALL).where("round_trip").count() == len(before)
 
 
+def test_stages_on_messy_and_empty_tables(spark, messy, empty):
+    for table in (messy, messy.union(messy), empty):
+        docs, n = table, []
+        for _, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SMALL), "test-stage")
+            n.append(docs.count())
+            if stage is not corpus_pipeline.STAGES[-1][1]:
+                assert docs.columns == table.columns
+        # without letters: 4, 5, 6, 8; near copies of 1: 2 and 3; then as many words as there were, of one source each
+        times = table.count() // 14
+        assert n[0] == 10 * times and n[1] == 7 * min(times, 1) and n[2] == n[1] and n[4] == n[3]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.count() > 100 and "ids" in rows.columns

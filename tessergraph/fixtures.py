@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .model import ELEMENTS, RELATIONSHIPS, Graph
 from .plans.storage import materialize
 
+#: Attribute of the classes of parts of a size.
+ATTRIBUTES = {47: "dataContractAttribute", 48: "Export", 49: "ObsoleteAttribute", 50: "Test"}
 _graphs: dict[tuple[str, str], Graph] = {}
 #: Whether graphs, and what is derived from them, are kept for the next query of the application.
 keep_graphs = True
@@ -35,7 +37,8 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         namespace = F.concat_ws(".", "p_type", "p_brand")
         class_name, class_full = F.concat(F.lit("P"), c("p_partkey")), F.concat(namespace, F.lit(".P"), c("p_partkey"))
         place = F.array(F.struct(F.concat(F.lit("src/"), c("p_type"), F.lit("/"), c("p_brand"), F.lit("/P"), c("p_partkey"), F.when(c("p_size") % 3 == 0, ".py").otherwise(".cs")).alias("file"), c("p_size").alias("line"), F.lit(1).alias("column"))).cast(ELEMENTS["source_locations"].dataType)
-        test = F.when(c("p_size") == 50, F.array(F.lit("Test"))).otherwise(none)
+        named = F.create_map(*[F.lit(x) for pair in ATTRIBUTES.items() for x in pair])[c("p_size")]
+        test = F.when(named.isNotNull(), F.array(named)).otherwise(none)
         external = c("p_partkey") % 40 == 0
         methods = line.select("l_partkey", "l_suppkey").distinct().join(part, c("l_partkey") == c("p_partkey"))
         access = F.element_at(F.array(F.lit("Private"), F.lit("Internal"), F.lit("Public")), (c("l_suppkey") % 3 + 1).cast("int"))
@@ -53,8 +56,10 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         kind = F.when(c("l_returnflag") == "R", "Calls").when(c("l_returnflag") == "A", "Uses").otherwise("Creates")
         calls = following.where("l_quantity >= 40 and nq >= 40").select(method.alias("source_id"), target.alias("target_id"), kind.alias("type"), flag(2, 8).alias("attributes"))
         handles = following.where("l_discount >= 0.095 and nq is not null").select(method.alias("source_id"), target.alias("target_id"), F.lit("Handles").alias("type"), flag(64, 128).alias("attributes"))
-        first = Window.partitionBy("p_type", "p_brand")
-        bases = part.withColumn("base", F.min("p_partkey").over(first)).where("p_partkey <> base")
+        # the parts of a brand as a binary heap: the n-th inherits from the one at half of n
+        placed = part.withColumn("n", F.row_number().over(Window.partitionBy("p_type", "p_brand").orderBy("p_partkey"))).select("p_partkey", "p_type", "p_brand", "n")
+        half = placed.select("p_type", "p_brand", c("n").alias("half"), c("p_partkey").alias("base"))
+        bases = placed.withColumn("half", (c("n") / 2).cast("int")).join(half, ["p_type", "p_brand", "half"]).select("p_partkey", "base")
         inherits = bases.select(F.concat(F.lit("C:"), "p_partkey").alias("source_id"), F.concat(F.lit("C:"), "base").alias("target_id"), F.lit("Inherits").alias("type"), F.lit(0).alias("attributes"))
         pairs = line.select("l_partkey", "l_suppkey").distinct()
         overrides = pairs.join(bases.select(c("p_partkey").alias("l_partkey"), "base"), "l_partkey").join(pairs.select(c("l_partkey").alias("base"), "l_suppkey"), ["base", "l_suppkey"]).select(method.alias("source_id"), F.concat_ws(":", F.lit("M"), "base", "l_suppkey").alias("target_id"), F.lit("Overrides").alias("type"), F.lit(0).alias("attributes"))
@@ -62,7 +67,8 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         relationships = merged.withColumn("source_locations", F.array().cast(RELATIONSHIPS["source_locations"].dataType))
         sums = line.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("int").alias("code_lines"), F.count("*").cast("int").alias("comment_lines"), F.max("l_linenumber").cast("int").alias("cyclomatic_complexity"))
         metrics = sums.select(method.alias("element_id"), "code_lines", "comment_lines", c("code_lines").alias("logical_lines_of_code"), "cyclomatic_complexity")
-        _graphs[key] = Graph(materialize(elements, "fx-elements"), materialize(relationships, "fx-relationships"), materialize(metrics, "fx-metrics"))
+        contracts = methods.where("l_suppkey % 10 = 0").select(method.alias("element_id"), F.lit("System.IDisposable.Dispose").alias("contract"))
+        _graphs[key] = Graph(materialize(elements, "fx-elements"), materialize(relationships, "fx-relationships"), materialize(metrics, "fx-metrics"), materialize(contracts, "fx-contracts"))
     return _graphs[key]
 
 
@@ -76,7 +82,9 @@ elements AS (
   UNION ALL SELECT 'C:' || p_partkey, 'Class', 'P' || p_partkey, p_type || '.' || p_brand || '.P' || p_partkey, 'N:' || p_type || '.' || p_brand, CASE WHEN p_size < 10 THEN 'Internal' ELSE 'Public' END, p_partkey % 40 = 0, p_size % 10 = 0, p_size = 50,
     'src/' || p_type || '/' || p_brand || '/P' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.py' ELSE '.cs' END FROM part
   UNION ALL SELECT 'M:' || l_partkey || ':' || l_suppkey, 'Method', 'S' || l_suppkey, p_type || '.' || p_brand || '.P' || p_partkey || '.S' || l_suppkey, 'C:' || l_partkey, CASE l_suppkey % 3 WHEN 0 THEN 'Private' WHEN 1 THEN 'Internal' ELSE 'Public' END, p_partkey % 40 = 0, p_size % 10 = 0, false, NULL FROM pair JOIN part ON p_partkey = l_partkey),
-bases AS (SELECT * FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type, p_brand) AS base FROM part) WHERE p_partkey <> base),
+marked AS (SELECT 'C:' || p_partkey AS id, CASE p_size WHEN 47 THEN 'dataContractAttribute' WHEN 48 THEN 'Export' WHEN 49 THEN 'ObsoleteAttribute' ELSE 'Test' END AS attribute FROM part WHERE p_size >= 47),
+heap AS (SELECT p_partkey, p_type, p_brand, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS n FROM part),
+bases AS (SELECT a.p_partkey, b.p_partkey AS base FROM heap a JOIN heap b ON b.p_type = a.p_type AND b.p_brand = a.p_brand AND b.n = a.n // 2),
 raw_edges AS (
   SELECT method AS source_id, following AS target_id, CASE l_returnflag WHEN 'R' THEN 'Calls' WHEN 'A' THEN 'Uses' ELSE 'Creates' END AS type, CASE l_linestatus WHEN 'F' THEN 2 ELSE 8 END AS attributes FROM line WHERE l_quantity >= 40 AND nq >= 40
   UNION ALL SELECT method, following, 'Handles', CASE l_linestatus WHEN 'F' THEN 64 ELSE 128 END FROM line WHERE l_discount >= 0.095 AND nq IS NOT NULL
@@ -92,6 +100,29 @@ type_edges AS (SELECT DISTINCT s.type_id AS src, t.type_id AS dst FROM deps d JO
   WHERE s.type_id <> t.type_id AND s.type_id IN (SELECT id FROM own_types) AND t.type_id IN (SELECT id FROM own_types))"""
 
 
+def property_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """`code_graph` with a property `Size` in each class, its accessor, and an event; a method whose supplier divides by three uses the accessor of its class's base."""
+    g, part = code_graph(spark, sf_dir), table(spark, sf_dir, "part")
+    c = F.col
+    full = F.concat(F.concat_ws(".", "p_type", "p_brand"), F.lit(".P"), c("p_partkey"))
+    none = lambda f: F.array().cast(ELEMENTS[f].dataType).alias(f)
+    row = lambda kind, mark, name, above, access: part.select(F.concat(F.lit(f"{mark}:"), "p_partkey").alias("id"), F.lit(kind).alias("element_type"), F.lit(name).alias("name"), F.concat(full, F.lit(f".{above[1]}{name}")).alias("full_name"), F.concat(F.lit(f"{above[0]}:"), "p_partkey").alias("parent_id"), access.alias("access_level"), (c("p_partkey") % 40 == 0).alias("is_external"), F.lit(False).alias("is_generated"), none("attributes"), none("source_locations"))
+    level = F.when(c("p_partkey") % 3 == 0, "Private").otherwise("Public")
+    more = row("Property", "P", "Size", ("C", ""), level).unionByName(row("PropertyAccessor", "A", "get", ("P", "Size."), level)).unionByName(row("Event", "E", "Changed", ("C", ""), F.lit("Public")))
+    bases = g.relationships.where("type = 'Inherits'").select(c("source_id").alias("parent_id"), F.concat(F.lit("A"), F.substring("target_id", 2, 100)).alias("target_id"))
+    uses = g.elements.where("element_type = 'Method'").where(F.expr("cast(substring(name, 2) as long) % 3 = 0")).select(c("id").alias("source_id"), "parent_id").join(bases, "parent_id").select("source_id", "target_id", F.lit("Uses").alias("type"), F.lit(0).alias("attributes"), F.array().cast(RELATIONSHIPS["source_locations"].dataType).alias("source_locations"))
+    return Graph(g.elements.unionByName(more), g.relationships.unionByName(uses), g.metrics, g.contracts, part.where("p_size % 5 = 0").select(F.concat(F.lit("C:"), "p_partkey").alias("id")))
+
+
+#: What `property_graph` adds, after GRAPH_SQL: elements, relationships and the ancestors of all elements.
+PROPERTY_SQL = """, inner_parts AS (SELECT 'P:' || p_partkey AS id, 'Property' AS element_type, 'Size' AS name, p_type || '.' || p_brand || '.P' || p_partkey || '.Size' AS full_name, 'C:' || p_partkey AS parent_id, CASE p_partkey % 3 WHEN 0 THEN 'Private' ELSE 'Public' END AS access_level, p_partkey % 40 = 0 AS is_external FROM part
+  UNION ALL SELECT 'A:' || p_partkey, 'PropertyAccessor', 'get', p_type || '.' || p_brand || '.P' || p_partkey || '.Size.get', 'P:' || p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Private' ELSE 'Public' END, p_partkey % 40 = 0 FROM part
+  UNION ALL SELECT 'E:' || p_partkey, 'Event', 'Changed', p_type || '.' || p_brand || '.P' || p_partkey || '.Changed', 'C:' || p_partkey, 'Public', p_partkey % 40 = 0 FROM part),
+all_elements AS (SELECT id, element_type, name, full_name, parent_id, access_level, is_external, is_generated FROM elements UNION ALL SELECT *, false FROM inner_parts),
+all_relationships AS (SELECT source_id, target_id, type, attributes FROM relationships UNION ALL SELECT m.id, 'A' || substr(r.target_id, 2), 'Uses', 0 FROM elements m JOIN relationships r ON r.source_id = m.parent_id AND r.type = 'Inherits' WHERE m.element_type = 'Method' AND CAST(substr(m.name, 2) AS BIGINT) % 3 = 0),
+all_closure AS (SELECT root, id FROM closure UNION ALL SELECT id, id FROM inner_parts UNION ALL SELECT c.root, i.id FROM inner_parts i JOIN closure c ON c.id = 'C:' || substr(i.id, 3) UNION ALL SELECT parent_id, id FROM inner_parts WHERE element_type = 'PropertyAccessor')"""
+
+
 def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """change_sets(id, committer, date), items(change_set_id, id, kind, path), files(id, path, code), contributions(path, developer, lines)."""
     orders, line, part = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))

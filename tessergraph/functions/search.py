@@ -25,7 +25,7 @@ def camel_hump(term: str) -> str:
 
 def _term(text: str, field: Column) -> Column:
     key, _, value = text.partition(":")
-    if key.lower() == "type" and value:
+    if key.lower() == "type" and ":" in text:  # a missing or unknown kind is Other
         return F.col("element_type") == _KINDS.get(value.lower(), "Other")
     if key.lower() == "source" and value.lower() in ("intern", "extern", "generated"):
         return {"intern": ~F.col("is_external"), "extern": F.col("is_external"), "generated": F.col("is_generated")}[value.lower()]

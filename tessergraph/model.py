@@ -33,7 +33,9 @@ class Graph:
     elements: DataFrame
     relationships: DataFrame
     metrics: DataFrame | None = None
+    #: (element_id, contract): members that implement something from outside, recorded beside the graph; and ids of types whose public properties markup may bind.
     contracts: DataFrame | None = None
+    notifying: DataFrame | None = None
     _kept: dict = field(default_factory=dict, repr=False)
 
     @cached_property

@@ -44,11 +44,11 @@ def partitions(g: Graph, types: DataFrame, lifecycle: bool = False, bases: bool
 
 
 def type_cohesion(g: Graph, least: int = 4) -> DataFrame:
-    """Classes of the analyzed code with `least` or more methods whose members fall apart: id, full_name, methods, partitions, share of the largest."""
+    """Classes of the analyzed code with `least` or more methods whose members fall apart, those of their bases tying them too: id, full_name, methods, partitions, share of the largest."""
     classes = g.elements.where("element_type = 'Class' and not is_external").select("id", "full_name")
     methods = g.elements.where((F.col("element_type") == "Method") & ~F.col("name").isin(*LIFECYCLE)).select("id", F.col("parent_id").alias("type_id")).join(classes.select(F.col("id").alias("type_id")), "type_id", "left_semi")
     many = methods.groupBy("type_id").agg(F.count("*").alias("methods")).where(F.col("methods") >= least)
-    parts = partitions(g, many.select(F.col("type_id").alias("id")))
+    parts = partitions(g, many.select(F.col("type_id").alias("id")), bases=True)
     sizes = parts.join(methods, ["type_id", "id"], "left_semi").groupBy("type_id", "partition").agg(F.count("*").alias("n"))
     split = sizes.groupBy("type_id").agg(F.count("*").alias("partitions"), (F.max("n") / F.sum("n")).alias("share")).where("partitions >= 2")
     return split.join(many, "type_id").join(classes.withColumnRenamed("id", "type_id"), "type_id").select(F.col("type_id").alias("id"), "full_name", "methods", "partitions", "share")

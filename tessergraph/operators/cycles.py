@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import container_level, relevant_for_cycles
 from ..model import Graph
 from ..plans.fixpoint import strong_components
 from ..plans.storage import materialize
-from .metrics import degrees
 
 
 def relevant(g: Graph) -> DataFrame:
@@ -61,9 +60,14 @@ def cycle_edges(g: Graph) -> DataFrame:
 
 
 def cycle_summary(g: Graph) -> DataFrame:
-    """component, name, level and size of each group; named by its member with most edges in, then out, then the least name."""
-    m = cycle_groups(g).join(g.elements.select("id", "element_type", "full_name"), "id").join(degrees(g), "id")
-    order = Window.partitionBy("component").orderBy(F.desc("incoming"), F.desc("outgoing"), "full_name")
-    first = m.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("component", F.col("full_name").alias("name"))
+    """component, name, level and size of each group; named by the element of its detailed graph, which holds the members and the ends of all edges behind the group, with most edges in, then out, then the least name."""
+    members = cycle_groups(g)
+    edges = materialize(cycle_edges(g).join(relevant(g), ["source_id", "target_id"]), "cycle-details")
+    count = lambda side, name: edges.groupBy("component", F.col(side).alias("id")).agg(F.count("*").alias(name))
+    into, out_of = count("target_id", "incoming"), count("source_id", "outgoing")
+    every = members.unionByName(into.select("component", "id")).unionByName(out_of.select("component", "id")).distinct()
+    ranked = every.join(into, ["component", "id"], "left").join(out_of, ["component", "id"], "left").fillna(0, ["incoming", "outgoing"]).join(g.elements.select("id", "name"), "id")
+    first = ranked.groupBy("component").agg(F.min(F.struct((-F.col("incoming")).alias("a"), (-F.col("outgoing")).alias("b"), "name")).alias("first")).select("component", "first.name")
+    m = members.join(g.elements.select("id", "element_type"), "id")
     kinds = m.groupBy("component").agg(F.count("*").alias("size"), *[F.bool_or(c).alias(n) for n, c in (("a", F.col("element_type") == "Assembly"), ("n", F.col("element_type") == "Namespace"), ("t", container_level(F.col("element_type")) == 20))])
     return kinds.join(first, "component").select("component", "name", F.when(F.col("a"), "Assembly").when(F.col("n"), "Namespace").when(F.col("t"), "Type").otherwise("Other").alias("level"), "size")

@@ -84,9 +84,10 @@ def partition_order(nodes: list[str], edges: set[tuple[str, str]]) -> list[str]:
     members: dict[int, list[str]] = {}
     for v in nodes:
         members.setdefault(group[v], []).append(v)
-    links = {(group[a], group[b]) for a, b in edges if group[a] != group[b]}
+    links: dict[int, list[int]] = {k: [] for k in members}
     waiting = dict.fromkeys(members, 0)
-    for _, b in links:
+    for a, b in sorted({(group[a], group[b]) for a, b in edges if group[a] != group[b]}):
+        links[a].append(b)
         waiting[b] += 1
     index = {v: k for k, v in enumerate(nodes)}
     heap = [(index[m[0]], k) for k, m in members.items() if not waiting[k]]
@@ -95,11 +96,10 @@ def partition_order(nodes: list[str], edges: set[tuple[str, str]]) -> list[str]:
     while heap:
         _, k = heapq.heappop(heap)
         out += members[k]
-        for a, b in sorted(links):
-            if a == k:
-                waiting[b] -= 1
-                if not waiting[b]:
-                    heapq.heappush(heap, (index[members[b][0]], b))
+        for b in links[k]:
+            waiting[b] -= 1
+            if not waiting[b]:
+                heapq.heappush(heap, (index[members[b][0]], b))
     return out
 
 
@@ -109,8 +109,9 @@ def sibling_order(g: Graph) -> DataFrame:
     rows = g.elements.where("element_type <> 'Method' and not is_external").select(F.coalesce("parent_id", F.lit("")).alias("parent"), "id", F.lit(None).cast("string").alias("to")).unionByName(near)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["id"]))
-        edges = {(a, b) for a, b in zip(pdf["id"], pdf["to"], strict=True) if b is not None and b in set(nodes)}
+        known = set(pdf["id"])
+        nodes = sorted(known)
+        edges = {(a, b) for a, b in zip(pdf["id"], pdf["to"], strict=True) if b is not None and b in known}
         order = partition_order(nodes, edges)
         return pd.DataFrame({"parent": pdf["parent"].iloc[0], "id": order, "position": range(len(order))})
 

@@ -23,7 +23,7 @@ def remove(g: Graph, ids: DataFrame) -> Graph:
     lost = gone.select(F.col("id").alias("parent_id"), F.lit(True).alias("lost"))
     elements = g.elements.join(gone, "id", "left_anti").join(lost, "parent_id", "left").withColumn("parent_id", F.when(F.col("lost").isNull(), F.col("parent_id"))).select(*g.elements.columns)
     edges = g.relationships.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(*g.relationships.columns)
-    return Graph(elements, edges, g.metrics, g.contracts)
+    return Graph(elements, edges, g.metrics, g.contracts, g.notifying)
 
 
 def delete(g: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
@@ -33,7 +33,7 @@ def delete(g: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
 
 
 def delete_relationships(g: Graph, edges: DataFrame) -> Graph:
-    return Graph(g.elements, g.relationships.join(edges.select("source_id", "target_id", "type").distinct(), ["source_id", "target_id", "type"], "left_anti").select(*g.relationships.columns), g.metrics, g.contracts)
+    return Graph(g.elements, g.relationships.join(edges.select("source_id", "target_id", "type").distinct(), ["source_id", "target_id", "type"], "left_anti").select(*g.relationships.columns), g.metrics, g.contracts, g.notifying)
 
 
 def insert(g: Graph, elements: DataFrame) -> Graph:
@@ -42,7 +42,7 @@ def insert(g: Graph, elements: DataFrame) -> Graph:
     every = g.elements.unionByName(new)
     known = every.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     fixed = every.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).select(*g.elements.columns)
-    return Graph(fixed, g.relationships, g.metrics, g.contracts)
+    return Graph(fixed, g.relationships, g.metrics, g.contracts, g.notifying)
 
 
 def move(g: Graph, ids: DataFrame, to: str) -> Graph:
@@ -68,7 +68,7 @@ def move(g: Graph, ids: DataFrame, to: str) -> Graph:
     e = g.elements.join(old, "id", "left")
     name = F.when(F.col("root").isNull(), F.col("full_name")).when(F.expr("startswith(full_name, old)"), F.concat("new", F.expr("substring(full_name, length(old) + 1)"))).otherwise(F.col("full_name"))
     e = e.withColumn("full_name", name).withColumn("parent_id", F.when(F.col("root") == F.col("id"), F.lit(to)).otherwise(F.col("parent_id")))
-    return Graph(e.select(*g.elements.columns), g.relationships, g.metrics, g.contracts)
+    return Graph(e.select(*g.elements.columns), g.relationships, g.metrics, g.contracts, g.notifying)
 
 
 def default_name(g: Graph, parent: str, element_type: str) -> str:
@@ -84,7 +84,7 @@ def create(g: Graph, parent: str, element_type: str, ident: str, name: str | Non
         raise EditError(f"no {element_type} can lie in {parent}")
     name = name or default_name(g, parent, element_type)
     row = g.elements.sparkSession.createDataFrame([(ident, element_type, name, f"{holder['full_name']}.{name}", parent, "Unknown", False, False, [], [])], ELEMENTS)
-    return Graph(g.elements.unionByName(row.select(*g.elements.columns)), g.relationships, g.metrics, g.contracts)
+    return Graph(g.elements.unionByName(row.select(*g.elements.columns)), g.relationships, g.metrics, g.contracts, g.notifying)
 
 
 def with_global_namespaces(g: Graph) -> Graph:
@@ -99,4 +99,4 @@ def with_global_namespaces(g: Graph) -> Graph:
     e = g.elements.join(old, "id", "left")
     name = F.when(F.col("root").isNotNull(), F.concat("top_name", F.lit(".global"), F.expr("substring(full_name, length(top_name) + 1)"))).otherwise(F.col("full_name"))
     e = e.withColumn("full_name", name).withColumn("parent_id", F.when(F.col("root") == F.col("id"), F.concat("top", F.lit("/global"))).otherwise(F.col("parent_id"))).select(*g.elements.columns)
-    return Graph(e.unionByName(spaces.select(*g.elements.columns)), g.relationships, g.metrics, g.contracts)
+    return Graph(e.unionByName(spaces.select(*g.elements.columns)), g.relationships, g.metrics, g.contracts, g.notifying)

@@ -16,6 +16,8 @@ from ..plans.storage import materialize
 
 EDGE = ("source_id", "target_id", "type", "attributes")
 CONTRACTS = ("Inherits", "Implements", "Overrides")
+#: Kinds of elements that a view may leave out.
+HIDEABLE = ("Method", "Property", "PropertyAccessor", "Field", "Event", "Enum", "Delegate")
 
 
 def _ids(ids: DataFrame, name: str = "id") -> DataFrame:
@@ -99,6 +101,26 @@ def hierarchy_gaps(g: Graph, ids: DataFrame) -> DataFrame:
     return up.join(first, "id").where("pos > top").select(F.col("above").alias("id")).distinct().join(known, "id", "left_anti")
 
 
+def dead_ends(g: Graph) -> DataFrame:
+    """Edges of which an end is no element."""
+    known = g.elements.select("id")
+    lost = lambda side: g.relationships.join(known.select(F.col("id").alias(side)), side, "left_anti").select(*EDGE)
+    return lost("source_id").unionByName(lost("target_id")).distinct()
+
+
+def hide(g: Graph, element_types: tuple[str, ...] = (), relationship_types: tuple[str, ...] = ()) -> Graph:
+    """A view without elements and edges of some kinds. Members, enumerations and delegates can be hidden, containers can't; an edge goes with its ends."""
+    wrong = set(element_types) - set(HIDEABLE)
+    if wrong:
+        raise ValueError(f"can't be hidden: {', '.join(sorted(wrong))}")
+    elements = g.elements.where(~F.col("element_type").isin(*element_types)) if element_types else g.elements
+    edges = g.relationships.where(~F.col("type").isin(*relationship_types)) if relationship_types else g.relationships
+    if element_types:
+        for side in ("source_id", "target_id"):
+            edges = edges.join(elements.select(F.col("id").alias(side)), side, "left_semi")
+    return Graph(elements, edges.select(*g.relationships.columns), g.metrics, g.contracts, g.notifying)
+
+
 def subgraph(g: Graph, ids: DataFrame) -> Graph:
     """The ids' elements and the edges among them; a parent outside is lost."""
     kept = _ids(ids)

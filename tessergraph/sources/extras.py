@@ -31,7 +31,7 @@ def link_markup(g: Graph, files: DataFrame) -> Graph:
     rest = used.drop("text").distinct().join(exact, ["owner_id", "prefix", "name"], "left_anti").join(single, "name").select("owner_id", "name", "prefix", "target_id")
     place = F.array().cast(g.relationships.schema["source_locations"].dataType)
     new = exact.unionByName(rest).select(F.col("owner_id").alias("source_id"), "target_id", F.lit("Uses").alias("type"), F.lit(FLAGS["IsXamlReference"]).alias("attributes"), place.alias("source_locations")).where("source_id <> target_id")
-    return Graph(g.elements, canonical(g.relationships.unionByName(new.select(*g.relationships.columns))), g.metrics, g.contracts)
+    return Graph(g.elements, canonical(g.relationships.unionByName(new.select(*g.relationships.columns))), g.metrics, g.contracts, g.notifying)
 
 
 def parse_report(text: str) -> list[dict]:

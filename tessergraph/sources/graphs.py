@@ -11,7 +11,6 @@ from ..functions.predicates import ACCESS_LEVELS, ELEMENT_TYPES, FLAGS, RELATION
 from ..model import ELEMENTS, RELATIONSHIPS, Graph, canonical
 
 
-
 class FormatError(ValueError):
     """A line that is neither an element nor a relationship."""
 
@@ -34,9 +33,12 @@ def parse_plain_text(lines: DataFrame) -> Graph:
     """
     rows = lines.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#')")
     owned = rows.withColumn("is_loc", F.col("line").startswith("loc="))
-    # the owner is the last other line before; carried within ranges of lines, so one ordered window per file
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = owned.withColumn("owner", F.last(F.when(~F.col("is_loc"), F.col("line_no")), ignorenulls=True).over(w))
+    # the owner is the last other line before: within a block of lines, or the last of the blocks before, of which there is a row each
+    owned = owned.withColumn("block", F.shiftright("line_no", 14))
+    other = F.when(~F.col("is_loc"), F.col("line_no"))
+    lasts = owned.groupBy("block").agg(F.max(other).alias("last")).withColumn("carried", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "carried")
+    w = Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    owned = owned.withColumn("owner", F.max(other).over(w)).join(lasts, "block").withColumn("owner", F.coalesce("owner", "carried")).drop("block", "carried")
     place = F.struct(F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 1).alias("file"), F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 2).cast("int").alias("line"), F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 3).cast("int").alias("column"))
     places = owned.where("is_loc").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", place.alias("p")))), lambda x: x.p).alias("source_locations"))
     body = owned.where("not is_loc").select("line_no", F.split("line", r"\s+").alias("w")).join(places, F.col("line_no") == F.col("owner"), "left").drop("owner")

@@ -323,15 +323,15 @@ def test_one_key_in_many_rows_is_few_groups(spark):
 
 
 def test_scores_against_brute_force(messy, docs, empty):
-    for table in (messy, docs):
+    for table, least in ((messy, 1), (docs, 1), (docs, 2)):
         rows = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in table.collect()]
         one, two = Counter(w for _, t in rows for w in t), Counter(p for _, t in rows for p in zip(t, t[1:], strict=False))
         n = sum(one.values())
         expected = []
         for doc, t in rows:
-            s = [math.log(one[w] / n) if k == 0 else math.log(two[t[k - 1], w] / one[t[k - 1]]) if two[t[k - 1], w] >= 2 else math.log(0.4 * one[w] / n) for k, w in enumerate(t)]
+            s = [math.log(one[w] / n) if k == 0 else math.log(two[t[k - 1], w] / one[t[k - 1]]) if two[t[k - 1], w] >= least else math.log(0.4 * one[w] / n) for k, w in enumerate(t)]
             expected.append((doc if doc is not None else -1, len(t), round(sum(s) / len(s), 4) if s else None))
-        got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], None if r["score"] is None else round(r["score"], 4)) for r in lm_scoring.score(table).collect()]
+        got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], None if r["score"] is None else round(r["score"], 4)) for r in lm_scoring.score(table, lm_scoring.train(table, least)).collect()]
         key = lambda x: (x[0], x[1], x[2] or 0)
         for a, b in zip(sorted(expected, key=key), sorted(got, key=key), strict=True):
             assert a[:2] == b[:2] and (a[2] is None and b[2] is None or a[2] == pytest.approx(b[2], abs=2e-4))
@@ -352,7 +352,7 @@ def test_rare_words_of_a_large_corpus_keep_their_counts(spark):
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(table).collect()}
     assert len(got) == len(texts)
     for k, t in enumerate(texts):
-        s = [math.log(one[w] / n) if i == 0 else math.log(two[t[i - 1], w] / one[t[i - 1]]) if two[t[i - 1], w] >= 2 else math.log(0.4 * one[w] / n) for i, w in enumerate(t)]
+        s = [math.log(one[w] / n) if i == 0 else math.log(two[t[i - 1], w] / one[t[i - 1]]) if two[t[i - 1], w] >= 1 else math.log(0.4 * one[w] / n) for i, w in enumerate(t)]
         assert got[k] == pytest.approx(sum(s) / len(s), abs=2e-6)
 
 
@@ -402,7 +402,7 @@ def test_recall_of_neighbours(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = pdf["vec_id"].to_numpy()
     got = defaultdict(list)
-    for r in ann_forest.nearest(table, least=100).orderBy("query_id", "rank").collect():
+    for r in ann_forest.nearest(table).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hits, total = 0, 0
     for k in np.flatnonzero(ids % 50 == 0):
@@ -441,6 +441,42 @@ def test_neighbours_of_tiny_and_opposite_vectors(spark):
         assert all(a == b for a, b in neighbours(spark, rng.standard_normal((rows, width)), rows))
 
 
+def test_neighbours_of_vectors_that_repeat_and_point_the_other_way(spark):
+    rows = [(0, [1.0, 0.0])] + [(k, [-1.0, 0.01 * k]) for k in range(1, 8)]
+    table = spark.createDataFrame(rows * 6, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann_forest.nearest(table).orderBy("query_id", "rank").collect()]
+    assert [(r[1], r[2]) for r in got if r[0] == 0] == [(1, 7), (2, 6), (3, 5), (4, 4), (5, 3)]
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann_forest.nearest(two).orderBy("rank").collect()] == [1, 2]
+
+
+def test_ascent_against_brute_force():
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((20, 8))
+    planes = ann_forest.directions(8, 5)
+    codes, asked = ann_forest.strings(x, planes), ann_forest.strings(q, planes)
+    order = np.argsort(codes, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(codes, order, 1)
+    shared = lambda a, b: 32 - int(a ^ b).bit_length()
+    for wanted in (1, 40, 700, 5000):
+        depth, first, last = ann_forest.ascend(sorted_, asked, wanted)
+        for i in range(20):
+            matches = np.array([[shared(asked[t, i], c) for c in codes[t]] for t in range(5)])
+            assert ann_forest.longest_match(sorted_, asked)[i] == matches.max()
+            deepest = max((d for d in range(33) if (matches >= d).sum() >= wanted), default=0)
+            assert depth[i] == deepest
+            for t in range(5):
+                assert set(order[t, first[t, i] : last[t, i]].tolist()) == set(np.flatnonzero(matches[t] >= deepest).tolist())
+
+
+def test_recall_over_segments_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann_forest.build_index, "__defaults__", (ann_forest.TREES, 700))
+    monkeypatch.setattr(ann_forest.search, "__defaults__", (5, ann_forest.TREES, ann_forest.SHARE, 15))
+    x = np.random.default_rng(3).standard_normal((3000, 32))
+    found = neighbours(spark, x, 60)
+    assert sum(len(set(a) & set(b)) for a, b in found) / 300 >= 0.9 and all(len(a) == 5 for a, _ in found)
+
+
 @pytest.mark.parametrize("shift", [1.5, 3.0])
 def test_recall_of_queries_off_the_bulk(spark, shift):
     rng = np.random.default_rng(6)

@@ -4,8 +4,9 @@ over Arrow buffers, and packing of arrays.
 Spark cuts what it hands to Python into batches by bytes
 (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster says
 otherwise), and `text_slices` cuts those again, so a worker's memory doesn't
-depend on how many long texts stand together. No operator changes a setting of
-the session.
+depend on how many long texts stand together. Texts go in smaller batches still,
+by the settings of a session beside the caller's (`in_small_batches`), as no
+operator changes a setting of the caller's session.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, the same
 definition in numpy (`word_spans`), in Spark SQL and in DuckDB (`WORD`).
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.fixpoint import connected_components as connected_components
 from ..plans.storage import discard as discard
@@ -38,6 +39,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def in_small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """The same frame in a session of its own, with the settings of its session but for the rows of an Arrow batch.
+
+    A global temporary view, which goes at once, hands the plan over. The frames of
+    both sessions can be joined; where the caller's session runs the plan, batches
+    are as large as it says, and results are the same.
+    """
+    spark = df.sparkSession
+    beside, name = spark.newSession(), f"handed_over_{uuid.uuid4().hex}"
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    beside.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.createGlobalTempView(name)
+    try:
+        return beside.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator."""
     x = (x ^ (x >> np.uint64(30))) * _M2

@@ -1,9 +1,10 @@
 """Stupid-backoff scores (Brants et al., 2007) of documents under a bigram model of the whole corpus.
 
 Score of a word w after v: c(vw) / c(v) if the bigram's count in the corpus is
-`MIN_COUNT` or more, else `BACKOFF` * c(w) / N. A document's first word is
-scored by its unigram. A bigram that occurs once is no evidence about its own
-document, so it is not in the table.
+`least` or more, else `BACKOFF` * c(w) / N. A document's first word is scored by
+its unigram. The query takes every bigram seen (`least` = 1), so the corpus's
+own documents never back off; with 2, a bigram that no other place confirms is
+scored by its unigram.
 
 Every word and every bigram is counted. Words more frequent than one in
 `VOCABULARY` of all words, at most `VOCABULARY` of them whatever the corpus, are
@@ -42,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialize, mix64, pack, text_slices, unpack, word_spans
+from .common import discard, hash_spans, in_small_batches, materialize, mix64, pack, text_slices, unpack, word_spans
 
-VOCABULARY, HEAD, MIN_COUNT, BACKOFF = 1_000_000, 512, 2, 0.4
+VOCABULARY, HEAD, LEAST, BACKOFF = 1_000_000, 512, 1, 0.4
 #: Roles of a rare word: second of a pair with a numbered or a rare word, first of one with either, start of a document.
 _AFTER, _AFTER_RARE, _BEFORE, _BEFORE_RARE, _START = range(5)
 #: Bits of a word's number, words of a bucket of pairs, bytes of text coded together, and the unit of scores.
@@ -55,7 +56,8 @@ _NULL = -(2**63)
 class Model:
     """The bounded tables every task holds: numbers and counts of words that are not rare, and counts of pairs of the most frequent."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, least: int = LEAST):
+        self.least = least
         order = np.lexsort((hashes, -counts))
         self.total = total
         #: By number; number 0 is any rare word, which has no count here.
@@ -75,7 +77,7 @@ class Model:
 
     def score(self, before: np.ndarray, count: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Scores of words with the given counts after words counted `before`, of which pairs the corpus has n."""
-        known = n >= MIN_COUNT
+        known = n >= self.least
         return np.where(known, np.log(np.where(known, n, 1) / before), math.log(BACKOFF) + self.unigram(count))
 
 
@@ -134,13 +136,14 @@ def _spread(sums: np.ndarray, order: np.ndarray, where: np.ndarray) -> np.ndarra
     return out
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, least: int = LEAST) -> Model:
     """Two passes over all texts: word counts, then counts of the most frequent words' pairs."""
-    words = materialize(docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = materialize(in_small_batches(docs.select("text")).mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # more frequent than one in VOCABULARY: at most VOCABULARY rows; the others are counted in `score`
     frequent = words.where(F.col("n") * VOCABULARY > total).toPandas()
-    model = Model(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), total)
+    model = Model(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), total, least)
+    discard(words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +156,14 @@ def train(docs: DataFrame) -> Model:
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(some), pa.array(seen[some])], names=["pair", "n"])
 
-    head = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most HEAD^2 rows
+    head = in_small_batches(docs.select("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most HEAD^2 rows
     model.head.reshape(-1)[head["pair"].to_numpy(np.int64)] = head["n"].to_numpy(np.int64)
     shared.unpersist()
     return model
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_words and score (mean natural logarithm a word) of every document."""
+    """doc_id, n_words and score (mean natural logarithm a word) of every document, under the model of the same documents."""
     spark = docs.sparkSession
     model = model or train(docs)
     shared = spark.sparkContext.broadcast(model)
@@ -244,7 +247,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
             order, where = _grouped(key)
             n = _spread(np.add.reduceat(times[order], where), order, where)
             before, count = model.counts[(key >> np.uint64(_BITS)).astype(np.int64)], model.counts[(key & mask).astype(np.int64)]
-            give([(p[0], p[2]) for p in parts], np.where(n >= MIN_COUNT, _units(model.score(before, count, n)) - _units(model.score(before, count, np.zeros(len(key), np.int64))), 0) * times)
+            give([(p[0], p[2]) for p in parts], np.where(n >= model.least, _units(model.score(before, count, n)) - _units(model.score(before, count, np.zeros(len(key), np.int64))), 0) * times)
 
         parts = [(s, *unpack(d, "<u8", "u1", "<u8", "<u4", "<u4")) for s, k, d in zip(slices, kinds, data, strict=True) if k == 2]
         if parts:
@@ -259,7 +262,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
             numbered = model.counts[np.where((role == _AFTER) | (role == _BEFORE), other, np.uint64(0)).astype(np.int64)]
             before, count = np.where(role == _AFTER, numbered, own), np.where(role == _BEFORE, numbered, own)
             units = _units(np.where(role == _START, model.unigram(own), model.score(np.maximum(before, 1), count, n)))
-            elsewhere = ((role == _AFTER_RARE) & (n >= MIN_COUNT)) | ((role == _BEFORE_RARE) & (n < MIN_COUNT))
+            elsewhere = ((role == _AFTER_RARE) & (n >= model.least)) | ((role == _BEFORE_RARE) & (n < model.least))
             give([(p[0], p[4]) for p in parts], np.where(elsewhere, 0, units) * times)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())], names=["slice", "kind", "data"])
 
@@ -276,6 +279,6 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return pa.table([pa.array(ids, mask=ids == _NULL), pa.array(n), pa.array(mean, mask=n == 0)], names=["doc_id", "n_words", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    coded = rows.mapInArrow(code, "bucket long, slice long, kind int, data binary")
+    coded = in_small_batches(rows).mapInArrow(code, "bucket long, slice long, kind int, data binary")
     found = coded.groupBy("bucket").applyInArrow(look_up, "slice long, kind int, data binary")
     return found.groupBy("slice").applyInArrow(add_up, "doc_id long, n_words long, score double")

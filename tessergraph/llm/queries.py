@@ -53,16 +53,12 @@ FROM placed
 
 _LM = rf"""
 WITH listed AS (SELECT row_number() OVER (ORDER BY doc_id) AS doc, doc_id, {_WORDS} AS words FROM documents),
-flat AS (SELECT doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM listed),
-counted AS (SELECT word, count(*) AS n FROM flat GROUP BY word),
-total AS (SELECT count(*) AS words FROM flat),
-classed AS (SELECT word, CASE WHEN n * {lm_scoring.VOCABULARY} > words THEN word ELSE '' END AS class FROM counted, total),
-placed AS (SELECT f.doc, f.pos, c.class AS w, lag(c.class) OVER (PARTITION BY f.doc ORDER BY f.pos) AS v FROM flat f JOIN classed c USING (word)),
+placed AS (SELECT doc, unnest(words) AS w, unnest(list_prepend(NULL, words[:-2])) AS v FROM listed WHERE len(words) > 0),
+total AS (SELECT count(*) AS words FROM placed),
 one AS (SELECT w, count(*) AS n FROM placed GROUP BY w),
 two AS (SELECT v, w, count(*) AS n FROM placed WHERE v IS NOT NULL GROUP BY v, w),
-scored AS (SELECT p.doc, CAST(round({lm_scoring._UNIT:.0f} * CASE WHEN p.v IS NULL THEN ln(CAST(o.n AS DOUBLE) / t.words)
-                                                WHEN b.n >= {lm_scoring.MIN_COUNT} THEN ln(CAST(b.n AS DOUBLE) / c.n)
-                                                ELSE ln({lm_scoring.BACKOFF}::DOUBLE) + ln(CAST(o.n AS DOUBLE) / t.words) END) AS BIGINT) AS units
+scored AS (SELECT p.doc, CAST(round({lm_scoring._UNIT:.0f} * CASE WHEN b.n IS NOT NULL THEN ln(CAST(b.n AS DOUBLE) / c.n)
+                                                ELSE CASE WHEN p.v IS NULL THEN 0 ELSE ln({lm_scoring.BACKOFF}::DOUBLE) END + ln(CAST(o.n AS DOUBLE) / t.words) END) AS BIGINT) AS units
            FROM placed p CROSS JOIN total t JOIN one o ON o.w = p.w LEFT JOIN two b ON b.v = p.v AND b.w = p.w LEFT JOIN one c ON c.w = p.v)
 SELECT l.doc_id, CAST(len(l.words) AS BIGINT) AS n_words, s.units / {lm_scoring._UNIT:.1f}::DOUBLE / len(l.words) AS score
 FROM listed l LEFT JOIN (SELECT doc, CAST(sum(units) AS DOUBLE) AS units FROM scored GROUP BY doc) s USING (doc)

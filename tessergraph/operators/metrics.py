@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import FLAGS
 from ..model import Graph
-from ..plans.fixpoint import page_rank, reach, strong_components
+from ..plans.fixpoint import ancestor_sizes, page_rank, strong_components
 from ..plans.storage import materialize
 
 LANGUAGES = {"cs": "C#", "xaml": "XAML", "vb": "Visual Basic", "cpp": "C++", "h": "C++", "java": "Java", "dart": "Dart", "py": "Python", "js": "JavaScript", "ts": "TypeScript"}
@@ -89,10 +89,7 @@ def blast_radius(g: Graph) -> DataFrame:
     if "blast" in g._kept:
         return g._kept["blast"]
     named, edges = condensed(g)
-    starts = named.select(F.col("component").alias("origin"), F.col("component").alias("node")).distinct()
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    sizes = named.select(F.col("component").alias("node"), "size").distinct()
-    above = reach(back, starts).join(sizes, "node").groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("above"))
+    above = ancestor_sizes(named.select(F.col("component").alias("node"), "size").distinct(), edges).select(F.col("node").alias("component"), "above")
     counted = named.join(above, "component", "left").select(F.col("node").alias("id"), (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("blast_radius"))
     g._kept["blast"] = materialize(counted, "blast-radius")
     return g._kept["blast"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
@@ -29,6 +29,25 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     return seen if seen is not None else starts.select("origin", "node").where("false").withColumn("depth", F.lit(0))
 
 
+#: Rows of a key above which a join deals it out anew, the share of all rows that makes a key one of at most as many, and into how many parts.
+HUB_ROWS, HUB_SHARE, HUB_PARTS = 1000, 4096, 64
+
+
+def _join_hubs(left: DataFrame, right: DataFrame, key: str, other: str, rows: int) -> DataFrame:
+    """`left` joined to the one row of each key in `right`; keys with very many of the left rows are dealt out by `other` as well.
+
+    Hubs hold more than one in `HUB_SHARE` of the rows, so there are fewer than that, whatever the table.
+    """
+    most = max(HUB_ROWS, rows // HUB_SHARE)
+    hubs = left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect() if rows > most else []
+    if not hubs:
+        return left.join(right, key)
+    hub = F.broadcast(left.sparkSession.createDataFrame(hubs, left.select(key).schema).withColumn("hub", F.lit(True)))
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64(other), F.lit(HUB_PARTS)).cast("int")).otherwise(0)
+    parts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return left.join(hub, key, "left").withColumn("part", part).drop("hub").join(right.join(hub, key, "left").withColumn("part", parts).drop("hub"), [key, "part"]).drop("part")
+
+
 def connected_components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
     """(node, component) for every node of an undirected edge list; a component is named by its smallest node.
 
@@ -48,7 +67,7 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
     while seen[0]:
         both = state.unionByName(state.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _join_hubs(both, least, "u", "v", 2 * seen[0]).where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -62,6 +81,10 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
     return nodes.join(state.groupBy(u.alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+#: Steps of a round that is one job.
+STEPS = 3
+
+
 def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Edges between nodes that have edges in and out, for some rounds; what goes can be in no cycle, and what stays is sorted out by colours."""
     n = edges.count()
@@ -80,13 +103,17 @@ def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node, itself included."""
-    colours = materialize(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc-colour")
-    changed = colours
+    table = materialize(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc-colour")
+    colours, changed = table, table
     while True:
-        told = changed.join(edges, changed["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
-        following = materialize(colours.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("new")), "scc-colour")
-        discard(colours)
-        colours, changed = following.select("node", "colour"), following.where("new").select("node", "colour")
+        before, step, sent = colours, colours, changed
+        for _ in range(STEPS):
+            told = sent.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+            step = step.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"))
+            sent = step
+        following = materialize(step.join(before.withColumnRenamed("colour", "before"), "node").select("node", "colour", (F.col("colour") < F.col("before")).alias("new")), "scc-colour")
+        discard(table)
+        table, colours, changed = following, following.select("node", "colour"), following.where("new").select("node", "colour")
         if changed.isEmpty():
             return colours
 
@@ -120,6 +147,43 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component", "left_semi").select("node", "component")
 
 
+WORDS = 16
+
+
+def ancestor_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, above): the sum of the sizes of all nodes that reach each node of an acyclic graph; nodes that nothing reaches are left out.
+
+    Sets of ancestors are bits: nodes are dealt out to blocks of 64 * `WORDS` places,
+    and a row holds what one block has for one node. A round ors the rows that have
+    grown along the edges; pairs are never rows. Ends when no row grows.
+    """
+    n, room = nodes.count(), 64 * WORDS
+    block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // (room * 3 // 4)))))
+    order = Window.partitionBy("bucket").orderBy("node")
+    placed = nodes.select("node", "size", block.alias("bucket")).withColumn("k", F.row_number().over(order) - 1)
+    placed = materialize(placed.select("node", "size", F.concat_ws(":", "bucket", (F.col("k") / room).cast("int")).alias("block"), F.pmod("k", F.lit(room)).alias("place")), "bits")
+    names = [f"w{k}" for k in range(WORDS)]
+    word = lambda k: F.when((F.col("place") / 64).cast("int") == k, F.expr("shiftleft(1L, cast(place % 64 as int))")).otherwise(F.lit(0).cast("long"))
+    ored = [F.bit_or(c).alias(c) for c in names]
+    count = sum((F.bit_count(c) for c in names), F.lit(0))
+    step = materialize(edges.select("src", "dst").distinct(), "bit-edges")
+    first = step.join(placed.select(F.col("node").alias("src"), "block", *[word(k).alias(c) for k, c in enumerate(names)]), "src").groupBy(F.col("dst").alias("node"), "block").agg(*ored)
+    state = materialize(first.withColumn("n", count).withColumn("was", F.lit(0)), "bit-sets")
+    while True:
+        grown = state.where("n > was").select(F.col("node").alias("src"), "block", *names)
+        if grown.isEmpty():
+            break
+        sent = grown.join(step, "src").groupBy(F.col("dst").alias("node"), "block").agg(*ored).withColumn("n", F.lit(0))
+        merged = state.select("node", "block", *names, "n").unionByName(sent.select("node", "block", *names, "n"))
+        following = materialize(merged.groupBy("node", "block").agg(*ored, F.max("n").alias("was")).withColumn("n", count), "bit-sets")
+        discard(state)
+        state = following
+    large = placed.where("size <> 1").groupBy("block").agg(F.collect_list(F.struct("place", (F.col("size") - 1).alias("more"))).alias("large"))
+    held = lambda x: F.getbit(F.element_at(F.array(*names), (x.place / 64).cast("int") + 1), F.pmod(x.place, F.lit(64)).cast("int")).cast("long")
+    more = F.when(F.col("large").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate("large", F.lit(0).cast("long"), lambda s, x: s + held(x) * x.more))
+    return state.join(large, "block", "left").groupBy("node").agg(F.sum(F.col("n") + more).alias("above"))
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank) with dangling mass spread over all nodes; stops after the round whose total change is below the tolerance."""
     n = nodes.count()

@@ -13,6 +13,7 @@ from tessergraph.functions.search import camel_hump, compile_search
 from tessergraph.model import ELEMENTS, RELATIONSHIPS, Graph
 from tessergraph.operators import cohesion, cycles, deadcode, dsm, edits, explore, metrics, rules
 from tessergraph.operators import history as mining
+from tessergraph.plans import fixpoint
 from tessergraph.plans.fixpoint import reach, strong_components
 from tessergraph.sinks import graphs as sinks
 from tessergraph.sinks import reports
@@ -107,6 +108,29 @@ def test_registered_ranks_run_until_they_converge(spark):
     assert [r["position"] for r in ordered] == list(range(1, n + 1))
 
 
+def test_ancestor_sizes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "WORDS", 1)
+    rng = random.Random(3)
+    n = 200
+    edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(260)}
+    size = {k: rng.choice((1, 1, 1, 5)) for k in range(n)}
+    above = [set() for _ in range(n)]
+    for b in range(n):  # edges go upward
+        for a in (a for a, c in edges if c == b):
+            above[b] |= above[a] | {a}
+    name = lambda k: f"n{k:03}"
+    got = fixpoint.ancestor_sizes(spark.createDataFrame([(name(k), v) for k, v in size.items()], "node string, size long"), spark.createDataFrame([(name(a), name(b)) for a, b in edges], "src string, dst string"))
+    assert {r["node"]: r["above"] for r in got.collect()} == {name(k): sum(size[x] for x in v) for k, v in enumerate(above) if v}
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "HUB_ROWS", 20)
+    monkeypatch.setattr(fixpoint, "HUB_SHARE", 50)
+    edges = [(0, k) for k in range(1, 200)] + [(500, k) for k in range(501, 560)] + [(600, 601), (199, 700)]
+    got = {r["node"]: r["component"] for r in fixpoint.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{k: 0 for k in (*range(200), 700)}, **{k: 500 for k in range(500, 560)}, 600: 600, 601: 600}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_strong_components_and_reach_against_brute_force(spark, seed):
     rng = random.Random(seed)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import GRAPH_SQL, HISTORY_SQL, PROPERTY_SQL, code_graph, history, property_graph, table
+from . import registry
 from .functions import predicates, search
 from .model import Graph
 from .operators import cohesion, cycles, deadcode, dsm, edits, explore, layout, matrix, metrics, rules
@@ -254,6 +255,31 @@ _graph("read_class_list", lambda g: sources.parse_class_dependencies(_class_line
 _graph("read_class_list_edges", lambda g: sources.parse_class_dependencies(_class_lines(g)).relationships.select("source_id", "target_id", "type"), f"SELECT a AS source_id, b AS target_id, 'Uses' AS type FROM {_QUALIFIED}")
 
 
+# questions about one element, filters and smaller tools
+_ROOT = "(SELECT min(target_id) FROM relationships WHERE type = 'Inherits')"
+
+
+def _first_base(g: Graph) -> str:
+    """The least id that others inherit from."""
+    return g.relationships.where("type = 'Inherits'").agg(F.min("target_id")).first()[0]
+
+
+_graph("ask_graph_info", registry.graph_info, "SELECT 'element' AS what, element_type AS kind, count(*) AS count FROM elements GROUP BY 2 UNION ALL SELECT 'relationship', type, count(*) FROM relationships GROUP BY 2")
+_graph("ask_outgoing", lambda g: registry.find_outgoing_relationships(g, "T:PROMO", True, 300), f", sub AS (SELECT id FROM closure WHERE root = 'T:PROMO'), found AS (SELECT {_EDGE}, s.full_name AS a, t.full_name AS b FROM relationships r JOIN elements s ON s.id = r.source_id JOIN elements t ON t.id = r.target_id WHERE r.source_id IN (SELECT id FROM sub) AND r.target_id NOT IN (SELECT id FROM sub)) SELECT source_id, target_id, type, attributes, (SELECT count(*) FROM found) AS total FROM found ORDER BY type, a, b LIMIT 300")
+_graph("ask_incoming", lambda g: registry.find_incoming_relationships(g, _first_base(g), limit=300), f", found AS (SELECT {_EDGE} FROM relationships r WHERE r.target_id = {_ROOT}) SELECT *, (SELECT count(*) FROM found) AS total FROM found")
+_graph("ask_incoming_calls", lambda g: registry.find_incoming_calls(g, g.relationships.where("type = 'Calls'").agg(F.max("target_id")).first()[0], False, 300), ", start AS (SELECT max(target_id) AS id FROM relationships WHERE type = 'Calls'), up AS (SELECT r.source_id AS id FROM relationships r JOIN start s ON s.id = r.target_id WHERE r.type = 'Calls' UNION SELECT r.source_id FROM up JOIN relationships r ON r.target_id = up.id AND r.type = 'Calls'), found AS (SELECT u.id, e.full_name FROM up u JOIN elements e ON e.id = u.id WHERE u.id <> (SELECT id FROM start)) SELECT *, (SELECT count(*) FROM found) AS total FROM found ORDER BY full_name, id LIMIT 300")
+_graph("ask_inheritance", lambda g: registry.find_inheritance(g, _first_base(g), False), f", down AS (SELECT source_id AS id, 1 AS depth FROM relationships WHERE type IN ('Inherits', 'Implements', 'Overrides') AND target_id = {_ROOT} UNION SELECT r.source_id, d.depth + 1 FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT d.id, e.full_name, min(depth) AS depth FROM down d JOIN elements e ON e.id = d.id GROUP BY 1, 2")
+_graph("ask_element", lambda g: registry.describe_element(g, "T:PROMO"), "SELECT unnest(['element_type', 'full_name', 'parent_id', 'access_level', 'is_external', 'is_generated']) AS part, unnest(['Assembly', 'PROMO', NULL, 'Unknown', 'false', 'false']) AS value UNION ALL SELECT 'child', full_name FROM (SELECT full_name FROM elements WHERE parent_id = 'T:PROMO' ORDER BY full_name LIMIT 40) UNION ALL SELECT unnest(['incoming', 'outgoing']), '0'")
+_graph("analyzer_rules", lambda g: registry.architectural_rules(g, f"DENY {_STEEL}.** -> SMALL.**"), _TREE + f" SELECT 'DENY {_STEEL}.** -> SMALL.**' AS rule, d.source_id, d.target_id, d.type FROM deps d WHERE d.source_id IN (SELECT id FROM tree WHERE root = '{_STEEL}') AND d.target_id IN (SELECT id FROM tree WHERE root = 'SMALL')")
+_graph("element_colours", lambda g: g.elements.select("id", predicates.colour(F.col("element_type")).alias("colour")), "SELECT id, CASE element_type WHEN 'Assembly' THEN '#EEEEEE' WHEN 'Namespace' THEN '#4EC9B0' WHEN 'Class' THEN '#FFD700' ELSE '#569CD6' END AS colour FROM elements")
+_graph("type_graph_of_lists", lambda g: sources.type_graph(g.types, g.type_edges.unionByName(g.type_edges.select(F.col("src"), F.col("src").alias("dst"))).groupBy("src").agg(F.collect_list("dst").alias("targets"))), "SELECT src, dst FROM type_edges")
+_graph("external_elements", lambda g: sources.external_elements(g.elements.where("element_type = 'Class' and is_external").select(F.col("full_name").alias("name"))).select("id", "element_type", "parent_id", "is_external"), ", far AS (SELECT full_name AS n FROM elements WHERE element_type = 'Class' AND is_external) SELECT n AS id, 'Class' AS element_type, regexp_replace(n, '[.][^.]*$', '') AS parent_id, true AS is_external FROM far UNION SELECT regexp_replace(n, '[.][^.]*$', ''), 'Namespace', split_part(n, '.', 1), true FROM far UNION SELECT split_part(n, '.', 1), 'Namespace', NULL, true FROM far")
+_graph("edge_counts", lambda g: sources.edge_counts(g.relationships.select(F.col("type").alias("kind"), F.substring("source_id", 1, 1).alias("evidence_source"), F.when(F.col("attributes") > 2, "open").otherwise("done").alias("status"))), "SELECT substr(source_id, 1, 1) AS evidence_source, type AS kind, CASE WHEN attributes > 2 THEN 'open' ELSE 'done' END AS status, count(*) AS edges FROM relationships GROUP BY 1, 2, 3")
+_history("accepted_artifacts", lambda s, i, f, c: mining.artifacts(s, mining.only_files(i, f.where("code < 30").select(F.upper("path").alias("path")), predicates.has_extension(F.col("path"), "1", "7"))).select("id", "commits"), "SELECT id, commits FROM (SELECT i.id, i.kind, count(*) OVER (PARTITION BY i.id) AS commits, row_number() OVER (PARTITION BY i.id ORDER BY s.date DESC, i.change_set_id DESC) AS n FROM items i JOIN sets s ON s.id = i.change_set_id JOIN files f ON f.id = i.id WHERE f.code < 30 AND (i.path LIKE '%1' OR i.path LIKE '%7')) WHERE n = 1 AND kind & 32 = 0")
+_QUERIES["lines_by_handler"] = lambda spark, d: histories.lines_of_code(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("file"), F.lit(".Html").alias("extension"), F.col("html").alias("text")), {"html": lambda text: (text.count("\n") + 1, 0)})
+_SQL["lines_by_handler"] = "SELECT CAST(page_id AS VARCHAR) AS file, CAST(length(coalesce(html, '')) - length(replace(coalesce(html, ''), chr(10), '')) + 1 AS BIGINT) AS code, CAST(0 AS BIGINT) AS comments FROM pages"
+
+
 def _read_again(g: Graph) -> Graph:
     """The graph written as plain text and read from it."""
     from pyspark.sql import Window

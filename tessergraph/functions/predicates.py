@@ -15,6 +15,7 @@ CONFINED = ("Private", "Internal", "ProtectedAndInternal")
 ACCESS_LEVELS = ("Unknown", "Private", "Protected", "Internal", "ProtectedAndInternal", "ProtectedOrInternal", "Public")
 RELATIONSHIP_TYPES = ("Calls", "Creates", "Uses", "Inherits", "Implements", "Overrides", "Containment", "UsesAttribute", "Invokes", "Handles", "Bundled")
 FLAGS = {"IsBaseCall": 1, "IsStaticCall": 2, "IsThisCall": 4, "IsInstanceCall": 8, "IsExtensionMethodCall": 16, "IsMethodGroup": 32, "EventRegistration": 64, "EventUnregistration": 128, "IsXamlReference": 256}
+COLOURS = {"Method": "#569CD6", "Property": "#4677A2", "PropertyAccessor": "#4677A2", "Interface": "#B8D7A3", "Class": "#FFD700", "Record": "#FFD700", "Struct": "#FFA500", "Namespace": "#4EC9B0", "Enum": "#9370DB", "Field": "#D7BA7D", "Assembly": "#EEEEEE", "Event": "#FF69B4", "Delegate": "#C586C0"}
 GENERATED_SUFFIXES = (".g.cs", ".g.i.cs", ".designer.cs", ".generated.cs", ".assemblyattributes.cs")
 
 
@@ -75,6 +76,16 @@ def strip_type_parameters(name: Column) -> Column:
     return F.regexp_replace(name, "<[^<>]*>", "")
 
 
+def colour(element_type: Column) -> Column:
+    """Colour of an element in pictures, white for other kinds."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])[element_type], F.lit("#FFFFFF"))
+
+
+def has_extension(path: Column, *extensions: str) -> Column:
+    """Whether a path ends, in any case, in one of the extensions; a filter of files."""
+    return reduce(lambda a, b: a | b, [F.lower(path).endswith(e.lower()) for e in extensions], F.lit(False))
+
+
 def row_filter(terms: str, *columns: Column) -> Column:
     """All words of `terms`, in any case, within the columns joined by blanks."""
     joined = F.lower(F.concat_ws(" ", *columns))

@@ -21,6 +21,13 @@ def artifacts(change_sets: DataFrame, items: DataFrame, accepted: Column | None
     return (out if accepted is None else out.where(accepted)).select("id", "path", "commits", "committers", "date")
 
 
+def only_files(items: DataFrame, accepted: DataFrame | None = None, *filters: Column) -> DataFrame:
+    """Items that pass all filters, and whose path, in any case, is in (path) if that is given."""
+    for f in filters:
+        items = items.where(f)
+    return items if accepted is None else items.withColumn("_p", F.lower("path")).join(accepted.select(F.lower("path").alias("_p")), "_p", "left_semi").select(*items.columns)
+
+
 def _coupled(rows: DataFrame, first_counts_none: bool) -> DataFrame:
     """rows: distinct (change_set_id, key). The counter of a pair begins at 0 on first sight if so asked, so it is one short."""
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))

@@ -56,9 +56,11 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
     dropped; an empty edge list gives no rows.
     """
     u, v = F.col("u"), F.col("v")
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{label}-nodes")
-    state = materialize(pairs.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), f"{label}-edges")
+    pairs = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), f"{label}-pairs")
+    n = pairs.count()
+    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{label}-nodes", 2 * n)
+    state = materialize(pairs.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), f"{label}-edges", n)
+    discard(pairs)
 
     def fingerprint(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
@@ -71,7 +73,7 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        following = materialize(small, f"{label}-edges")
+        following = materialize(small, f"{label}-edges", 2 * seen[0])
         now = fingerprint(following)
         discard(state)
         state = following
@@ -92,7 +94,7 @@ def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
         if not n:
             break
         both = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-        kept = materialize(edges.join(both, edges["src"] == both["node"], "left_semi").join(both.withColumnRenamed("node", "other"), F.col("dst") == F.col("other"), "left_semi"), "scc-trim")
+        kept = materialize(edges.join(both, edges["src"] == both["node"], "left_semi").join(both.withColumnRenamed("node", "other"), F.col("dst") == F.col("other"), "left_semi"), "scc-trim", n)
         discard(edges)
         m = kept.count()
         edges, n = kept, (0 if m == n else m)
@@ -103,7 +105,8 @@ def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node, itself included."""
-    table = materialize(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc-colour")
+    most = 2 * edges.count()
+    table = materialize(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc-colour", most)
     colours, changed = table, table
     while True:
         before, step, sent = colours, colours, changed
@@ -111,7 +114,7 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
             told = sent.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
             step = step.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"))
             sent = step
-        following = materialize(step.join(before.withColumnRenamed("colour", "before"), "node").select("node", "colour", (F.col("colour") < F.col("before")).alias("new")), "scc-colour")
+        following = materialize(step.join(before.withColumnRenamed("colour", "before"), "node").select("node", "colour", (F.col("colour") < F.col("before")).alias("new")), "scc-colour", most)
         discard(table)
         table, colours, changed = following, following.select("node", "colour"), following.where("new").select("node", "colour")
         if changed.isEmpty():

@@ -20,10 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return name.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage with a table that outlives any executor."""
+#: Rows of a file of a table whose size is known before it is written.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage with a table that outlives any executor.
+
+    Where the caller knows an upper bound of the rows, there are no more files than
+    those need: many small files cost more than what is in them, on a file system
+    without native access a process each for its permissions.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

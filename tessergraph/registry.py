@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.predicates import ordinal
 from .functions.search import compile_search, ranked
 from .model import Graph
-from .operators import cohesion, deadcode, explore, metrics
+from .operators import cohesion, deadcode, explore, metrics, rules
 from .sources import graphs, histories
 
 #: name -> function of a graph that returns its table
@@ -22,6 +22,13 @@ ANALYZERS: dict[str, Callable[[Graph], DataFrame]] = {
     "MethodComplexity": metrics.method_complexity,
     "DeadCode": deadcode.dead_code,
 }
+
+
+def architectural_rules(g: Graph, text: str) -> DataFrame:
+    """The seventh analyzer, which takes its rules: violating edges (rule, source_id, target_id, type)."""
+    return rules.evaluate(g, rules.parse(text)).violations
+
+
 READERS = {"plain": graphs.parse_plain_text, "classes": graphs.parse_class_dependencies, "extracted": graphs.read_extracted, "documentation": graphs.read_documentation, "matrix": graphs.read_matrix, "log": histories.read_log, "project": graphs.read_project}
 
 
@@ -46,3 +53,37 @@ def describe_element(g: Graph, ident: str, children: int = 40, locations: int =
 
 def find_paths(g: Graph, ids: DataFrame, most: int = 5, chains: int = 15) -> DataFrame:
     return explore.chains(explore.paths_between(g, ids, most), chains)
+
+
+def _listed(g: Graph, edges: DataFrame, limit: int) -> DataFrame:
+    """The first relationships by type and names, at most 300, and how many there are in all."""
+    name = lambda c: g.elements.select(F.col("id").alias(f"{c}_id"), F.col("full_name").alias(c))
+    named = edges.join(name("source"), "source_id").join(name("target"), "target_id")
+    total = edges.agg(F.count("*").alias("total"))
+    return named.orderBy("type", "source", "target").limit(max(1, min(limit, 300))).join(F.broadcast(total), F.lit(True)).select("source_id", "target_id", "type", "attributes", "total")
+
+
+def _one(g: Graph, ident: str) -> DataFrame:
+    return g.elements.where(F.col("id") == ident).select("id")
+
+
+def find_outgoing_relationships(g: Graph, ident: str, deep: bool = False, limit: int = 50) -> DataFrame:
+    """What an element depends on; with `deep` also what leaves it from inside."""
+    return _listed(g, explore.outgoing_deep(g, _one(g, ident)) if deep else explore.outgoing(g, _one(g, ident)), limit)
+
+
+def find_incoming_relationships(g: Graph, ident: str, deep: bool = False, limit: int = 50) -> DataFrame:
+    """What depends on an element; with `deep` also what reaches into it."""
+    return _listed(g, explore.incoming_deep(g, _one(g, ident)) if deep else explore.incoming(g, _one(g, ident)), limit)
+
+
+def find_incoming_calls(g: Graph, ident: str, abstractions: bool = True, limit: int = 50) -> DataFrame:
+    """Who calls a method through others as well, with `abstractions` over contracts and events: id, full_name, total."""
+    found = (explore.follow_callers(g, _one(g, ident)) if abstractions else explore.callers(g, _one(g, ident)).select("id")).where(F.col("id") != ident)
+    total = found.agg(F.count("*").alias("total"))
+    return found.join(g.elements.select("id", "full_name"), "id").orderBy("full_name", "id").limit(max(1, min(limit, 300))).join(F.broadcast(total), F.lit(True))
+
+
+def find_inheritance(g: Graph, ident: str, upward: bool = True) -> DataFrame:
+    """What an element specialises, or what specialises it, level by level: id, full_name, depth."""
+    return explore.walk_inheritance(g, _one(g, ident), upward).join(g.elements.select("id", "full_name"), "id").select("id", "full_name", "depth")

@@ -191,3 +191,21 @@ def read_edge_lines(spark: SparkSession, path: str) -> DataFrame:
     """Edges of all JSON-lines files below a folder, lines that are no JSON left out."""
     schema = "id string, kind string, `from` string, `to` string, evidence_source string, status string, confidence double, path string, note string, meta map<string,string>"
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(evidence_source, kind, status, edges): how many edges there are of each."""
+    return edges.groupBy("evidence_source", "kind", "status").agg(F.count("*").alias("edges"))
+
+
+def external_elements(names: DataFrame) -> DataFrame:
+    """Elements of another system's types, each name (name) and all it lies in once, marked as external."""
+    return _chain(names.select("name").distinct(), "Class").withColumn("is_external", F.lit(True))
+
+
+def type_graph(vertices: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of lists (src, targets) with both ends among (id), self edges left out: the form that measures take."""
+    edges = adjacency.select("src", F.explode("targets").alias("dst")).where("src <> dst").distinct()
+    for side in ("src", "dst"):
+        edges = edges.join(vertices.select(F.col("id").alias(side)), side, "left_semi")
+    return edges.select("src", "dst")

@@ -12,7 +12,8 @@ sets' Jaccard similarity is 0.8 or more.
    connected components of those edges are the candidate groups. A pair at the
    threshold misses all bands with probability (1 - 0.8^4)^32 < 1e-7.
 3. Groups are cut into blocks of bounded shingles and rows; a task compares two
-   blocks of a group. MinHash values of a pair are compared 16 at a time; the
+   blocks of a group, and in them only pairs that share a band key. MinHash
+   values of a pair are compared 16 at a time; the
    pair is dropped when the posterior probability that its similarity reaches
    the threshold (uniform prior, binomial matches) is below `TOLERANCE`; pairs
    left after all 128 are verified by the exact sizes of their intersections.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, hash_spans, materialize, mix64, ranges, text_slices, word_spans
+from .common import connected_components, discard, hash_spans, in_small_batches, materialize, mix64, ranges, text_slices, word_spans
 
 SHINGLE, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-6
 #: Bounds of a block: shingles, and rows.
@@ -69,6 +70,32 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys of the bands of signatures (a row each)."""
+    s = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    return mix64(mix64((s[:, :, 0] << np.uint64(32)) | s[:, :, 1]) ^ ((s[:, :, 2] << np.uint64(32)) | s[:, :, 3]))
+
+
+class Buckets:
+    """Which rows share a band key with a row."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, axis=0, kind="stable")
+        ranked = np.take_along_axis(keys, self.order, 0)
+        self.first, self.last = np.empty(keys.shape, np.int64), np.empty(keys.shape, np.int64)
+        for b in range(keys.shape[1]):
+            self.first[:, b], self.last[:, b] = np.searchsorted(ranked[:, b], keys[:, b]), np.searchsorted(ranked[:, b], keys[:, b], "right")
+        self.mark = np.zeros(len(keys), bool)
+
+    def near(self, i: int, least: int) -> np.ndarray:
+        """Rows from `least` on that share a key with row i."""
+        for b in np.flatnonzero(self.last[i] - self.first[i] > 1).tolist():
+            self.mark[self.order[self.first[i, b] : self.last[i, b], b]] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        return found[np.searchsorted(found, least) :]
+
+
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is dropped) after each step."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -92,8 +119,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             one.append(mix64(s * mult).sum(dtype=np.uint64))
             two.append(mix64(s ^ mult).sum(dtype=np.uint64))
             if len(s):
-                sig = signature(s).reshape(BANDS, ROWS).astype(np.uint64)
-                bands.append(mix64(mix64((sig[:, 0] << np.uint64(32)) | sig[:, 1]) ^ ((sig[:, 2] << np.uint64(32)) | sig[:, 3])))
+                bands.append(band_keys(signature(s)[None])[0])
             else:
                 bands.append(np.zeros(BANDS, np.uint64))
         flat = np.concatenate(bands).view(np.int64)
@@ -113,6 +139,8 @@ def _compare(threshold: float):
     steps = least_matches(threshold)
 
     def linked_to(i: int, others: np.ndarray, sig: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        if not len(others):
+            return others
         # a pair's similarity is at most the ratio of its sizes
         others = others[np.minimum(lengths[others], lengths[i]) >= threshold * np.maximum(lengths[others], lengths[i]) - 1e-9]
         matches, done = np.zeros(len(others), np.int64), 0
@@ -148,8 +176,9 @@ def _compare(threshold: float):
                     x = root[x]
                 return x
 
+            buckets = Buckets(band_keys(sig))
             for i in range(split):
-                found = linked_to(i, np.arange(i + 1 if whole else split, len(rep)), sig, lengths, offsets, ids, mark)
+                found = linked_to(i, buckets.near(i, i + 1 if whole else split), sig, lengths, offsets, ids, mark)
                 links[i] += copies[found].sum()
                 links[found] += copies[i]
                 for j in found.tolist():
@@ -166,14 +195,15 @@ def _compare(threshold: float):
 def _classes(texts: DataFrame, threshold: float) -> DataFrame:
     """key, class (the smallest key of its class) and links of every row of (key, text); a null key has no class."""
     kind = texts.schema["key"].dataType.simpleString()
-    prints = materialize(texts.mapInArrow(_fingerprints, f"key {kind}, n long, one long, two long, bands array<long>"), "jaccard-prints")
+    prints = materialize(in_small_batches(texts).mapInArrow(_fingerprints, f"key {kind}, n long, one long, two long, bands array<long>"), "jaccard-prints")
     held = prints.where("n > 0 and key is not null")
     classes = materialize(held.groupBy("one", "two", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "key").alias("bands")), "jaccard-classes")
+    n_classes = classes.count()
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = banded.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
     edges = banded.join(shared, ["band", "hash"]).where("rep <> leader").select("rep", "leader").distinct()
-    groups = materialize(connected_components(edges, "rep", "leader", "jaccard-candidates"), "jaccard-groups")
+    groups = materialize(connected_components(edges, "rep", "leader", "jaccard-candidates"), "jaccard-groups", n_classes)
 
     members = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "copies", "n", "one", "two"), "rep")
     sizes = members.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
@@ -188,7 +218,7 @@ def _classes(texts: DataFrame, threshold: float) -> DataFrame:
     work = placed.withColumn("shard", F.when(F.col("blocks") > 1, F.col("component")))
     placed = work.select("component", "shard", "bin", "rep", "copies", meets.alias("meets"))
     kinds = f"component {kind}, shard {kind}, bin long, rep {kind}, copies long, meets array<struct<i:int,j:int,side:int>>, shingles binary"
-    sets = texts.join(placed, texts["key"] == placed["rep"]).drop("key").select(*placed.columns, "text").mapInArrow(_sets, kinds)
+    sets = in_small_batches(texts.join(placed, texts["key"] == placed["rep"]).drop("key").select(*placed.columns, "text")).mapInArrow(_sets, kinds)
     tasks = sets.withColumn("m", F.explode("meets")).select("component", "shard", "bin", "rep", "copies", "shingles", "m.*")
     found = materialize(tasks.groupBy("shard", "bin", "i", "j").applyInPandas(_compare(threshold), f"rep {kind}, links long, partner {kind}"), "jaccard-links")
 

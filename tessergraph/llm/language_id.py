@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 UNDETERMINED = "und"
 _BLANK = 32
 _letters: list[np.ndarray] = []
@@ -116,7 +118,7 @@ def learn(labelled: DataFrame, top: int = 400, sample_rows: int = 3000, text: st
                 grams, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.record_batch([pa.array([name] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
-    totals = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = in_small_batches(picked).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked: dict[str, list[int]] = {}
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     for r in totals.withColumn("rank", order).where(F.col("rank") <= top).orderBy("lang", "rank").collect():
@@ -135,7 +137,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep_text:
             columns = [batch.column(c) for c in others] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.record_batch(columns, names=[*others, "lang_pred", "score"])
 
-    return docs.select(*others, *([] if keep_text else [text])).mapInArrow(label, schema)
+    return in_small_batches(docs.select(*others, *([] if keep_text else [text]))).mapInArrow(label, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -43,9 +43,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """source, source_size, target of each source of a (source, size) table; the sources are ranked by code point, null last."""
-    sources = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, rows: int | None = None) -> DataFrame:
+    """source, source_size, target of each source of a (source, size) table, of which `rows` may tell the length; the sources are ranked by code point, null last."""
+    sources = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources", rows)
     # ranking without one ordered partition: the number of smaller names, from sorted blocks by first two code points
     block = F.coalesce(F.substring("source", 1, 2), F.lit(""))
     blocks = sources.where("source is not null").groupBy(block.alias("block")).agg(F.count("*").alias("n"))
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     n = named.count()
     ranked = named.select("source", "source_size", "rank").unionByName(sources.where("source is null").select("source", "source_size", F.lit(n).cast("long").alias("rank")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = materialize(ranked.withColumn("weight", weight), "mix-ranked")
+    table = materialize(ranked.withColumn("weight", weight), "mix-ranked", rows)
 
     total = float(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     # level = words a unit of weight gets; a source is full where the level lifts it above its most
@@ -74,8 +74,9 @@ def _placed(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int,
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), name)).alias("key")
     rows = docs.select("doc_id", "source", words(F.col(text)).alias("size"), key, *more)
     groups = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("m")), "mix-sizes")
-    bits = min(32, max(0, math.ceil(math.log2(max(1, groups.count()) / RANGE_ROWS))))
-    by_source = source_targets(groups.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most)
+    n = groups.count()
+    bits = min(32, max(0, math.ceil(math.log2(max(1, n) / RANGE_ROWS))))
+    by_source = source_targets(groups.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most, n)
     # the order of keys is the order of ranges as well
     ranged = groups.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits)).withColumn("all", F.col("size") * F.col("m"))
     offsets = ranged.groupBy("source", "range").agg(F.sum("all").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

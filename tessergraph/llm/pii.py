@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import in_small_batches, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_SPACES, FEATURES, CONFIDENT, SEED = 16, 6, 1 << 14, 0.9, 77
@@ -268,7 +268,8 @@ def learn(docs: DataFrame, sample_docs: int = 4000, most: int = 1500, longest: i
             found = [(k, text[a:b]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b in windows(text) if b - a <= longest]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["key", "window"])
 
-    sample = docs.where(key < share * (1 << 30)).where(F.col("text").rlike("[0-9@]")).select(key.alias("key"), "text").mapInArrow(cut, "key long, window string")
+    sample = docs.where(key < share * (1 << 30)).where(F.col("text").rlike("[0-9@]")).select(key.alias("key"), "text")
+    sample = in_small_batches(sample).mapInArrow(cut, "key long, window string")
     real = [(r["window"], base_spans(r["window"])) for r in sample.orderBy("key", "window").limit(most).collect()]
     bare = []
     for text, spans in real:
@@ -318,7 +319,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(base, kind), pa.array(added, kind)], names=["doc_id", "base", "added"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {span}, added {span}"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def _is(kind: str):

@@ -363,11 +363,12 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with every found span replaced by its kind in brackets; of overlapping spans the earliest names the gap, which covers them all.
 
-    Texts without a span, null ones among them, stay as they are. Two passes over
-    the texts, the first for the cut alone, so that no copy of them is kept.
+    Texts without a span, null ones among them, stay as they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    mean, cut = cut_of(_tested(docs, (), text).select(F.explode("_secret_tested").alias("t")).select("t.p", "t.n"))
+    # the texts go along, as the cut is known only after all of them
+    tested = materialize(_tested(docs, tuple(docs.columns), text), "secrets")
+    mean, cut = cut_of(tested.select(F.explode("_secret_tested").alias("t")).select("t.p", "t.n"))
 
     def gaps(spans: Column) -> Column:
         """Spans that begin after all before have ended, each with the end of the last one that touches it."""
@@ -388,7 +389,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(F.transform(F.transform(stretches, stretch), named), ""), F.substring(whole, F.element_at(gap, -1).end + 1, F.length(whole)))
 
     # one column after the other: the analyzer resolves nested functions a level a round
-    found = _tested(docs, tuple(docs.columns), text).withColumn("_secret_chosen", _chosen(F.col("_secret_tested"), mean, cut)).withColumn("_secret_spans", _in_order(F.col("_secret_base"), F.col("_secret_chosen")))
+    found = tested.withColumn("_secret_chosen", _chosen(F.col("_secret_tested"), mean, cut)).withColumn("_secret_spans", _in_order(F.col("_secret_base"), F.col("_secret_chosen")))
     found = found.withColumn("_secret_gaps", F.when(F.size("_secret_spans") > 0, gaps(F.col("_secret_spans"))))
     new = F.when(F.size("_secret_spans") > 0, written(F.col("_secret_gaps"))).otherwise(F.col(text))
     return found.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, ranges, text_slices
+from .common import hash_spans, in_small_batches, ranges, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
                 columns.append(pa.array([None if z else values[a:b].decode(errors="replace") for a, b, z in zip(back_at[:-1], back_at[1:], null, strict=True)], pa.string()))
             yield pa.record_batch(columns, names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -286,7 +286,7 @@ def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "
             texts = [None if z else values[a:b].decode(errors="replace") for a, b, z in zip(at[:-1], at[1:], lists.is_null().to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[f.name for f in schema])
 
-    return encoded.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return in_small_batches(encoded.select(*keep, F.col(ids).alias("_ids"))).mapInArrow(run, schema)
 
 
 def piece_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_bytes
+from .common import in_small_batches, shared_path, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -85,13 +85,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
                     values += [np.asarray(tokens.encode_ordinary(value.as_py() or ""), "<u2").tobytes(), b"" if ident is None else str(ident).encode()]
                 yield pa.record_batch([pa.array(values, pa.binary()), pa.array(kinds)], names=["value", "kind"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "value binary, kind string")
-    name, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
-    spark.conf.set(name, "2")  # both files of a task stay open, so rows keep their order and need no sort; put back at once, as the writing is done here
-    try:
-        rows.select(F.col("value").cast("string").alias("value"), "kind").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR).text(path)
-    finally:
-        spark.conf.set(name, before)
+    rows = in_small_batches(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).mapInArrow(encode, "value binary, kind string")
+    # both files of a task stay open, so rows keep their order and need no sort; `rows` has a session of its own
+    rows.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")
+    rows.select(F.col("value").cast("string").alias("value"), "kind").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR).text(path)
 
 
 def _lines(spark: SparkSession, path: str, separator: str) -> DataFrame:

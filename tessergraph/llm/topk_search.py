@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialize, pack, ranges, shared_path, text_slices, unpack, word_spans
+from .common import hash_spans, in_small_batches, materialize, pack, ranges, shared_path, text_slices, unpack, word_spans
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK_TERMS, DENSE, WINDOW, SLACK = 12 << 20, 900_000, 6, 8, 1e-5
@@ -93,7 +93,7 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame) -> DataFrame:
     """The shards of an index over (doc_id, text), in the shared folder."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    return materialize(rows.mapInArrow(_build, "docs long, words long, lexicon binary, postings binary, documents binary"), "index")
+    return materialize(in_small_batches(rows).mapInArrow(_build, "docs long, words long, lexicon binary, postings binary, documents binary"), "index")
 
 
 def _query_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of the index for each (doc_id, text) of `queries`."""
     spark = index.sparkSession
     wanted = queries.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).distinct()
-    asked = materialize(wanted.mapInArrow(_query_terms, "doc_id long, terms array<long>, times array<long>").where(F.size("terms") > 0), "queries")
+    asked = materialize(in_small_batches(wanted).mapInArrow(_query_terms, "doc_id long, terms array<long>, times array<long>").where(F.size("terms") > 0), "queries")
     size, docs = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0], index.agg(F.sum("docs"), F.sum("words")).first()
     blocks, path = max(1, math.ceil(size / BLOCK_TERMS)), shared_path(spark, "found")
     schema = "query_id long, rank int, doc_id long, score double"
@@ -214,7 +214,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             some = np.flatnonzero(df)
             yield pa.record_batch([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
-        found = index.select("lexicon").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most the block's vocabulary
+        found = in_small_batches(index.select("lexicon"), 1).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most the block's vocabulary
         df = np.zeros(len(block.vocabulary))
         df[found["term"].to_numpy(np.int64)] = found["df"].to_numpy(float)
         weights = spark.sparkContext.broadcast(np.log(1 + (total - df + 0.5) / (df + 0.5)))
@@ -228,7 +228,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             n = np.array([len(x[0]) for x in best])
             yield pa.record_batch([pa.array(np.repeat(q.ids, n)), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))], names=["query_id", "doc_id", "score"])
 
-        parts = index.select("lexicon", "postings", "documents").mapInArrow(run, "query_id long, doc_id long, score double")
+        parts = in_small_batches(index.select("lexicon", "postings", "documents"), 1).mapInArrow(run, "query_id long, doc_id long, score double")
         merged = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
         merged.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score").write.mode("append").parquet(path)
         shared.unpersist()

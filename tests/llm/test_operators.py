@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,6 +94,25 @@ def test_languages_of_held_out_documents(docs, spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_held_out_rows_and_whole_predictions_against_brute_force(docs):
+    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    assert set(rows) == set(texts) and all(r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in rows.items())
+    grams = defaultdict(Counter)
+    for k, (text, lang) in texts.items():  # fewer rows than the sample's bound, so all are learned from
+        if lang is not None and text is not None and zlib.crc32(str(k).encode()) % 3 != 1:
+            grams[lang].update(language_id.ngrams(text).tolist())
+    ranked = {lang: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400])} for lang, c in grams.items()}
+    for k, (text, _) in texts.items():
+        own = [g for g, _ in sorted(Counter(language_id.ngrams(text).tolist()).items(), key=lambda x: (-x[1], x[0]))[:400]]
+        if not own:
+            assert (rows[k]["lang_pred"], rows[k]["score"]) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(i - r[g]) if g in r else 400 for i, g in enumerate(own)) for lang, r in ranked.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert rows[k]["lang_pred"] == best and rows[k]["score"] == pytest.approx(1 - apart[best] / (400 * len(own)))
+
+
 def test_languages_of_messy_texts(messy, empty):
     rows = language_id.identify(messy).collect()
     assert len(rows) == messy.count()
@@ -368,6 +388,16 @@ def test_token_counts_against_the_tokenizer(docs, texts, messy, empty):
     assert token_counts.document_token_counts(empty).collect() == []
 
 
+def test_ids_and_counts_when_a_task_writes_many_files(spark, docs, texts):
+    limited = spark.newSession()
+    limited.conf.set("spark.sql.files.maxRecordsPerFile", "40")
+    limited.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    tokenizer = token_counts.encoder(token_counts.vocabulary_bytes(token_counts.VOCABULARY))
+    rows = token_counts.document_token_counts(limited.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {k: len(tokenizer.encode_ordinary(t)) for k, t in texts.items()} and len(rows) == len(texts)
+    assert limited.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_stitching_across_blocks(spark, tmp_path):
     rng = np.random.default_rng(1)
     expected = []

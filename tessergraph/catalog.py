@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from .functions import predicates, search
 from .model import Graph
 from .operators import cohesion, cycles, deadcode, dsm, edits, explore, layout, matrix, metrics, rules
 from .operators import history as mining
+from .plans.storage import shared_dir
 from .sinks import graphs as sinks
+from .sinks import projects
 from .sources import graphs as sources
 from .sources import histories
 
@@ -292,6 +295,17 @@ def _read_again(g: Graph) -> Graph:
     return sources.parse_plain_text(placed.select((F.col("before") + F.col("number")).alias("line_no"), "line"))
 
 
+def _stored(g: Graph) -> Graph:
+    """The graph written as a project file and read from it."""
+    spark = g.elements.sparkSession
+    path = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    projects.write_project_json(g, path)
+    return sources.read_project_json(spark, path)
+
+
+_properties("project_elements", lambda g: _stored(g).elements.select("id", "element_type", "name", "full_name", "parent_id", "access_level", "is_external", "is_generated", F.array_join("attributes", ",").alias("attributes")), "SELECT e.id, element_type, name, full_name, parent_id, access_level, is_external, is_generated, coalesce(m.attribute, '') AS attributes FROM all_elements e LEFT JOIN marked m ON m.id = e.id")
+_properties("project_relationships", lambda g: _stored(g).relationships.select(*explore.EDGE), f"SELECT {_EDGE} FROM all_relationships r")
+_properties("project_records", lambda g: (lambda p: p.metrics.select(F.col("element_id").alias("id"), F.concat_ws("/", "code_lines", "comment_lines", "cyclomatic_complexity").alias("value")).unionByName(p.contracts.select(F.col("element_id").alias("id"), F.col("contract").alias("value"))).unionByName(p.notifying.select("id", F.lit("notifies").alias("value"))))(_stored(g)), "SELECT element_id AS id, concat_ws('/', code_lines, comment_lines, cyclomatic_complexity) AS value FROM metrics UNION ALL SELECT id, 'System.IDisposable.Dispose' FROM elements WHERE element_type = 'Method' AND id LIKE '%0' UNION ALL SELECT 'C:' || p_partkey, 'notifies' FROM part WHERE p_size % 5 = 0")
 _graph("plain_text_elements", lambda g: _read_again(g).elements.select("id", "element_type", "name", "full_name", "parent_id", "access_level", "is_external", F.array_join("attributes", ",").alias("attributes"), F.get(F.transform("source_locations", lambda p: p.file), F.lit(0)).alias("file")), "SELECT e.id, element_type, name, full_name, parent_id, access_level, is_external, coalesce(m.attribute, '') AS attributes, file FROM elements e LEFT JOIN marked m ON m.id = e.id")
 _graph("plain_text_relationships", lambda g: _read_again(g).relationships.select(*explore.EDGE), f"SELECT {_EDGE} FROM relationships r")
 _FLAG_SQL = "CASE WHEN attributes = 0 THEN '' ELSE ' [' || concat_ws(', ', CASE WHEN attributes & 2 <> 0 THEN 'IsStaticCall' END, CASE WHEN attributes & 8 <> 0 THEN 'IsInstanceCall' END, CASE WHEN attributes & 64 <> 0 THEN 'EventRegistration' END, CASE WHEN attributes & 128 <> 0 THEN 'EventUnregistration' END) || ']' END"

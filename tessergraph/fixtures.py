@@ -16,8 +16,8 @@ from .plans.storage import materialize
 #: Attribute of the classes of parts of a size.
 ATTRIBUTES = {47: "dataContractAttribute", 48: "Export", 49: "ObsoleteAttribute", 50: "Test"}
 _graphs: dict[tuple[str, str], Graph] = {}
-#: Whether graphs, and what is derived from them, are kept for the next query of the application.
-keep_graphs = True
+#: Whether what is derived from a graph (paths, type edges, cycles) is kept for the next query of the application, or the stored graph only.
+keep_derived = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a folder of tables, made once an application, or anew where `keep_graphs` is off."""
+    """The graph of a folder of tables, stored once an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs or not keep_graphs:
+    if key not in _graphs:
         part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
         none = F.array().cast(ELEMENTS["attributes"].dataType)
         nowhere = F.array().cast(ELEMENTS["source_locations"].dataType)
@@ -69,7 +69,8 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         metrics = sums.select(method.alias("element_id"), "code_lines", "comment_lines", c("code_lines").alias("logical_lines_of_code"), "cyclomatic_complexity")
         contracts = methods.where("l_suppkey % 10 = 0").select(method.alias("element_id"), F.lit("System.IDisposable.Dispose").alias("contract"))
         _graphs[key] = Graph(materialize(elements, "fx-elements"), materialize(relationships, "fx-relationships"), materialize(metrics, "fx-metrics"), materialize(contracts, "fx-contracts"))
-    return _graphs[key]
+    g = _graphs[key]
+    return g if keep_derived else Graph(g.elements, g.relationships, g.metrics, g.contracts)
 
 
 #: Common table expressions with the same content as `code_graph`, and paths of the forest. To be followed by a comma and more, or by the query.

@@ -34,8 +34,8 @@ def squarify(areas: list[float], x: float, y: float, w: float, h: float) -> list
     return out
 
 
-def treemap(nodes: DataFrame, width: float = 1000.0, height: float = 1000.0, depth: int = 16) -> DataFrame:
-    """node, x, y, w, h of all (node, area) of a roll-up, a level a round; the children of one folder are a group."""
+def treemap(nodes: DataFrame, width: float = 1000.0, height: float = 1000.0) -> DataFrame:
+    """node, x, y, w, h of all (node, area) of a roll-up, a level a round until none is left; the children of one folder are a group."""
     level = nodes.withColumn("parent", F.when(F.instr("node", "/") > 0, F.regexp_replace("node", "/[^/]*$", "")).otherwise(""))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +49,7 @@ def treemap(nodes: DataFrame, width: float = 1000.0, height: float = 1000.0, dep
     schema = "node string, x double, y double, w double, h double"
     placed = materialize(nodes.sparkSession.createDataFrame([("", 0.0, 0.0, float(width), float(height))], schema), "treemap")
     done = None
-    for _ in range(depth):
+    while True:
         above = placed.select(F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("w").alias("pw"), F.col("h").alias("ph"))
         placed = materialize(level.join(above, "parent").groupBy("parent").applyInPandas(kernel, schema), "treemap")
         if placed.isEmpty():

@@ -29,7 +29,7 @@ def architectural_rules(g: Graph, text: str) -> DataFrame:
     return rules.evaluate(g, rules.parse(text)).violations
 
 
-READERS = {"plain": graphs.parse_plain_text, "classes": graphs.parse_class_dependencies, "extracted": graphs.read_extracted, "documentation": graphs.read_documentation, "matrix": graphs.read_matrix, "log": histories.read_log, "project": graphs.read_project}
+READERS = {"plain": graphs.parse_plain_text, "classes": graphs.parse_class_dependencies, "extracted": graphs.read_extracted, "documentation": graphs.read_documentation, "matrix": graphs.read_matrix, "log": histories.read_log, "project": graphs.read_project, "project_json": graphs.read_project_json}
 
 
 def graph_info(g: Graph) -> DataFrame:

@@ -127,6 +127,23 @@ def read_project(spark: SparkSession, path: str, metrics: bool = False) -> Graph
     return Graph(spark.read.schema(ELEMENTS).parquet(f"{path}/elements"), spark.read.schema(RELATIONSHIPS).parquet(f"{path}/relationships"), spark.read.parquet(f"{path}/metrics") if metrics else None)
 
 
+_PLACES = "array<struct<File:string,Line:int,Column:int>>"
+_PROJECT = f"Children array<struct<ParentId:string,ChildId:string>>, CodeElements array<struct<Id:string,Name:string,FullName:string,ElementType:int,SourceLocations:{_PLACES},Attributes:array<string>,IsExternal:boolean,IsGenerated:boolean,AccessLevel:int>>, Relationships array<struct<Attributes:int,SourceId:string,TargetId:string,Type:int,SourceLocations:{_PLACES}>>, MemberMetrics array<struct<ElementId:string,CodeLines:int,CommentLines:int,LogicalLinesOfCode:int,CyclomaticComplexity:int>>, ExternalContracts map<string,string>, NotifyingTypes array<string>"
+
+
+def read_project_json(spark: SparkSession, path: str) -> Graph:
+    """Graph of a project file: children, elements and relationships with kinds as numbers, member metrics, contracts from outside, and types that notify."""
+    raw = spark.read.schema(_PROJECT).option("multiLine", True).json(path)
+    kind = lambda c, names: F.coalesce(F.get(F.array(*[F.lit(x) for x in names]), F.col(c)), F.lit(names[0]))
+    each = lambda c: raw.select(F.explode(c).alias("x")).select("x.*")
+    places = F.transform(F.coalesce("SourceLocations", F.array().cast(_PLACES)), lambda p: F.struct(p.File.alias("file"), p.Line.alias("line"), p.Column.alias("column"))).alias("source_locations")
+    parents = each("Children").select(F.col("ChildId").alias("Id"), F.col("ParentId").alias("parent_id"))
+    elements = each("CodeElements").join(parents, "Id", "left").select(F.col("Id").alias("id"), kind("ElementType", ELEMENT_TYPES).alias("element_type"), F.col("Name").alias("name"), F.col("FullName").alias("full_name"), "parent_id", kind("AccessLevel", ACCESS_LEVELS).alias("access_level"), F.coalesce("IsExternal", F.lit(False)).alias("is_external"), F.coalesce("IsGenerated", F.lit(False)).alias("is_generated"), F.coalesce("Attributes", _empty("attributes")).alias("attributes"), places)
+    relationships = canonical(each("Relationships").select(F.col("SourceId").alias("source_id"), F.col("TargetId").alias("target_id"), kind("Type", RELATIONSHIP_TYPES).alias("type"), F.coalesce("Attributes", F.lit(0)).alias("attributes"), places))
+    metrics = each("MemberMetrics").select(F.col("ElementId").alias("element_id"), F.col("CodeLines").alias("code_lines"), F.col("CommentLines").alias("comment_lines"), F.col("LogicalLinesOfCode").alias("logical_lines_of_code"), F.col("CyclomaticComplexity").alias("cyclomatic_complexity"))
+    return Graph(elements, relationships, metrics, raw.select(F.explode("ExternalContracts").alias("element_id", "contract")), raw.select(F.explode("NotifyingTypes").alias("id")))
+
+
 def read_documentation(spark: SparkSession, folder: str, assembly: str) -> Graph:
     """Graph of a documentation tool's XML: a file a compound, with members, bases and references.
 

@@ -1,9 +1,14 @@
+import json
+
 import pytest
 
 from tessergraph import registry
+from tessergraph.model import ELEMENTS, RELATIONSHIPS, Graph
 from tessergraph.operators import explore
 from tessergraph.operators.layout import squarify, treemap
+from tessergraph.sinks import projects
 from tessergraph.sources import extras
+from tessergraph.sources import graphs as sources
 
 from .test_graphs import flat, graph, ids, types
 
@@ -37,3 +42,26 @@ def test_markup_links_and_reports(spark):
     assert flat(extras.link_markup(g, files).relationships, "source_id", "target_id", "attributes") == [("W", "P", 256), ("W", "S", 256)]
     rows = extras.parse_report("warning: x\nDENY a -> b\n  a.C -> b.D (Uses)")
     assert rows[0]["source"] == "a.C" and len(rows[0]["id"]) == 16 and rows[0]["rule"] == "DENY a -> b"
+
+
+def test_project_file_is_one_document_and_comes_back(spark, tmp_path):
+    e = [("A", "Assembly", "a \"b\"\\", "a", None, "Unknown", False, False, [], []), ("C", "Class", "Ünï", "a.C", "A", "ProtectedAndInternal", False, True, ["X", "Y"], [("f,g.cs", 3, 4)])]
+    r = [("C", "A", "Bundled", 3, []), ("C", "A", "Calls", 0, [("f", 1, 2)])]
+    m = spark.createDataFrame([("C", 1, 2, 3, 4)], "element_id string, code_lines int, comment_lines int, logical_lines_of_code int, cyclomatic_complexity int")
+    contracts = spark.createDataFrame([("C", 'x"y')], "element_id string, contract string")
+    g = Graph(spark.createDataFrame(e, ELEMENTS), spark.createDataFrame(r, RELATIONSHIPS), m, contracts, spark.createDataFrame([("C",)], "id string"))
+    projects.write_project_json(g, str(tmp_path / "p"))
+    document = json.loads(next((tmp_path / "p").glob("part-*")).read_text())
+    assert document["Children"] == [{"ParentId": "A", "ChildId": "C"}] and document["CodeElements"][1]["AccessLevel"] == 4 and document["Relationships"][0]["Type"] == 10
+    back = sources.read_project_json(spark, str(tmp_path / "p"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(back.elements.drop("parent_id")) == rows(g.elements.drop("parent_id")) and rows(back.relationships.select(*RELATIONSHIPS.names)) == rows(g.relationships)
+    assert rows(back.metrics) == rows(m) and rows(back.contracts) == rows(contracts) and rows(back.notifying) == [("C",)]
+    bare = Graph(g.elements, g.relationships.where("false"))
+    projects.write_project_json(bare, str(tmp_path / "q"))
+    assert sources.read_project_json(spark, str(tmp_path / "q")).relationships.isEmpty()
+
+
+def test_only_members_can_be_hidden(spark):
+    with pytest.raises(ValueError):
+        explore.hide(Graph(spark.createDataFrame([], ELEMENTS), spark.createDataFrame([], RELATIONSHIPS)), ("Class",))

@@ -214,7 +214,7 @@ _graph("rule_warnings", lambda g: _lines(g, "\n".join(rules.evaluate(g, rules.pa
 # properties and events
 _properties("accessor_neighbours", lambda g: explore.neighbours(g, _of(g, "Property")), f"SELECT DISTINCT {_EDGE} FROM all_relationships r JOIN inner_parts i ON i.element_type IN ('Property', 'PropertyAccessor') AND i.id IN (r.source_id, r.target_id)")
 _properties("members_missing_types", lambda g: explore.missing_types(g, _of(g, "PropertyAccessor")), "SELECT id FROM inner_parts WHERE element_type = 'Property' UNION ALL SELECT 'C:' || substr(id, 3) FROM inner_parts WHERE element_type = 'Property'")
-_properties("accessor_type_edges", lambda g: g.type_edges, ", type_of AS (SELECT e.id, CASE e.element_type WHEN 'Class' THEN e.id WHEN 'Method' THEN e.parent_id ELSE 'C:' || substr(e.id, 3) END AS type_id FROM all_elements e WHERE e.element_type NOT IN ('Assembly', 'Namespace')) SELECT DISTINCT s.type_id AS src, t.type_id AS dst FROM all_relationships r JOIN type_of s ON s.id = r.source_id JOIN type_of t ON t.id = r.target_id WHERE r.type NOT IN ('Containment', 'Bundled', 'Handles') AND s.type_id <> t.type_id AND s.type_id IN (SELECT id FROM own_types) AND t.type_id IN (SELECT id FROM own_types)")
+_properties("accessor_type_edges", lambda g: g.type_edges, ", type_of AS MATERIALIZED (SELECT e.id, t.id AS type_id FROM (SELECT id, CASE element_type WHEN 'Class' THEN id WHEN 'Method' THEN parent_id ELSE 'C:' || substr(id, 3) END AS holder FROM all_elements WHERE element_type NOT IN ('Assembly', 'Namespace')) e JOIN own_types t ON t.id = e.holder), dep AS MATERIALIZED (SELECT source_id, target_id FROM all_relationships WHERE type NOT IN ('Containment', 'Bundled', 'Handles')), one AS MATERIALIZED (SELECT s.type_id AS src, r.target_id FROM dep r JOIN type_of s ON s.id = r.source_id) SELECT DISTINCT o.src, t.type_id AS dst FROM one o JOIN type_of t ON t.id = o.target_id WHERE o.src <> t.type_id")
 
 # edits
 _HIDE = "(SELECT id FROM elements WHERE element_type = 'Class' AND access_level = 'Internal')"

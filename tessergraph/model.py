@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -39,26 +40,32 @@ class Graph:
     _kept: dict = field(default_factory=dict, repr=False)
 
     @cached_property
-    def paths(self) -> DataFrame:
-        """id, element_type, is_external, path (root to itself), types along it, depth, nearest type, assembly and ancestors-or-self of level 20 and 30.
+    def holder_paths(self) -> DataFrame:
+        """id, path (root to itself) and types along it of each element that holds others; path is null where a cycle of parents makes none.
 
-        One self join a level of the forest; a parent that is missing or part of a cycle makes no path.
+        One self join a level of the forest, of these elements only: most are leaves and hold nothing.
         """
-        e = materialize(self.elements.select("id", "element_type", "is_external", "parent_id"), "elements")
-        known = e.select(F.col("id").alias("parent"))
-        roots = e.join(known, e["parent_id"] == known["parent"], "left_anti")
-        level = materialize(roots.select("id", "element_type", "is_external", F.array("id").alias("path"), F.array("element_type").alias("types")), "paths")
+        held = self.elements.select(F.col("parent_id").alias("id")).where("id is not null").distinct()
+        e = materialize(self.elements.select("id", "element_type", "parent_id").join(held, "id", "left_semi"), "holders")
+        roots = e.join(e.select(F.col("id").alias("parent")), F.col("parent_id") == F.col("parent"), "left_anti")
+        level = materialize(roots.select("id", F.array("id").alias("path"), F.array("element_type").alias("types")), "holder-levels")
         done = level
-        while True:
+        while not level.isEmpty():
             up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"), F.col("types").alias("types_above"))
-            level = materialize(e.join(up, "parent_id").select("id", "element_type", "is_external", F.concat("above", F.array("id")).alias("path"), F.concat("types_above", F.array("element_type")).alias("types")), "paths")
-            if level.isEmpty():
-                break
+            level = materialize(e.join(up, "parent_id").select("id", F.concat("above", F.array("id")).alias("path"), F.concat("types_above", F.array("element_type")).alias("types")), "holder-levels")
             done = done.unionByName(level)
+        return materialize(e.select("id").join(done, "id", "left"), "holder-paths", codec="zstd", collect=True)
+
+    def _placed(self, elements: DataFrame) -> DataFrame:
+        """What `paths` says, of some elements (id, element_type, is_external, parent_id): one join with the paths of what holds them."""
+        up = self.holder_paths.select(F.col("id").alias("parent_id"), F.col("path").alias("above"), F.col("types").alias("types_above"), F.lit(True).alias("held"))
+        done = elements.join(up, "parent_id", "left").where("held is null or above is not null")
+        grown = lambda above, c: F.when(F.col(above).isNull(), F.array(c)).otherwise(F.concat(above, F.array(c)))
+        done = done.select("id", "element_type", "is_external", grown("above", "id").alias("path"), grown("types_above", "element_type").alias("types"))
         last = lambda test: F.expr("element_at(path, cast(greatest(1, size(types) - array_position(reverse(transform(types, t -> %s)), true) + 1) as int))" % test)
         kinds = "t in ('Class','Interface','Struct','Record','Enum','Delegate')"
         high = "t in ('Assembly','Namespace')"
-        out = done.withColumns(
+        return done.withColumns(
             {
                 "depth": F.size("path"),
                 "containing_type": F.when(F.exists("types", is_type), last(kinds)),
@@ -67,7 +74,25 @@ class Graph:
                 "lift30": F.when(F.exists("types", lambda t: container_level(t) >= 30), last(high)),
             }
         )
-        return materialize(out, "paths")
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        """id, element_type, is_external, path (root to itself), types along it, depth, nearest type, assembly and ancestors-or-self of level 20 and 30.
+
+        A parent that is missing makes a root; one that is part of a cycle makes no path.
+        """
+        return materialize(self._placed(self.elements.select("id", "element_type", "is_external", "parent_id")), "paths", codec="zstd", collect=True)
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """id, element_type, is_external and parent_id of the elements that have relationships."""
+        ids = self.relationships.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        return materialize(self.elements.select("id", "element_type", "is_external", "parent_id").join(ids, "id", "left_semi"), "ends", codec="zstd", collect=True)
+
+    @cached_property
+    def end_paths(self) -> DataFrame:
+        """`paths` of the elements that have relationships; all that lifting edges needs."""
+        return materialize(self._placed(self.ends), "end-paths", codec="zstd", collect=True)
 
     @cached_property
     def deps(self) -> DataFrame:
@@ -81,7 +106,7 @@ class Graph:
     @cached_property
     def type_edges(self) -> DataFrame:
         """Distinct (src, dst) between types of the analyzed code, from dependencies of anything inside them."""
-        return materialize(self._lifted("containing_type", self.types.select("id")), "type-edges")
+        return materialize(self._lifted("containing_type", self.types.select("id")), "type-edges", codec="zstd", collect=True)
 
     @cached_property
     def assembly_edges(self) -> DataFrame:
@@ -89,7 +114,7 @@ class Graph:
         return self._lifted("assembly_id", own)
 
     def _lifted(self, to: str, vertices: DataFrame) -> DataFrame:
-        at = lambda side, name: self.paths.select(F.col("id").alias(side), F.col(to).alias(name))
+        at = lambda side, name: self.end_paths.select(F.col("id").alias(side), F.col(to).alias(name))
         edges = self.deps.select("source_id", "target_id").join(at("source_id", "src"), "source_id").join(at("target_id", "dst"), "target_id")
         edges = edges.where("src <> dst").select("src", "dst").distinct()
         for side in ("src", "dst"):
@@ -102,4 +127,26 @@ class Graph:
 
     def subtree(self, ids: DataFrame) -> DataFrame:
         """(root, id) for the given root ids: descendants and the root."""
-        return self.closure().join(ids.select(F.col("id").alias("root")), "root", "left_semi")
+        own = self.elements.select("id", "element_type", "is_external", "parent_id").join(ids.select("id"), "id", "left_semi")
+        return self._placed(own).select(F.col("id").alias("root"), "id").unionByName(self.below(ids).select("root", "id"))
+
+    def below(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """(root, id) and further columns of the descendants of the given root ids. Only paths of elements that hold others are taken apart."""
+        held = self.holder_paths.select(F.explode("path").alias("root"), F.col("id").alias("parent_id")).join(ids.select(F.col("id").alias("root")), "root", "left_semi")
+        return self.elements.select("id", "parent_id", *columns).join(held, "parent_id").select("root", "id", "parent_id", *columns)
+
+
+class DeferredGraph(Graph):
+    """A graph whose frames are made when they are first asked for: makers by name of frame."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]) -> None:
+        self._makers, self._kept = makers, {}
+
+    def _made(self, name: str) -> DataFrame | None:
+        return self._makers[name]() if name in self._makers else None
+
+    elements = cached_property(lambda self: self._made("elements"))
+    relationships = cached_property(lambda self: self._made("relationships"))
+    metrics = cached_property(lambda self: self._made("metrics"))
+    contracts = cached_property(lambda self: self._made("contracts"))
+    notifying = cached_property(lambda self: self._made("notifying"))

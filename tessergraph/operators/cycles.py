@@ -12,7 +12,7 @@ from ..plans.storage import materialize
 
 
 def relevant(g: Graph) -> DataFrame:
-    kinds = g.elements.select("id", "element_type")
+    kinds = g.ends.select("id", "element_type")
     both = g.relationships.join(kinds.select(F.col("id").alias("source_id"), F.col("element_type").alias("s")), "source_id").join(kinds.select(F.col("id").alias("target_id"), F.col("element_type").alias("t")), "target_id")
     return both.where(relevant_for_cycles(F.col("type"), F.col("s"), F.col("t"))).select("source_id", "target_id", "type", "attributes")
 
@@ -25,7 +25,7 @@ def search_edges(g: Graph, external: bool = False) -> DataFrame:
     the nearest ancestor of a level suffice; an end without one drops the edge.
     A self edge stays only for methods.
     """
-    p = g.paths if external else g.paths.where("not is_external")
+    p = g.end_paths if external else g.end_paths.where("not is_external")
     side = lambda name, short: p.select(F.col("id").alias(name), F.col("path").alias(f"{short}_path"), F.col("types").alias(f"{short}_types"))
     e = relevant(g).select("source_id", "target_id").distinct().join(side("source_id", "s"), "source_id").join(side("target_id", "t"), "target_id")
     k = F.size(F.array_intersect("s_path", "t_path"))
@@ -44,10 +44,17 @@ def search_edges(g: Graph, external: bool = False) -> DataFrame:
     return out.where("src <> dst or kind = 'Method'").drop("kind")
 
 
+def _own_edges(g: Graph) -> DataFrame:
+    """`search_edges` of the analyzed code, made once."""
+    if "search" not in g._kept:
+        g._kept["search"] = materialize(search_edges(g), "search-edges", collect=True)
+    return g._kept["search"]
+
+
 def cycle_groups(g: Graph) -> DataFrame:
     """(component, id): members of each group of two or more elements in a cycle."""
     if "cycles" not in g._kept:
-        edges = search_edges(g).select("src", "dst").distinct()
+        edges = _own_edges(g).select("src", "dst").distinct()
         g._kept["cycles"] = materialize(strong_components(edges).select("component", F.col("node").alias("id")), "cycle-groups")
     return g._kept["cycles"]
 
@@ -56,13 +63,13 @@ def cycle_edges(g: Graph) -> DataFrame:
     """(component, source_id, target_id): the original edges behind each group's lifted edges."""
     m = cycle_groups(g)
     s, t = m.select(F.col("id").alias("src"), "component"), m.select(F.col("id").alias("dst"), F.col("component").alias("c"))
-    return search_edges(g).join(s, "src").join(t, "dst").where("component = c and src <> dst").select("component", "source_id", "target_id").distinct()
+    return _own_edges(g).join(s, "src").join(t, "dst").where("component = c and src <> dst").select("component", "source_id", "target_id").distinct()
 
 
 def cycle_summary(g: Graph) -> DataFrame:
     """component, name, level and size of each group; named by the element of its detailed graph, which holds the members and the ends of all edges behind the group, with most edges in, then out, then the least name."""
     members = cycle_groups(g)
-    edges = materialize(cycle_edges(g).join(relevant(g), ["source_id", "target_id"]), "cycle-details")
+    edges = materialize(cycle_edges(g).join(relevant(g), ["source_id", "target_id"]), "cycle-details", collect=True)
     count = lambda side, name: edges.groupBy("component", F.col(side).alias("id")).agg(F.count("*").alias(name))
     into, out_of = count("target_id", "incoming"), count("source_id", "outgoing")
     every = members.unionByName(into.select("component", "id")).unionByName(out_of.select("component", "id")).distinct()

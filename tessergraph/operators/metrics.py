@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import heapq
+from collections import deque
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import FLAGS
 from ..model import Graph
-from ..plans.fixpoint import ancestor_sizes, page_rank, strong_components
+from ..plans.fixpoint import ancestor_sizes, numbered, page_rank, strong_components
 from ..plans.storage import materialize
 
 LANGUAGES = {"cs": "C#", "xaml": "XAML", "vb": "Visual Basic", "cpp": "C++", "h": "C++", "java": "Java", "dart": "Dart", "py": "Python", "js": "JavaScript", "ts": "TypeScript"}
@@ -95,55 +98,72 @@ def blast_radius(g: Graph) -> DataFrame:
     return g._kept["blast"]
 
 
+def _greedy_order(n: int, src: np.ndarray, dst: np.ndarray) -> list[int]:
+    """Vertices 0 to n - 1 ordered by the greedy method of Eades, Lin and Smyth (1993): sinks last, sources first, else the largest surplus of outgoing edges; ties to the smaller number.
+
+    `src` and `dst` hold distinct edges. Degrees are counted down as vertices go, and a
+    heap holds surpluses, so that the work is that of sorting the edges.
+    """
+
+    def listed(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        return np.searchsorted(a, np.arange(n + 1), sorter=(order := np.argsort(a, kind="stable"))).tolist(), b[order].tolist()
+
+    (out_at, out_of), (in_at, into) = listed(src, dst), listed(dst, src)
+    n_out, n_in = np.bincount(src, minlength=n).tolist(), np.bincount(dst, minlength=n).tolist()
+    here, left, right = [True] * n, [], []
+    heap = [(n_in[v] - n_out[v], v) for v in range(n)]
+    heapq.heapify(heap)
+
+    def take(v: int) -> list[int]:
+        """Its neighbours that are left, in order."""
+        here[v] = False
+        near = set()
+        for x in out_of[out_at[v] : out_at[v + 1]]:
+            if here[x]:
+                n_in[x] -= 1
+                near.add(x)
+        for x in into[in_at[v] : in_at[v + 1]]:
+            if here[x]:
+                n_out[x] -= 1
+                near.add(x)
+        for x in near:
+            if n_out[x] and n_in[x]:
+                heapq.heappush(heap, (n_in[x] - n_out[x], x))
+        return sorted(near)
+
+    ready = deque(v for v in range(n) if not n_out[v] or not n_in[v])
+    while True:
+        while ready:
+            v = ready.popleft()
+            if here[v] and not (n_out[v] and n_in[v]):
+                (left if n_out[v] else right).append(v)
+                ready += take(v)
+        while heap and not (here[heap[0][1]] and n_in[heap[0][1]] - n_out[heap[0][1]] == heap[0][0]):
+            heapq.heappop(heap)
+        if not heap:
+            return left + right[::-1]
+        left.append(v := heap[0][1])
+        ready += [x for x in take(v) if not n_out[x] or not n_in[x]]
+
+
 def feedback_order(edges: pd.DataFrame) -> list[str]:
-    """Vertices ordered by the greedy method of Eades, Lin and Smyth (1993): sinks last, sources first, else the largest surplus of outgoing edges."""
-    out_of: dict[str, set[str]] = {}
-    into: dict[str, set[str]] = {}
-    for a, b in zip(edges["src"], edges["dst"], strict=True):
-        for v in (a, b):
-            out_of.setdefault(v, set())
-            into.setdefault(v, set())
-        out_of[a].add(b)
-        into[b].add(a)
-    left, right, todo = [], [], set(out_of)
-
-    def take(v: str) -> Iterable[str]:
-        todo.discard(v)
-        near = out_of[v] | into[v]
-        for x in out_of[v]:
-            into[x].discard(v)
-        for x in into[v]:
-            out_of[x].discard(v)
-        return near
-
-    while todo:
-        ready = sorted(v for v in todo if not out_of[v] or not into[v])
-        if ready:
-            queue = ready
-            while queue:
-                v = queue.pop(0)
-                if v not in todo or (out_of[v] and into[v]):
-                    continue
-                (right if not out_of[v] else left).append(v)
-                queue += sorted(x for x in take(v) if x in todo)
-        else:
-            v = min(todo, key=lambda x: (len(into[x]) - len(out_of[x]), x))
-            left.append(v)
-            take(v)
-    return left + right[::-1]
+    names, src, dst = numbered(*(pa.chunked_array([pa.array(edges[c], pa.string())]) for c in ("src", "dst")))
+    src, dst = np.unique(np.stack([src, dst]), axis=1)
+    return names.take(pa.array(_greedy_order(len(names), src, dst), pa.int64())).to_pylist()
 
 
 def feedback_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """(src, dst) edges that point backward in the order of their cycle. Edges between cycles are never among them, so each cycle is one group."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {v: k for k, v in enumerate(feedback_order(pdf))}
-        back = [place[a] > place[b] for a, b in zip(pdf["src"], pdf["dst"], strict=True)]
-        return pdf.loc[back, ["src", "dst"]]
+    def kernel(t: pa.Table) -> pa.Table:
+        names, src, dst = numbered(t["src"], t["dst"])
+        place = np.empty(len(names), "int64")
+        place[_greedy_order(len(names), src, dst)] = np.arange(len(names))
+        return t.select(["src", "dst"]).filter(pa.array(place[src] > place[dst]))
 
     at = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    inside = edges.join(at("src"), "src").join(at("dst"), "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("component"))
-    return inside.groupBy("component").applyInPandas(kernel, "src string, dst string")
+    inside = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("component"))
+    return inside.groupBy("component").applyInArrow(kernel, "src string, dst string")
 
 
 def system_metrics(g: Graph) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +19,14 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     `starts` holds (origin, node). A start is itself a result only if a cycle leads back to it.
     """
     step = edges.select("src", "dst").distinct()
-    frontier = materialize(starts.select("origin", "node").distinct(), "frontier")
+    frontier = materialize(starts.select("origin", "node").distinct(), "frontier", collect=True)
     seen, depth = None, 0
     while most is None or depth < most:
         depth += 1
         found = frontier.join(step, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         if seen is not None:
             found = found.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        new = materialize(found.withColumn("depth", F.lit(depth)), "frontier")
+        new = materialize(found.withColumn("depth", F.lit(depth)), "frontier", collect=True)
         if new.isEmpty():
             break
         seen = new if seen is None else seen.unionByName(new)
@@ -121,26 +126,90 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
             return colours
 
 
+#: Edges that one task searches at once, some 100 MB of names; a graph of more is cut down by rounds over all tasks first.
+TASK_EDGES = 4_000_000
+
+
+def numbered(src: pa.ChunkedArray, dst: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The names by bytes, which is by code point, and both ends of edges as places among them."""
+    names = pc.unique(pa.chunked_array([*src.chunks, *dst.chunks], pa.string()))
+    names = names.take(pc.sort_indices(names))
+    return names, pc.index_in(src, names).to_numpy(), pc.index_in(dst, names).to_numpy()
+
+
+def _strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest vertex of each vertex's strong component (Tarjan, 1972, without recursion)."""
+    order = np.argsort(src, kind="stable")
+    at, to = np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist()
+    place, low, group = [0] * n, [0] * n, [-1] * n
+    following, open_, seen = at[:n], [], 0
+    for root in range(n):
+        if place[root]:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if not place[v]:
+                seen += 1
+                place[v] = low[v] = seen
+                open_.append(v)
+            k, end = following[v], at[v + 1]
+            while k < end:
+                x = to[k]
+                if not place[x]:
+                    break
+                if group[x] < 0 and low[x] < low[v]:
+                    low[v] = low[x]
+                k += 1
+            following[v] = k
+            if k < end:
+                way.append(to[k])
+                continue
+            way.pop()
+            if low[v] == place[v]:
+                first = len(open_) - 1
+                while open_[first] != v:
+                    first -= 1
+                least = min(open_[first:])
+                for x in open_[first:]:
+                    group[x] = least
+                del open_[first:]
+    return np.array(group, "int64")
+
+
+def _strong_kernel(t: pa.Table) -> pa.Table:
+    names, src, dst = numbered(t["src"], t["dst"])
+    group = _strong(len(names), src, dst)
+    kept = np.flatnonzero(np.bincount(group, minlength=len(names))[group] > 1)
+    return pa.table({"node": names.take(pa.array(kept)), "component": names.take(pa.array(group[kept]))})
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in a cycle of two or more nodes over (src, dst); a component is named by its smallest node.
 
     Colouring (Orzan, 2004): after trimming, each node gets the least node that
     reaches it; the nodes of a colour that reach its namesake backward are one
-    component; the rest goes round again. Nodes outside cycles aren't returned.
+    component; the rest goes round again. What one task can hold (`TASK_EDGES`) is
+    searched there instead. Nodes outside cycles aren't returned.
     """
     rest = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     found = None
     while True:
-        rest = _trim(rest)
+        if rest.count() > TASK_EDGES:
+            rest = _trim(rest)
         if rest.isEmpty():
             break
+        if rest.count() <= TASK_EDGES:
+            component = materialize(rest.select("src", "dst", F.lit(0).alias("all")).groupBy("all").applyInArrow(_strong_kernel, "node string, component string"), "scc-found", collect=True)
+            found = component if found is None else found.unionByName(component)
+            break
         colours = _least_reaching(rest)
         of = lambda side: colours.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour"))
         inside = materialize(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour"), "scc-inside")
         roots = colours.where("node = colour").select(F.col("colour").alias("origin"), "node")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         component = reach(back, roots).select(F.col("node"), F.col("origin").alias("component")).unionByName(roots.select("node", F.col("origin").alias("component"))).distinct()
-        component = materialize(component, "scc-found")
+        component = materialize(component, "scc-found", collect=True)
         found = component if found is None else found.unionByName(component)
         gone = component.select("node")
         rest = materialize(inside.select("src", "dst").join(gone, F.col("src") == F.col("node"), "left_anti").join(gone.withColumnRenamed("node", "other"), F.col("dst") == F.col("other"), "left_anti"), "scc-edges")
@@ -158,8 +227,11 @@ def ancestor_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Sets of ancestors are bits: nodes are dealt out to blocks of 64 * `WORDS` places,
     and a row holds what one block has for one node. A round ors the rows that have
-    grown along the edges; pairs are never rows. Ends when no row grows.
+    grown along the edges; pairs are never rows. Ends when no row grows. Of a graph that
+    a task can hold (`TASK_EDGES`) each task gets all edges and its share of the blocks.
     """
+    if edges.count() <= TASK_EDGES:
+        return _ancestor_sizes_in_tasks(nodes, edges)
     n, room = nodes.count(), 64 * WORDS
     block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // (room * 3 // 4)))))
     order = Window.partitionBy("bucket").orderBy("node")
@@ -171,14 +243,14 @@ def ancestor_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     count = sum((F.bit_count(c) for c in names), F.lit(0))
     step = materialize(edges.select("src", "dst").distinct(), "bit-edges")
     first = step.join(placed.select(F.col("node").alias("src"), "block", *[word(k).alias(c) for k, c in enumerate(names)]), "src").groupBy(F.col("dst").alias("node"), "block").agg(*ored)
-    state = materialize(first.withColumn("n", count).withColumn("was", F.lit(0)), "bit-sets")
+    state = materialize(first.withColumn("n", count).withColumn("was", F.lit(0)), "bit-sets", collect=True)
     while True:
         grown = state.where("n > was").select(F.col("node").alias("src"), "block", *names)
         if grown.isEmpty():
             break
         sent = grown.join(step, "src").groupBy(F.col("dst").alias("node"), "block").agg(*ored).withColumn("n", F.lit(0))
         merged = state.select("node", "block", *names, "n").unionByName(sent.select("node", "block", *names, "n"))
-        following = materialize(merged.groupBy("node", "block").agg(*ored, F.max("n").alias("was")).withColumn("n", count), "bit-sets")
+        following = materialize(merged.groupBy("node", "block").agg(*ored, F.max("n").alias("was")).withColumn("n", count), "bit-sets", collect=True)
         discard(state)
         state = following
     large = placed.where("size <> 1").groupBy("block").agg(F.collect_list(F.struct("place", (F.col("size") - 1).alias("more"))).alias("large"))
@@ -187,6 +259,76 @@ def ancestor_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state.join(large, "block", "left").groupBy("node").agg(F.sum(F.col("n") + more).alias("above"))
 
 
+def _levels_kernel(t: pa.Table) -> pa.Table:
+    """Nodes in the order of their levels, a row each, and before them one row with sizes, edges by their ends and where levels begin."""
+    held = pc.is_null(t["dst"])
+    nodes, edges = t.filter(held), t.filter(pc.invert(held))
+    names, src, dst = pc.fill_null(nodes["src"], "").combine_chunks(), pc.index_in(edges["src"], nodes["src"].combine_chunks()).to_numpy(), pc.index_in(edges["dst"], nodes["src"].combine_chunks()).to_numpy()
+    n = len(names)
+    order = np.argsort(src, kind="stable")
+    at, to = np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+    waits, level = np.bincount(dst, minlength=n), np.zeros(n, "int64")
+    front, depth, seen = np.flatnonzero(waits == 0), 0, 0
+    while len(front):
+        level[front], seen = depth, seen + len(front)
+        many = at[front + 1] - at[front]
+        reached = to[np.repeat(at[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        np.subtract.at(waits, reached, 1)
+        near = np.unique(reached)
+        front, depth = near[waits[near] == 0], depth + 1
+    if seen < n:
+        raise ValueError("the graph has a cycle")
+    by = np.argsort(level, kind="stable")
+    place = np.empty(n, "int64")
+    place[by] = np.arange(n)
+    src, dst = place[src], place[dst]
+    order = np.argsort(dst, kind="stable")
+    size = nodes["size"].to_numpy()[by]
+    begins = np.searchsorted(level[by], np.arange(depth + 1))
+    packed = [a.astype("int64").tobytes() for a in (size, src[order], dst[order], begins)]
+    row = pa.table([[-1], pa.array([None], pa.string()), *[[x] for x in packed]], names=["place", "node", "size", "src", "dst", "begins"])
+    rest = pa.table({"place": np.arange(n), "node": names.take(pa.array(by))} | {c: pa.nulls(n, pa.binary()) for c in ("size", "src", "dst", "begins")})
+    return pa.concat_tables([row, rest])
+
+
+def _blocks_kernel(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """(place, above) from the blocks of sources of each task; nodes before a block have none of it above them."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            size, src, dst, begins = (np.frombuffer(r[c], "int64") for c in ("size", "src", "dst", "begins"))
+            n, room = len(size), 64 * WORDS
+            above = np.zeros(n, "int64")
+            cut = np.searchsorted(dst, begins)
+            for first in range(r["part"] * room, n, r["parts"] * room):
+                own = np.arange(first, min(first + room, n))
+                bits = np.zeros((n - first, WORDS), "uint64")
+                bits[own - first, (own - first) // 64] = np.uint64(1) << ((own - first) % 64).astype("uint64")
+                for k in range(np.searchsorted(begins, first, side="right"), len(begins) - 1):
+                    a, b = cut[k], cut[k + 1]
+                    inside = np.flatnonzero(src[a:b] >= first) + a
+                    if len(inside):
+                        to = dst[inside]
+                        heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                        bits[to[heads] - first] |= np.bitwise_or.reduceat(bits[src[inside] - first], heads, axis=0)
+                above[first:] += np.bitwise_count(bits).sum(axis=1, dtype="int64")
+                for v in own[size[own] != 1]:
+                    above[first:] += ((bits[:, (v - first) // 64] >> np.uint64((v - first) % 64)) & np.uint64(1)).astype("int64") * (size[v] - 1)
+                above[own] -= size[own]
+            found = np.flatnonzero(above)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(above[found])], names=["place", "above"])
+
+
+def _ancestor_sizes_in_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    spark = nodes.sparkSession
+    rows = nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("size").cast("long").alias("size")).unionByName(edges.select("src", "dst", F.lit(0).cast("long").alias("size")).distinct())
+    levels = materialize(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _levels_kernel(t), "place long, node string, size binary, src binary, dst binary, begins binary"), "levels", collect=True)
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    graph = F.broadcast(levels.where("place = -1").drop("place", "node"))  # one row
+    each = spark.range(0, parts, 1, parts).select(F.col("id").alias("part"), F.lit(parts).alias("parts")).join(graph, F.lit(True))
+    counted = each.mapInArrow(lambda b: _blocks_kernel(b), "place long, above long").groupBy("place").agg(F.sum("above").alias("above"))
+    return levels.where("place >= 0").select("place", "node").join(counted, "place").select("node", "above")
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank) with dangling mass spread over all nodes; stops after the round whose total change is below the tolerance."""
     n = nodes.count()

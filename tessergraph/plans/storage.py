@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS = 500_000
 
 
-def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+#: Seconds between two collections of the driver's garbage, after which Spark deletes the shuffle files of plans that are gone; left alone it does so every half hour.
+COLLECT_S = 10
+_collected = 0.0
+
+
+def _collect(spark: SparkSession) -> None:
+    global _collected
+    if time.monotonic() - _collected > COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None, codec: str = "snappy", collect: bool = False) -> DataFrame:
     """Cuts the lineage with a table that outlives any executor.
 
     Where the caller knows an upper bound of the rows, there are no more files than
     those need: many small files cost more than what is in them, on a file system
-    without native access a process each for its permissions.
+    without native access a process each for its permissions. `collect` frees the disk
+    that the shuffles of earlier tables still take.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.option("compression", codec).parquet(path)
+    if collect:
+        _collect(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

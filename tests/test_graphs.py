@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -326,3 +327,35 @@ def test_ownership(spark):
     c = spark.createDataFrame([("f", "x", 3), ("f", "y", 1), ("g", "b", 2), ("g", "a", 2)], "path string, developer string, lines long")
     assert flat(mining.fractal_values(c), "path", "fractal") == [("f", 0.375), ("g", 0.5)]
     assert flat(mining.main_developers(c), "path", "developer", "percent") == [("f", "x", 75.0), ("g", "a", 50.0)]
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_components_and_ancestors_in_one_task_and_by_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(fixpoint, "TASK_EDGES", most)
+    monkeypatch.setattr(fixpoint, "WORDS", 1)
+    rng = random.Random(8)
+    n = 150
+    pairs = sorted({tuple(rng.sample(range(n), 2)) for _ in range(190)})
+    name = lambda k: f"n{k:03}"
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "src string, dst string")
+    to = {k: {k} for k in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            to[a] |= to[b]
+    parts = {k: min(x for x in to[k] if k in to[x]) for k in range(n)}
+    many = {k: v for k, v in parts.items() if sum(x == v for x in parts.values()) > 1}
+    assert {r["node"]: r["component"] for r in fixpoint.strong_components(edges).collect()} == {name(k): name(v) for k, v in many.items()}
+    size = {v: sum(x == v for x in parts.values()) for v in set(parts.values())}
+    above = {v: sum(s for u, s in size.items() if u != v and v in to[u]) for v in size}
+    between = sorted({(name(parts[a]), name(parts[b])) for a, b in pairs if parts[a] != parts[b]})
+    got = fixpoint.ancestor_sizes(spark.createDataFrame([(name(k), v) for k, v in size.items()], "node string, size long"), spark.createDataFrame(between, "src string, dst string"))
+    assert {r["node"]: r["above"] for r in got.collect()} == {name(k): v for k, v in above.items() if v}
+
+
+def test_feedback_order_of_a_large_cycle_ends_soon():
+    n = 60_000
+    rng = random.Random(1)
+    edges = pd.DataFrame([(f"{k:06}", f"{(k + 1) % n:06}") for k in range(n)] + [(f"{rng.randrange(n):06}", f"{rng.randrange(n):06}") for _ in range(n)], columns=["src", "dst"])
+    began = time.monotonic()
+    order = metrics.feedback_order(edges[edges["src"] != edges["dst"]])
+    assert sorted(order) == [f"{k:06}" for k in range(n)] and time.monotonic() - began < 30

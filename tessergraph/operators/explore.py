@@ -239,19 +239,22 @@ def follow_callers(g: Graph, ids: DataFrame) -> DataFrame:
     specialise it keep it and those who raise it start afresh. The walk ends
     when a round finds no new pair of element and context.
     """
-    own = g.paths.select("id", F.coalesce("containing_type", "id").alias("container"), "element_type")
-    containers = own.select(F.col("container").alias("id")).distinct()
-    forbidden = materialize(forbidden_call_sources(g, containers).groupBy(F.col("container").alias("c")).agg(F.collect_set("id").alias("out")), "forbidden")
-    rel = g.relationships.join(own.select(F.col("id").alias("source_id"), F.col("container").alias("source_container"), F.col("element_type").alias("source_type")), "source_id").join(own.select(F.col("id").alias("target_id"), F.col("element_type").alias("target_type")), "target_id")
-    rel = materialize(rel.where("type in ('Calls', 'Implements', 'Overrides', 'Handles', 'Invokes')"), "call-edges")
-    work = materialize(own.join(_ids(ids), "id", "left_semi").select("id", F.array("container").alias("context")), "work")
+    own = materialize(g.end_paths.select("id", F.coalesce("containing_type", "id").alias("container"), "element_type"), "call-ends")
+    rel = g.relationships.join(own.select(F.col("id").alias("source_id"), F.col("container").alias("source_container")), "source_id").join(own.select(F.col("id").alias("target_id"), F.col("element_type").alias("target_type")), "target_id")
+    masked = F.col("attributes").bitwiseAND(31)
+    current = (masked == 0) | (masked.bitwiseAND(5) != 0)
+    rel = materialize(rel.where("type in ('Calls', 'Implements', 'Overrides', 'Handles', 'Invokes')").withColumn("current", current & (F.col("type") == "Calls")), "call-edges", collect=True)
+    # what has no such edge is a result as a start and nothing else
+    linked = rel.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    work = materialize(own.join(_ids(ids), "id", "left_semi").join(linked, "id", "left_semi").select("id", F.array("container").alias("context")), "work")
+    bases = None if rel.where("current").isEmpty() else _bases(g, rel.where("current").select("source_container"))
     seen, rounds = work, 0
     while True:
-        out = work.select("id", "context", F.explode("context").alias("c")).join(forbidden, "c", "left").groupBy("id", "context").agg(F.flatten(F.collect_list(F.coalesce("out", F.array().cast("array<string>")))).alias("forbidden"))
-        back = out.join(rel, F.col("id") == F.col("target_id"))
-        masked = F.col("attributes").bitwiseAND(31)
-        current = (masked == 0) | (masked.bitwiseAND(5) != 0)
-        allowed = ~(current & F.array_contains("forbidden", F.col("source_container")))
+        back = work.join(rel, F.col("id") == F.col("target_id"))
+        masked, current = F.col("attributes").bitwiseAND(31), F.col("current")
+        allowed = F.lit(True)
+        if bases is not None:
+            back, allowed = _with_forbidden(g, back, bases), ~F.col("forbidden")
         event = F.col("target_type") == "Event"
         fresh = F.array("source_container")
         following = (
@@ -269,7 +272,32 @@ def follow_callers(g: Graph, ids: DataFrame) -> DataFrame:
         work, seen, rounds = new, seen.unionByName(new), rounds + 1
         if rounds % 16 == 0:
             seen = materialize(seen, "seen")  # one table again, so that plans stay short
-    return seen.select("id").distinct()
+    placed = g._placed(g.elements.select("id", "element_type", "is_external", "parent_id").join(_ids(ids), "id", "left_semi"))
+    return seen.select("id").unionByName(placed.select("id")).distinct()
+
+
+def _bases(g: Graph, containers: DataFrame) -> DataFrame:
+    """(c, x): the bases x of each of the containers that can be a forbidden call source."""
+    kinds = g.elements.where("element_type in ('Class', 'Struct', 'Record')").select(F.col("id").alias("source_container"))
+    starts = containers.join(kinds, "source_container", "left_semi").select(F.col("source_container").alias("id")).distinct()
+    step = g.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    return materialize(reach(step, starts.select(F.col("id").alias("origin"), F.col("id").alias("node"))).select(F.col("origin").alias("c"), F.col("node").alias("x")), "caller-bases", collect=True)
+
+
+def _with_forbidden(g: Graph, back: DataFrame, bases: DataFrame) -> DataFrame:
+    """Steps back with `forbidden`, whether a call on the current instance comes from a class forbidden to a container of its context.
+
+    Two classes of which neither is the other's base are forbidden to each other if
+    they share one; so pairs of a container and a caller are tested, and the
+    hierarchy of a container is never listed.
+    """
+    pairs = materialize(back.where("current").select(F.explode("context").alias("c"), F.col("source_container").alias("s")).distinct().where("c <> s"), "call-pairs")
+    step = g.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    above = materialize(reach(step, pairs.select(F.col("c").alias("origin"), F.col("c").alias("node"))).select(F.col("origin").alias("c"), F.col("node").alias("x")), "context-bases")
+    shared = pairs.join(above, "c").join(bases.select(F.col("c").alias("s"), "x"), ["s", "x"], "left_semi").select("c", "s").distinct()
+    near = above.select("c", F.col("x").alias("s")).unionByName(bases.select(F.col("x").alias("c"), F.col("c").alias("s")))
+    out = shared.join(near, ["c", "s"], "left_anti").groupBy("s").agg(F.collect_set("c").alias("out"))
+    return back.join(out.withColumnRenamed("s", "source_container"), "source_container", "left").withColumn("forbidden", F.coalesce(F.col("current") & F.arrays_overlap("context", "out"), F.lit(False))).drop("out")
 
 
 def chains(paths: DataFrame, most: int = 15) -> DataFrame:

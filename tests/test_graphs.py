@@ -359,3 +359,23 @@ def test_feedback_order_of_a_large_cycle_ends_soon():
     began = time.monotonic()
     order = metrics.feedback_order(edges[edges["src"] != edges["dst"]])
     assert sorted(order) == [f"{k:06}" for k in range(n)] and time.monotonic() - began < 30
+
+
+def test_callers_never_list_hierarchies(spark, monkeypatch):
+    """Calls on the current instance from a sibling class are forbidden, from a base are not; and no table holds all pairs of classes."""
+    monkeypatch.setattr(explore, "forbidden_call_sources", lambda *_: pytest.fail("pairs of classes"))
+    g = graph(
+        spark,
+        [("B", "Class", None), ("S", "Class", None), ("D", "Class", None), ("bm", "Method", "B"), ("sm", "Method", "S"), ("dm", "Method", "D"), ("x", "Method", "D")],
+        [("S", "Inherits", "B"), ("D", "Inherits", "B"), ("sm", "Calls", "dm"), ("bm", "Calls", "dm"), ("x", "Calls", "sm", 8)],
+    )
+    assert flat(explore.follow_callers(g, ids(spark, "dm")), "id") == ["bm", "dm"]
+
+
+def test_members_of_bases_that_tie_nothing_are_not_listed(spark, monkeypatch):
+    sizes = []
+    kept = cohesion.materialize
+    monkeypatch.setattr(cohesion, "materialize", lambda df, label, *a, **b: (sizes.append(df.count()) if label == "members" else None, kept(df, label, *a, **b))[1])
+    g = graph(spark, [("B", "Class", None), ("D", "Class", None), *((f"b{k}", "Method", "B") for k in range(9)), *((f"d{k}", "Method", "D") for k in range(4))], [("D", "Inherits", "B"), ("d0", "Calls", "b0"), ("d1", "Uses", "b0")])
+    assert flat(cohesion.type_cohesion(g), "id", "methods", "partitions") == [("B", 9, 9), ("D", 4, 3)]
+    assert sizes == [4]

@@ -23,24 +23,30 @@ def partitions(g: Graph, types: DataFrame, lifecycle: bool = False, bases: bool
     """
     names = g.elements.select("id", "name", "parent_id", "element_type")
     wanted = names if lifecycle else names.where(~((F.col("element_type") == "Method") & F.col("name").isin(*LIFECYCLE)))
-    own = g.subtree(types).where("root <> id").join(wanted.select("id", "parent_id"), "id").select(F.col("root").alias("type_id"), "id", "parent_id", F.lit(False).alias("base"))
+    own = g.below(types, "name", "element_type").where("root <> id")
+    own = own if lifecycle else own.where(~((F.col("element_type") == "Method") & F.col("name").isin(*LIFECYCLE)))
+    own = own.select(F.col("root").alias("type_id"), "id", "parent_id", F.lit(False).alias("base"))
     if bases:
         up = g.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
         above = reach(up, types.select(F.col("id").alias("origin"), F.col("id").alias("node"))).join(g.types.select(F.col("id").alias("node")), "node", "left_semi")
-        inherited = above.where("origin <> node").join(wanted, F.col("parent_id") == F.col("node")).select(F.col("origin").alias("type_id"), "id", F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("base"))
+        # a base's member ties others only by a call or use, so only ends of those are looked at
+        ends = g.relationships.where("type in ('Calls', 'Uses')").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        inherited = above.where("origin <> node").join(wanted.join(ends, "id", "left_semi"), F.col("parent_id") == F.col("node")).select(F.col("origin").alias("type_id"), "id", F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("base"))
         own = own.unionByName(inherited)
-    own = materialize(own.dropDuplicates(["type_id", "id"]), "members")
+    # members that nothing ties are parts of their own; only ends of dependencies and what lies deeper are searched
+    linked = g.relationships.where(is_dependency(F.col("type"))).select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    tying = materialize(own.join(linked, "id", "left_semi").dropDuplicates(["type_id", "id"]), "members", collect=True)
     key = lambda c: F.concat_ws("\x1f", "type_id", c)
-    side = lambda n: own.select("type_id", F.col("id").alias(n), F.col("base").alias(f"{n}_base"))
+    side = lambda n: tying.select("type_id", F.col("id").alias(n), F.col("base").alias(f"{n}_base"))
     tied = g.relationships.where(is_dependency(F.col("type"))).join(side("source_id"), "source_id").join(side("target_id"), ["type_id", "target_id"])
     tied = tied.where("not (source_id_base or target_id_base) or type in ('Calls', 'Uses')").select(key("source_id").alias("a"), key("target_id").alias("b"))
-    within = own.join(own.select("type_id", F.col("id").alias("parent_id")), ["type_id", "parent_id"], "left_semi").select(key("id").alias("a"), key("parent_id").alias("b"))
-    alone = own.select(key("id").alias("a"), key("id").alias("b"))
-    found = connected_components(tied.unionByName(within).unionByName(alone), "a", "b", "partitions")
+    mine = own.where("not base")
+    within = mine.where("parent_id <> type_id").join(mine.select("type_id", F.col("id").alias("parent_id")), ["type_id", "parent_id"], "left_semi").select(key("id").alias("a"), key("parent_id").alias("b"))
+    found = connected_components(tied.unionByName(within), "a", "b", "partitions")
     named = found.select(F.split("node", "\x1f")[0].alias("type_id"), F.split("node", "\x1f")[1].alias("id"), "component")
-    kept = named.join(own.where("not base").select("type_id", "id"), ["type_id", "id"], "left_semi")
-    least = kept.groupBy("component").agg(F.min("id").alias("partition"))
-    return kept.join(least, "component").select("type_id", "partition", "id")
+    named = materialize(mine.select("type_id", "id").distinct().join(named, ["type_id", "id"], "left"), "partitions", codec="zstd", collect=True)
+    least = named.where("component is not null").groupBy("component").agg(F.min("id").alias("partition"))
+    return named.join(least, "component", "left").select("type_id", F.coalesce("partition", "id").alias("partition"), "id")
 
 
 def type_cohesion(g: Graph, least: int = 4) -> DataFrame:

@@ -296,10 +296,10 @@ def _read_again(g: Graph) -> Graph:
 
 
 def _stored(g: Graph) -> Graph:
-    """The graph written as a project file and read from it."""
+    """The graph written as a project file, in parts, and read from it."""
     spark = g.elements.sparkSession
     path = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
-    projects.write_project_json(g, path)
+    projects.write_project_json(g, path, parts=True)
     return sources.read_project_json(spark, path)
 
 

@@ -78,9 +78,16 @@ def project_lines(g: Graph) -> DataFrame:
     return out.unionByName(spark.createDataFrame([(2 * len(lists), "", lists[-1][1][1] + "}")], "section int, ord string, line string"))
 
 
-def write_project_json(g: Graph, path: str) -> None:
-    """One sorted file in a folder; the writer's single task puts the sorted parts together, as the form asks for one document."""
-    project_lines(g).orderBy("section", "ord").select("line").coalesce(1).write.text(path)
+def write_project_json(g: Graph, path: str, parts: bool = False) -> None:
+    """One sorted file in a folder; the writer's single task puts the sorted parts together, as the form asks for one document.
+
+    With `parts` they stay as they are, compressed: in the order of their names they are the same document, and no task holds it.
+    """
+    lines = project_lines(g).orderBy("section", "ord").select("line")
+    if parts:
+        lines.write.option("compression", "gzip").text(path)
+    else:
+        lines.coalesce(1).write.text(path)
 
 
 def save_session(elements: DataFrame, relationships: DataFrame, folder: str) -> None:

@@ -65,3 +65,18 @@ def test_project_file_is_one_document_and_comes_back(spark, tmp_path):
 def test_only_members_can_be_hidden(spark):
     with pytest.raises(ValueError):
         explore.hide(Graph(spark.createDataFrame([], ELEMENTS), spark.createDataFrame([], RELATIONSHIPS)), ("Class",))
+
+
+def test_project_file_in_parts_is_the_same_document(spark, tmp_path):
+    import gzip
+
+    g = graph(spark, [("T", "Assembly", None), *((f"C{k:05}", "Class", "T") for k in range(30_000))], [("C00001", "Uses", "C00002")])
+    projects.write_project_json(g, str(tmp_path / "one"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        projects.write_project_json(g, str(tmp_path / "p"), parts=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "p").glob("part-*.gz"))
+    assert len(files) > 1 and b"".join(gzip.decompress(f.read_bytes()) for f in files) == next((tmp_path / "one").glob("part-*")).read_bytes()
+    assert sources.read_project_json(spark, str(tmp_path / "p")).elements.count() == 30_001

@@ -300,7 +300,7 @@ def _stored(g: Graph) -> Graph:
     spark = g.elements.sparkSession
     path = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
     projects.write_project_json(g, path, parts=True)
-    return sources.read_project_json(spark, path)
+    return sources.read_project_parts(spark, path)
 
 
 _properties("project_elements", lambda g: _stored(g).elements.select("id", "element_type", "name", "full_name", "parent_id", "access_level", "is_external", "is_generated", F.array_join("attributes", ",").alias("attributes")), "SELECT e.id, element_type, name, full_name, parent_id, access_level, is_external, is_generated, coalesce(m.attribute, '') AS attributes FROM all_elements e LEFT JOIN marked m ON m.id = e.id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,14 +136,33 @@ _PROJECT = f"Children array<struct<ParentId:string,ChildId:string>>, CodeElement
 def read_project_json(spark: SparkSession, path: str) -> Graph:
     """Graph of a project file: children, elements and relationships with kinds as numbers, member metrics, contracts from outside, and types that notify."""
     raw = spark.read.schema(_PROJECT).option("multiLine", True).json(path)
-    kind = lambda c, names: F.coalesce(F.get(F.array(*[F.lit(x) for x in names]), F.col(c)), F.lit(names[0]))
     each = lambda c: raw.select(F.explode(c).alias("x")).select("x.*")
+    return _project(each, raw.select(F.explode("ExternalContracts").alias("element_id", "contract")), raw.select(F.explode("NotifyingTypes").alias("id")))
+
+
+#: How lines of each list of a project file begin.
+_BEGIN = {"Children": ('{"ParentId":',), "CodeElements": ('{"Id":',), "Relationships": ('{"Attributes":', '{"SourceId":'), "MemberMetrics": ('{"ElementId":',)}
+
+
+def read_project_parts(spark: SparkSession, path: str) -> Graph:
+    """Graph of a project file as `write_project_json` puts it, an entry a line, whole or in parts; lines tell by their first name what they are, so any task can read any of them."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
+    schema = spark.createDataFrame([], _PROJECT).schema
+    begins = lambda c: reduce(lambda a, b: a | b, [F.col("line").startswith(x) for x in _BEGIN[c]])
+    each = lambda c: lines.where(begins(c)).select(F.from_json("line", schema[c].dataType.elementType).alias("x")).select("x.*")
+    texts = lines.where("startswith(line, '\"')")
+    contracts = texts.select(F.explode(F.from_json(F.concat(F.lit("{"), "line", F.lit("}")), "map<string,string>")).alias("element_id", "contract"))
+    return _project(each, contracts, texts.select(F.explode(F.from_json(F.concat(F.lit("["), "line", F.lit("]")), "array<string>")).alias("id")).where("id is not null"))
+
+
+def _project(each: Callable[[str], DataFrame], contracts: DataFrame, notifying: DataFrame) -> Graph:
+    kind = lambda c, names: F.coalesce(F.get(F.array(*[F.lit(x) for x in names]), F.col(c)), F.lit(names[0]))
     places = F.transform(F.coalesce("SourceLocations", F.array().cast(_PLACES)), lambda p: F.struct(p.File.alias("file"), p.Line.alias("line"), p.Column.alias("column"))).alias("source_locations")
     parents = each("Children").select(F.col("ChildId").alias("Id"), F.col("ParentId").alias("parent_id"))
     elements = each("CodeElements").join(parents, "Id", "left").select(F.col("Id").alias("id"), kind("ElementType", ELEMENT_TYPES).alias("element_type"), F.col("Name").alias("name"), F.col("FullName").alias("full_name"), "parent_id", kind("AccessLevel", ACCESS_LEVELS).alias("access_level"), F.coalesce("IsExternal", F.lit(False)).alias("is_external"), F.coalesce("IsGenerated", F.lit(False)).alias("is_generated"), F.coalesce("Attributes", _empty("attributes")).alias("attributes"), places)
     relationships = canonical(each("Relationships").select(F.col("SourceId").alias("source_id"), F.col("TargetId").alias("target_id"), kind("Type", RELATIONSHIP_TYPES).alias("type"), F.coalesce("Attributes", F.lit(0)).alias("attributes"), places))
     metrics = each("MemberMetrics").select(F.col("ElementId").alias("element_id"), F.col("CodeLines").alias("code_lines"), F.col("CommentLines").alias("comment_lines"), F.col("LogicalLinesOfCode").alias("logical_lines_of_code"), F.col("CyclomaticComplexity").alias("cyclomatic_complexity"))
-    return Graph(elements, relationships, metrics, raw.select(F.explode("ExternalContracts").alias("element_id", "contract")), raw.select(F.explode("NotifyingTypes").alias("id")))
+    return Graph(elements, relationships, metrics, contracts, notifying)
 
 
 def read_documentation(spark: SparkSession, folder: str, assembly: str) -> Graph:

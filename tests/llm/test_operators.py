@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -549,6 +550,21 @@ def test_search_of_messy_texts(messy, empty):
     assert topk_search.similar_documents(empty).collect() == []
 
 
+def test_shards_hold_like_documents_and_are_skipped(monkeypatch):
+    """Documents of two vocabularies stand in shards of their own, and a shard that can't reach a query's floor is not summed."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.6, 60) % 300) for i in range(400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])
+    shards = [b.to_pylist()[0] for b in topk_search._build([batch])]
+    held = [topk_search.unpack(s["documents"], "<i8", "<i8")[0] for s in shards]
+    assert sorted(np.concatenate(held)) == list(range(400)) and len(shards) > 1
+    assert all(len(set(ids % 2)) == 1 for ids in held)
+    q = topk_search.Queries(pa.Table.from_batches(topk_search._query_terms([batch.slice(0, 1)])))
+    best, sums = [(np.full(3, 1e9), np.arange(3))], []
+    monkeypatch.setattr(topk_search, "_product", lambda *x: sums.append(x))
+    assert not any(topk_search.search_shard(q, np.ones(len(q.vocabulary)), 60.0, (s["lexicon"], s["postings"], s["documents"]), 3, best) for s in shards) and not sums
+
+
 # 9 Jaccard join
 
 

@@ -28,18 +28,22 @@ def search_edges(g: Graph, external: bool = False) -> DataFrame:
     p = g.end_paths if external else g.end_paths.where("not is_external")
     side = lambda name, short: p.select(F.col("id").alias(name), F.col("path").alias(f"{short}_path"), F.col("types").alias(f"{short}_types"))
     e = relevant(g).select("source_id", "target_id").distinct().join(side("source_id", "s"), "source_id").join(side("target_id", "t"), "target_id")
-    k = F.size(F.array_intersect("s_path", "t_path"))
-    at = lambda s: F.least(k, F.size(f"{s}_path") - 1) + 1
-    e = e.withColumns({"si": at("s"), "ti": at("t")})
-    level = lambda s, i: container_level(F.element_at(f"{s}_types", F.col(i)))
 
-    def raised(s: str, i: str, least) -> Column:
+    def raised(levels: Column, i: Column, least: Column) -> Column:
         """The last place up to i whose level is at least `least`, or null."""
-        places = F.filter(F.sequence(F.lit(1), F.col(i)), lambda x: container_level(F.element_at(F.col(f"{s}_types"), x)) >= least)
-        return F.when(F.size(places) > 0, F.array_max(places))
-
+        back = F.array_position(F.transform(F.reverse(F.slice(levels, 1, i)), lambda x: x >= least), True).cast("int")
+        return F.when(back > 0, i + 1 - back)
+
+    # as steps over an array of one, so that each row's intersection and levels are computed once and not anew wherever a later step names them
+    step = lambda x, **new: F.transform(x, lambda v: F.struct(*[v[c].alias(c) for c in ("s", "t", "si", "ti", "least") if c not in new], *[f(v).alias(c) for c, f in new.items()]))
+    level = lambda s: F.transform(f"{s}_types", container_level)
+    x = F.array(F.struct(level("s").alias("s"), level("t").alias("t"), F.size(F.array_intersect("s_path", "t_path")).alias("si")))
+    x = step(x, ti=lambda v: v["si"], least=lambda v: F.lit(None).cast("int"))
+    x = step(x, si=lambda v: F.least(v["si"], F.size(v["s"]) - 1) + 1, ti=lambda v: F.least(v["ti"], F.size(v["t"]) - 1) + 1)
     for _ in range(2):
-        e = e.withColumn("_least", F.greatest(level("s", "si"), level("t", "ti"))).withColumns({"si": raised("s", "si", F.col("_least")), "ti": raised("t", "ti", F.col("_least"))}).where("si is not null and ti is not null")
+        x = step(x, least=lambda v: F.greatest(F.element_at(v["s"], v["si"]), F.element_at(v["t"], v["ti"])))
+        x = step(x, si=lambda v: raised(v["s"], v["si"], v["least"]), ti=lambda v: raised(v["t"], v["ti"], v["least"]))
+    e = e.select("source_id", "target_id", "s_path", "t_path", "s_types", F.inline(x)).where("si is not null and ti is not null")
     out = e.select(F.expr("element_at(s_path, si)").alias("src"), F.expr("element_at(t_path, ti)").alias("dst"), F.expr("element_at(s_types, si)").alias("kind"), "source_id", "target_id")
     return out.where("src <> dst or kind = 'Method'").drop("kind")
 

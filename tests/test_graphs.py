@@ -191,6 +191,16 @@ def test_cycle_groups_by_level(spark):
     assert cycles.cycle_summary(g).first()["level"] == "Namespace"
 
 
+def test_raised_edges_at_all_depths_in_one_plan_of_bounded_size(spark):
+    """Ends at unequal depths are raised to equal levels; the shared part of two paths is computed once, wherever it is named."""
+    rows = [("T", "Assembly", None), ("N", "Namespace", "T"), ("C", "Class", "N"), ("I", "Class", "C"), ("m", "Method", "I"), ("o", "Method", "C"), ("U", "Assembly", None), ("D", "Class", "U"), ("d", "Method", "D")]
+    g = graph(spark, rows, [("m", "Calls", "o"), ("m", "Calls", "d"), ("d", "Calls", "d"), ("o", "Uses", "C"), ("d", "Uses", "N")])
+    found = cycles.search_edges(g)
+    assert flat(found, "src", "dst", "source_id", "target_id") == [("I", "C", "m", "o"), ("T", "U", "m", "d"), ("U", "T", "d", "N"), ("d", "d", "d", "d")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+
+
 def test_cohesion_of_two_groups(spark):
     g = graph(spark, [("T", "Assembly", None), ("C", "Class", "T"), *[(m, "Method", "C") for m in "abcd"], ("k", "Method", "C", {"name": ".ctor"})], [("a", "Calls", "b"), ("c", "Calls", "d"), ("k", "Calls", "a"), ("k", "Calls", "c")])
     r = cohesion.type_cohesion(g).first()

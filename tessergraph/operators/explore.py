@@ -6,12 +6,17 @@ Ids come as a frame with a column `id`. Results are frames of relationships
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import container_level
 from ..model import Graph
-from ..plans.fixpoint import reach
+from ..plans.fixpoint import TASK_EDGES, numbered, reach
 from ..plans.storage import materialize
 
 EDGE = ("source_id", "target_id", "type", "attributes")
@@ -151,19 +156,98 @@ def inheritance_tree(g: Graph, ids: DataFrame) -> DataFrame:
     return found.select("origin", F.col("node").alias("id")).distinct()
 
 
+def _hierarchies_kernel(t: pa.Table) -> pa.Table:
+    """One row of all inheritance: names of its classes, who inherits from whom, which are asked for and which can be results."""
+    mark = t["mark"].to_numpy()
+    names, src, dst = numbered(t["src"].filter(pa.array(mark == 0)), t["dst"].filter(pa.array(mark == 0)))
+    asked, kinds = (np.sort(pc.index_in(t["src"].filter(pa.array(mark == k)), names).drop_null().to_numpy()) for k in (1, 2))
+    packed = [pa.array([a.astype("int32").tobytes()], pa.binary()) for a in (src, dst, asked, kinds)]
+    return pa.table([pa.array([names.to_pylist()], pa.list_(pa.string())), *packed], names=["names", "src", "dst", "asked", "kinds"])
+
+
+#: Rows of a batch of pairs that a task hands on.
+PAIR_ROWS = 1 << 16
+
+
+def _forbidden_kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each task's share of the containers: what descends from a container's bases, without its bases, what descends from it and itself."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part, parts = batch["part"][row].as_py(), batch["parts"][row].as_py()
+            names = batch["names"][row].values
+            src, dst, asked, kinds = (np.frombuffer(batch[c][row].as_py(), "int32") for c in ("src", "dst", "asked", "kinds"))
+            seen, can = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            can[kinds] = True
+
+            def listed(a: np.ndarray, b: np.ndarray, n: int = len(names)) -> tuple[np.ndarray, np.ndarray]:
+                order = np.argsort(a, kind="stable")
+                return np.searchsorted(a[order], np.arange(n + 1)), b[order]
+
+            def reached(front: np.ndarray, way: tuple[np.ndarray, np.ndarray], seen: np.ndarray = seen) -> np.ndarray:
+                """Marks and returns what wasn't seen before on the way from some nodes."""
+                at, to = way
+                found = [front[:0]]
+                while len(front):
+                    many = at[front + 1] - at[front]
+                    near = to[np.repeat(at[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    front = np.unique(near[~seen[near]])
+                    seen[front] = True
+                    found.append(front)
+                return np.concatenate(found)
+
+            up, down = listed(src, dst), listed(dst, src)
+            pairs, n = [], 0
+
+            def out(pairs: list[tuple[int, np.ndarray]], names: pa.Array = names) -> pa.RecordBatch:
+                own = np.repeat([c for c, _ in pairs], [len(x) for _, x in pairs])
+                return pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(np.concatenate([x for _, x in pairs])))], names=["container", "id"])
+
+            for c in asked[part::parts]:
+                start = np.array([c], "int32")
+                seen[c] = True
+                bases = reached(start, up)
+                seen[bases] = False  # a base may be below as well, where classes inherit in a circle
+                below = reached(start, down)
+                seen[bases] = True
+                found = reached(bases, down)
+                for x in (start, bases, below, found):
+                    seen[x] = False
+                found = found[can[found]]
+                if len(found):
+                    pairs.append((c, found))
+                    n += len(found)
+                if n >= PAIR_ROWS:
+                    yield out(pairs)
+                    pairs, n = [], 0
+            if n:
+                yield out(pairs)
+
+
 def forbidden_call_sources(g: Graph, ids: DataFrame) -> DataFrame:
     """(container, id): classes of the whole hierarchy of a container's bases that are neither its bases, nor derived from it, nor itself.
 
-    A call on the current instance can't come from them.
+    A call on the current instance can't come from them. Of a graph whose inheritance a
+    task can hold (`TASK_EDGES`) each task gets all of it and its share of the
+    containers, and pairs go to the result without being stored or dealt out before.
     """
     step = g.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    kinds = g.elements.where("element_type in ('Class', 'Struct', 'Record')").select(F.col("id").alias("node"))
+    step = materialize(step.distinct(), "inherits", collect=True)
+    if step.count() <= TASK_EDGES:
+        spark, of = step.sparkSession, lambda df, mark: df.select(F.col(df.columns[0]).alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(mark).alias("mark"))
+        ends = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        # a class without bases has no such sources
+        rows = step.withColumn("mark", F.lit(0)).unionByName(of(_ids(ids).join(step.select(F.col("src").alias("id")), "id", "left_semi"), 1)).unionByName(of(kinds.join(ends, "node", "left_semi"), 2))
+        packed = materialize(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _hierarchies_kernel(t.drop_columns("all")), "names array<string>, src binary, dst binary, asked binary, kinds binary"), "hierarchies")
+        parts = 8 * max(1, spark.sparkContext.defaultParallelism)
+        each = spark.range(0, parts, 1, parts).select(F.col("id").alias("part"), F.lit(parts).alias("parts")).join(F.broadcast(packed), F.lit(True))  # one row
+        return each.mapInArrow(lambda b: _forbidden_kernel(b), "container string, id string")
     back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     starts = _ids(ids).select(F.col("id").alias("origin"), F.col("id").alias("node"))
     above = materialize(reach(step, starts).select("origin", "node"), "bases")
     below = reach(back, starts).select("origin", "node")
     tree = above.unionByName(reach(back, above).select("origin", "node")).unionByName(reach(step, above).select("origin", "node")).distinct()
     own = above.unionByName(below).unionByName(starts).distinct()
-    kinds = g.elements.where("element_type in ('Class', 'Struct', 'Record')").select(F.col("id").alias("node"))
     return tree.join(own, ["origin", "node"], "left_anti").join(kinds, "node", "left_semi").select(F.col("origin").alias("container"), F.col("node").alias("id"))
 
 

@@ -201,6 +201,19 @@ def test_raised_edges_at_all_depths_in_one_plan_of_bounded_size(spark):
     assert plan.count("array_intersect") == 1
 
 
+def test_forbidden_sources_without_stored_pairs(spark, monkeypatch):
+    """Tasks that hold the hierarchy give the same pairs as joins, also with two bases and where classes inherit in a circle, and store none."""
+    edges = [("b", "a"), ("c", "a"), ("d", "b"), ("e", "b"), ("e", "x"), ("f", "x"), ("g", "h"), ("h", "i"), ("i", "g"), ("j", "i"), ("k", "h"), ("p", "s"), ("q", "s")]
+    g = graph(spark, [*((n, "Class", None) for n in "abcdefghijkpqx"), ("s", "Interface", None)], [(a, "Inherits", b) for a, b in edges])
+    every = g.elements.select("id")
+    monkeypatch.setattr(explore, "TASK_EDGES", 0)
+    joined = flat(explore.forbidden_call_sources(g, every), "container", "id")
+    monkeypatch.undo()
+    monkeypatch.setattr(explore, "reach", lambda *_: pytest.fail("pairs are stored"))
+    assert flat(explore.forbidden_call_sources(g, every), "container", "id") == joined and ("b", "c") in joined and ("p", "q") in joined and ("j", "k") in joined
+    assert flat(explore.forbidden_call_sources(g, ids(spark, "d")), "container", "id") == [p for p in joined if p[0] == "d"]
+
+
 def test_cohesion_of_two_groups(spark):
     g = graph(spark, [("T", "Assembly", None), ("C", "Class", "T"), *[(m, "Method", "C") for m in "abcd"], ("k", "Method", "C", {"name": ".ctor"})], [("a", "Calls", "b"), ("c", "Calls", "d"), ("k", "Calls", "a"), ("k", "Calls", "c")])
     r = cohesion.type_cohesion(g).first()

@@ -14,7 +14,7 @@ from .functions import predicates, search
 from .model import Graph
 from .operators import cohesion, cycles, deadcode, dsm, edits, explore, layout, matrix, metrics, rules
 from .operators import history as mining
-from .plans.storage import shared_dir
+from .plans.storage import materialize, shared_dir
 from .sinks import graphs as sinks
 from .sinks import projects
 from .sources import graphs as sources
@@ -292,7 +292,7 @@ def _read_again(g: Graph) -> Graph:
     # line numbers of sorted blocks: what stands before a block, and the place in it
     blocks = rows.groupBy("section", F.substring("ord", 1, 24).alias("head")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("section", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = rows.withColumn("number", number).withColumn("head", F.substring("ord", 1, 24)).join(blocks, ["section", "head"])
-    return sources.parse_plain_text(placed.select((F.col("before") + F.col("number")).alias("line_no"), "line"))
+    return sources.parse_plain_text(materialize(placed.select((F.col("before") + F.col("number")).alias("line_no"), "line"), "plain-lines", codec="zstd", collect=True))
 
 
 def _stored(g: Graph) -> Graph:

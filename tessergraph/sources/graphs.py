@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import ACCESS_LEVELS, ELEMENT_TYPES, FLAGS, RELATIONSHIP_TYPES
 from ..model import ELEMENTS, RELATIONSHIPS, Graph, canonical
+from ..plans.storage import materialize
 
 
 class FormatError(ValueError):
@@ -34,7 +35,9 @@ def parse_plain_text(lines: DataFrame) -> Graph:
     above it. An unknown parent makes a root. A relationship repeated is merged.
     """
     rows = lines.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#')")
-    owned = rows.withColumn("is_loc", F.col("line").startswith("loc="))
+    is_loc = F.col("line").startswith("loc=")
+    # of other lines than places only the numbers are dealt out here
+    owned = rows.select("line_no", is_loc.alias("is_loc"), F.when(is_loc, F.col("line")).alias("line"))
     # the owner is the last other line before: within a block of lines, or the last of the blocks before, of which there is a row each
     owned = owned.withColumn("block", F.shiftright("line_no", 14))
     other = F.when(~F.col("is_loc"), F.col("line_no"))
@@ -43,13 +46,16 @@ def parse_plain_text(lines: DataFrame) -> Graph:
     owned = owned.withColumn("owner", F.max(other).over(w)).join(lasts, "block").withColumn("owner", F.coalesce("owner", "carried")).drop("block", "carried")
     place = F.struct(F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 1).alias("file"), F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 2).cast("int").alias("line"), F.regexp_extract("line", r"^loc=(.*):(\d+),(\d+)$", 3).cast("int").alias("column"))
     places = owned.where("is_loc").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", place.alias("p")))), lambda x: x.p).alias("source_locations"))
-    body = owned.where("not is_loc").select("line_no", F.split("line", r"\s+").alias("w")).join(places, F.col("line_no") == F.col("owner"), "left").drop("owner")
+    body = materialize(rows.where(~is_loc).join(places, F.col("line_no") == F.col("owner"), "left").select("line_no", "line", "source_locations"), "plain-body", codec="zstd", collect=True)
+    body = body.select("line_no", F.split("line", r"\s+").alias("w"), "source_locations")
     kinds, relations = F.col("w")[0].isin(*ELEMENT_TYPES), F.size("w") >= 3
     defined = body.where(kinds & (F.size("w") >= 2)).groupBy(F.get("w", F.lit(1)).alias("id")).agg(F.min("line_no").alias("at"))
     ends = lambda c, n: defined.select(F.col("id").alias(c), F.col("at").alias(n))
-    tagged = body.withColumn("a", F.col("w")[0]).withColumn("b", F.get("w", F.lit(2))).join(ends("a", "at_a"), "a", "left").join(ends("b", "at_b"), "b", "left")
-    edge = relations & (F.col("at_a") < F.col("line_no")) & (F.col("at_b") < F.col("line_no")) & F.get("w", F.lit(1)).isin(*RELATIONSHIP_TYPES)
-    tagged = tagged.withColumn("edge", F.coalesce(edge, F.lit(False)))
+    # only lines that read like a relationship are joined with what is defined
+    could = F.coalesce(relations & F.get("w", F.lit(1)).isin(*RELATIONSHIP_TYPES), F.lit(False))
+    likely = body.where(could).withColumn("a", F.col("w")[0]).withColumn("b", F.get("w", F.lit(2))).join(ends("a", "at_a"), "a", "left").join(ends("b", "at_b"), "b", "left")
+    edge = (F.col("at_a") < F.col("line_no")) & (F.col("at_b") < F.col("line_no"))
+    tagged = likely.select(*body.columns, F.coalesce(edge, F.lit(False)).alias("edge")).unionByName(body.where(~could).withColumn("edge", F.lit(False)))
     bad = tagged.where(~F.col("edge") & ~(kinds & (F.size("w") >= 2))).select(F.array_join("w", " ").alias("l")).first()
     if bad:
         raise FormatError(f"neither an element nor a relationship between elements defined above: {bad['l']}")

@@ -214,6 +214,17 @@ def test_forbidden_sources_without_stored_pairs(spark, monkeypatch):
     assert flat(explore.forbidden_call_sources(g, ids(spark, "d")), "container", "id") == [p for p in joined if p[0] == "d"]
 
 
+def test_plain_text_joins_only_likely_relationships(spark):
+    """Lines of elements aren't joined with what is defined above; an element line whose second word names a kind of relationship is read as before."""
+    lines = ["Class C", "Class Uses x", "loc=a.cs:1,2", "C Uses Uses", "Class Calls C"]
+    g = sources.parse_plain_text(spark.createDataFrame([*enumerate(lines)], "line_no long, line string"))
+    assert flat(g.elements, "id", "element_type") == [("C", "Class"), ("Calls", "Class"), ("Uses", "Class")]
+    assert flat(g.relationships, "source_id", "type", "target_id") == [("C", "Uses", "Uses")]
+    plan = g.elements._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.split("\n") if "Filter" in line and "Uses" in line]
+    assert len(kept) > 1, "every line is joined"
+
+
 def test_cohesion_of_two_groups(spark):
     g = graph(spark, [("T", "Assembly", None), ("C", "Class", "T"), *[(m, "Method", "C") for m in "abcd"], ("k", "Method", "C", {"name": ".ctor"})], [("a", "Calls", "b"), ("c", "Calls", "d"), ("k", "Calls", "a"), ("k", "Calls", "c")])
     r = cohesion.type_cohesion(g).first()

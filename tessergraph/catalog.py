@@ -119,7 +119,7 @@ _graph("page_rank", lambda g: metrics.type_ranks(g, most=20, tolerance=0.0).sele
 _graph("type_ranks", metrics.type_ranks)
 _graph("feedback_edges", lambda g: metrics.feedback_edges(g.type_edges, metrics.components(g)))
 _graph("system_metrics", metrics.system_metrics)
-_graph("propagation_and_cyclicity", lambda g: metrics.system_metrics(g).select("types", "dependencies", F.round("propagation_cost", 9).alias("propagation_cost"), F.round("cyclicity", 9).alias("cyclicity")), _REACH + " SELECT (SELECT count(*) FROM own_types) AS types, (SELECT count(*) FROM type_edges) AS dependencies, round((SELECT count(*) FROM reach WHERE src <> dst) / (n * (n - 1)), 9) AS propagation_cost, round((SELECT count(*) FROM reach WHERE src = dst) / n, 9) AS cyclicity FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types)")
+_graph("propagation_and_cyclicity", lambda g: metrics.propagation(g).select("types", "dependencies", F.round("propagation_cost", 9).alias("propagation_cost"), F.round("cyclicity", 9).alias("cyclicity")), _REACH + " SELECT (SELECT count(*) FROM own_types) AS types, (SELECT count(*) FROM type_edges) AS dependencies, round((SELECT count(*) FROM reach WHERE src <> dst) / (n * (n - 1)), 9) AS propagation_cost, round((SELECT count(*) FROM reach WHERE src = dst) / n, 9) AS cyclicity FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM own_types)")
 _LIFT = """, own AS (SELECT * FROM elements WHERE NOT is_external), rel AS (SELECT DISTINCT source_id, target_id FROM relationships r JOIN elements a ON a.id = r.source_id JOIN elements b ON b.id = r.target_id WHERE NOT a.is_external AND NOT b.is_external AND r.type NOT IN ('Handles', 'Overrides')),
 anc AS (SELECT e.id, e.element_type, CASE e.element_type WHEN 'Method' THEN c.id WHEN 'Class' THEN e.id END AS k, CASE e.element_type WHEN 'Method' THEN n.id ELSE c.id END AS ns, CASE e.element_type WHEN 'Method' THEN n.parent_id ELSE c.parent_id END AS top FROM own e LEFT JOIN elements c ON c.id = e.parent_id LEFT JOIN elements n ON n.id = c.parent_id WHERE e.element_type IN ('Class', 'Method')),
 lifted AS (SELECT CASE WHEN s.top <> t.top THEN s.top WHEN s.ns <> t.ns THEN s.ns WHEN s.k <> t.k THEN s.k ELSE s.id END AS src, CASE WHEN s.top <> t.top THEN t.top WHEN s.ns <> t.ns THEN t.ns WHEN s.k <> t.k THEN t.k ELSE t.id END AS dst, r.source_id, r.target_id FROM rel r JOIN anc s ON s.id = r.source_id JOIN anc t ON t.id = r.target_id)"""

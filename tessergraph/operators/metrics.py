@@ -166,6 +166,15 @@ def feedback_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return inside.groupBy("component").applyInArrow(kernel, "src string, dst string")
 
 
+def propagation(g: Graph) -> DataFrame:
+    """One row: types, dependencies, propagation cost and cyclicity; all 0 below two types."""
+    n, e = g.types.count(), g.type_edges.count()
+    reached = blast_radius(g).agg(F.coalesce(F.sum("blast_radius"), F.lit(0)).alias("r"))
+    row = reached.join(components(g).agg(F.count("*").alias("c")), F.lit(True))  # two tables of one row
+    cost, share = (F.col("r") / F.lit(float(n) * (n - 1)), F.col("c") / F.lit(float(n))) if n >= 2 else (F.lit(0.0), F.lit(0.0))
+    return row.select(F.lit(n).cast("long").alias("types"), F.lit(e).cast("long").alias("dependencies"), cost.alias("propagation_cost"), share.alias("cyclicity"))
+
+
 def system_metrics(g: Graph) -> DataFrame:
     """One row: types, dependencies, propagation cost, cyclicity and feedback density; all 0 below two types."""
     n, e = g.types.count(), g.type_edges.count()

@@ -225,6 +225,14 @@ def test_plain_text_joins_only_likely_relationships(spark):
     assert len(kept) > 1, "every line is joined"
 
 
+def test_propagation_orders_no_feedback(spark, monkeypatch):
+    g = types(spark, [("A", "B"), ("B", "C"), ("C", "B"), ("C", "D")])
+    whole = metrics.system_metrics(g).drop("feedback_density").first()
+    monkeypatch.setattr(metrics, "feedback_edges", lambda *_: pytest.fail("feedback edges are not asked for"))
+    assert metrics.propagation(g).first() == whole
+    assert tuple(metrics.propagation(types(spark, [], "A")).first()) == (1, 0, 0.0, 0.0)
+
+
 def test_cohesion_of_two_groups(spark):
     g = graph(spark, [("T", "Assembly", None), ("C", "Class", "T"), *[(m, "Method", "C") for m in "abcd"], ("k", "Method", "C", {"name": ".ctor"})], [("a", "Calls", "b"), ("c", "Calls", "d"), ("k", "Calls", "a"), ("k", "Calls", "c")])
     r = cohesion.type_cohesion(g).first()

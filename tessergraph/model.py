@@ -20,6 +20,8 @@ ELEMENTS = T.StructType(
     + [T.StructField("attributes", T.ArrayType(T.StringType())), T.StructField("source_locations", T.ArrayType(LOCATION))]
 )
 RELATIONSHIPS = T.StructType([T.StructField(n, T.StringType()) for n in ("source_id", "target_id", "type")] + [T.StructField("attributes", T.IntegerType()), T.StructField("source_locations", T.ArrayType(LOCATION))])
+#: `is_type` of t, as text.
+KINDS = "t in ('Class','Interface','Struct','Record','Enum','Delegate')"
 
 
 def canonical(relationships: DataFrame) -> DataFrame:
@@ -39,14 +41,28 @@ class Graph:
     notifying: DataFrame | None = None
     _kept: dict = field(default_factory=dict, repr=False)
 
+    @property
+    def shape(self) -> DataFrame:
+        """id, element_type, is_external and parent_id of all elements; a source may have a shorter way to them than its whole elements."""
+        return self.elements.select("id", "element_type", "is_external", "parent_id")
+
+    def ends_among(self, ids: DataFrame) -> DataFrame:
+        """`shape` of the elements with these distinct ids, all of them ends of relationships."""
+        return self.shape.join(ids.select("id").hint("shuffle_hash"), "id", "left_semi")
+
+    @property
+    def holders(self) -> DataFrame:
+        """id, element_type and parent_id of the elements that hold others; a source that knows which kinds can may add some that hold nothing."""
+        held = self.shape.select(F.col("parent_id").alias("id")).where("id is not null").distinct()
+        return self.shape.select("id", "element_type", "parent_id").join(held, "id", "left_semi")
+
     @cached_property
     def holder_paths(self) -> DataFrame:
-        """id, path (root to itself) and types along it of each element that holds others; path is null where a cycle of parents makes none.
+        """id, path (root to itself) and types along it of each of the `holders`; path is null where a cycle of parents makes none.
 
         One self join a level of the forest, of these elements only: most are leaves and hold nothing.
         """
-        held = self.elements.select(F.col("parent_id").alias("id")).where("id is not null").distinct()
-        e = materialize(self.elements.select("id", "element_type", "parent_id").join(held, "id", "left_semi"), "holders")
+        e = materialize(self.holders, "holders")
         roots = e.join(e.select(F.col("id").alias("parent")), F.col("parent_id") == F.col("parent"), "left_anti")
         level = materialize(roots.select("id", F.array("id").alias("path"), F.array("element_type").alias("types")), "holder-levels")
         done = level
@@ -63,7 +79,7 @@ class Graph:
         grown = lambda above, c: F.when(F.col(above).isNull(), F.array(c)).otherwise(F.concat(above, F.array(c)))
         done = done.select("id", "element_type", "is_external", grown("above", "id").alias("path"), grown("types_above", "element_type").alias("types"))
         last = lambda test: F.expr("element_at(path, cast(greatest(1, size(types) - array_position(reverse(transform(types, t -> %s)), true) + 1) as int))" % test)
-        kinds = "t in ('Class','Interface','Struct','Record','Enum','Delegate')"
+        kinds = KINDS
         high = "t in ('Assembly','Namespace')"
         return done.withColumns(
             {
@@ -87,7 +103,7 @@ class Graph:
     def ends(self) -> DataFrame:
         """id, element_type, is_external and parent_id of the elements that have relationships."""
         ids = self.relationships.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-        return materialize(self.elements.select("id", "element_type", "is_external", "parent_id").join(ids, "id", "left_semi"), "ends", codec="zstd", collect=True)
+        return materialize(self.ends_among(ids).select("id", "element_type", "is_external", "parent_id"), "ends", codec="zstd", collect=True)
 
     @cached_property
     def end_paths(self) -> DataFrame:
@@ -103,10 +119,29 @@ class Graph:
         """Types of the analyzed code."""
         return self.elements.where(is_type(F.col("element_type")) & ~F.col("is_external"))
 
+    @property
+    def type_ids(self) -> DataFrame:
+        """id of the `types`."""
+        return self.shape.where(is_type(F.col("element_type")) & ~F.col("is_external")).select("id")
+
+    @cached_property
+    def type_ends(self) -> DataFrame:
+        """id and nearest type, itself included, of the elements that have dependencies and are inside of types of the analyzed code."""
+        ids = self.deps.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        # the nearest type of what holds an element is its own, if it isn't a type
+        near = F.expr("element_at(path, cast(size(types) - array_position(reverse(transform(types, t -> %s)), true) + 1 as int))" % KINDS)
+        up = self.holder_paths.select(F.col("id").alias("parent_id"), F.when(F.exists("types", is_type), near).alias("above"), F.col("path").isNull().alias("lost"))
+        e = self.ends_among(ids).select("id", "element_type", "parent_id").join(up.hint("shuffle_hash"), "parent_id", "left").where("lost is null or not lost")
+        e = e.select("id", F.when(is_type(F.col("element_type")), F.col("id")).otherwise(F.col("above")).alias("type"))
+        own = self.type_ids.select(F.col("id").alias("type"))
+        return materialize(e.join(own.hint("shuffle_hash"), "type", "left_semi").select("id", "type"), "type-ends", codec="zstd", collect=True)
+
     @cached_property
     def type_edges(self) -> DataFrame:
         """Distinct (src, dst) between types of the analyzed code, from dependencies of anything inside them."""
-        return materialize(self._lifted("containing_type", self.types.select("id")), "type-edges", codec="zstd", collect=True)
+        at = lambda side, name: self.type_ends.select(F.col("id").alias(side), F.col("type").alias(name)).hint("shuffle_hash")
+        edges = self.deps.select("source_id", "target_id").join(at("source_id", "src"), "source_id").join(at("target_id", "dst"), "target_id")
+        return materialize(edges.where("src <> dst").select("src", "dst").distinct(), "type-edges", codec="zstd", collect=True)
 
     @cached_property
     def assembly_edges(self) -> DataFrame:
@@ -145,6 +180,10 @@ class DeferredGraph(Graph):
     def _made(self, name: str) -> DataFrame | None:
         return self._makers[name]() if name in self._makers else None
 
+    #: These have makers where the source has a shorter way to them than the stored elements, which are taken for `shape` once they are there.
+    ends_among = lambda self, ids: self._makers["ends_among"](ids) if "ends_among" in self._makers else Graph.ends_among(self, ids)
+    shape = property(lambda self: self._made("shape") if "shape" in self._makers and "elements" not in vars(self) else Graph.shape.fget(self))
+    holders = property(lambda self: self._made("holders") if "holders" in self._makers else Graph.holders.fget(self))
     elements = cached_property(lambda self: self._made("elements"))
     relationships = cached_property(lambda self: self._made("relationships"))
     metrics = cached_property(lambda self: self._made("metrics"))

@@ -79,7 +79,7 @@ def components(g: Graph) -> DataFrame:
 
 def condensed(g: Graph) -> tuple[DataFrame, DataFrame]:
     """(node, component, size) of all types, a type in no cycle being its own component; and the edges between components."""
-    types = g.types.select(F.col("id").alias("node"))
+    types = g.type_ids.select(F.col("id").alias("node"))
     named = types.join(components(g), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("component").agg(F.count("*").alias("size"))
     at = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
@@ -168,7 +168,7 @@ def feedback_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 def propagation(g: Graph) -> DataFrame:
     """One row: types, dependencies, propagation cost and cyclicity; all 0 below two types."""
-    n, e = g.types.count(), g.type_edges.count()
+    n, e = g.type_ids.count(), g.type_edges.count()
     reached = blast_radius(g).agg(F.coalesce(F.sum("blast_radius"), F.lit(0)).alias("r"))
     row = reached.join(components(g).agg(F.count("*").alias("c")), F.lit(True))  # two tables of one row
     cost, share = (F.col("r") / F.lit(float(n) * (n - 1)), F.col("c") / F.lit(float(n))) if n >= 2 else (F.lit(0.0), F.lit(0.0))
@@ -177,7 +177,7 @@ def propagation(g: Graph) -> DataFrame:
 
 def system_metrics(g: Graph) -> DataFrame:
     """One row: types, dependencies, propagation cost, cyclicity and feedback density; all 0 below two types."""
-    n, e = g.types.count(), g.type_edges.count()
+    n, e = g.type_ids.count(), g.type_edges.count()
     reached = blast_radius(g).agg(F.coalesce(F.sum("blast_radius"), F.lit(0)).alias("r"))
     cyclic = components(g).agg(F.count("*").alias("c"))
     back = feedback_edges(g.type_edges, components(g)).agg(F.count("*").alias("f"))

@@ -233,6 +233,36 @@ def test_propagation_orders_no_feedback(spark, monkeypatch):
     assert tuple(metrics.propagation(types(spark, [], "A")).first()) == (1, 0, 0.0, 0.0)
 
 
+def test_system_metrics_without_stored_elements(spark, tmp_path):
+    """The measures need no names of methods, so the registered graph isn't stored whole for them; keys that are null or of no part change nothing."""
+    line, part = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "part"))
+    key = F.when(F.expr("l_orderkey % 7 = 0 and l_linenumber % 2 = 0"), None).when(F.expr("l_orderkey % 11 = 0"), F.col("l_partkey") + 100_000).otherwise(F.col("l_partkey"))
+    line = line.withColumns({"l_partkey": key, "l_suppkey": F.when(F.expr("l_orderkey % 5 = 0"), None).otherwise(F.col("l_suppkey"))})
+    swapped = line.where("l_orderkey % 3 = 0").withColumns({"l_suppkey": F.col("l_partkey"), "l_partkey": F.lit(None).cast("long"), "l_quantity": F.lit(45.0)})
+    line.unionByName(swapped).write.parquet(f"{tmp_path}/lineitem.parquet")
+    part.unionByName(part.where("p_partkey in (3, 4)")).write.parquet(f"{tmp_path}/part.parquet")
+    g = code_graph(spark, str(tmp_path))
+    got = metrics.system_metrics(g).first()
+    assert "elements" not in vars(g), "all elements are stored"
+    plain = Graph(g.elements, g.relationships)
+    assert got == metrics.system_metrics(plain).first() and got["dependencies"] > 0
+    assert flat(g.type_edges, "src", "dst") == flat(plain.type_edges, "src", "dst")
+    assert flat(g.ends, "id", "element_type", "is_external", "parent_id") == flat(plain.ends, "id", "element_type", "is_external", "parent_id")
+    assert any(i.count(":") == 1 and i.startswith("M:") for i in flat(g.ends, "id"))
+
+
+def test_type_edges_of_nested_types_and_of_parents_in_a_circle(spark):
+    parts = [("T", "Assembly", None), ("A", "Class", "T"), ("I", "Class", "A"), ("i", "Method", "I"), ("a", "Method", "A"), ("l", "Method", "a"), ("B", "Class", "T"), ("b", "Method", "B"), ("f", "Method", "T"), ("X", "Class", "T", {"external": True}), ("x", "Method", "X")]
+    uses = [("i", "a"), ("l", "b"), ("b", "i"), ("f", "b"), ("b", "f"), ("b", "x"), ("x", "b"), ("a", "a"), ("p", "b"), ("q", "b"), ("b", "p"), ("B", "I"), ("o", "b"), ("s", "b")]
+    g = graph(spark, parts, [(s, "Uses", t) for s, t in uses])
+    circle = [("P", "Class", "p", "Q"), ("Q", "Class", "q", "P"), ("O", "Class", "o", "none"), ("S", "Class", "s", "S")]
+    rows = [r for e, kind, m, parent in circle for r in ((e, kind, e, e, parent, "Public", False, False, [], []), (m, "Method", m, m, e, "Public", False, False, [], []))]
+    g = Graph(g.elements.unionByName(spark.createDataFrame(rows, ELEMENTS)), g.relationships)
+    assert flat(g.type_edges, "src", "dst") == [("A", "B"), ("B", "I"), ("I", "A"), ("O", "B")]
+    lifted = g._lifted("containing_type", g.types.select("id"))
+    assert flat(g.type_edges, "src", "dst") == flat(lifted, "src", "dst")
+
+
 def test_cohesion_of_two_groups(spark):
     g = graph(spark, [("T", "Assembly", None), ("C", "Class", "T"), *[(m, "Method", "C") for m in "abcd"], ("k", "Method", "C", {"name": ".ctor"})], [("a", "Calls", "b"), ("c", "Calls", "d"), ("k", "Calls", "a"), ("k", "Calls", "c")])
     r = cohesion.type_cohesion(g).first()

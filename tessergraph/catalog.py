@@ -108,7 +108,7 @@ _REACH = ", reach AS (SELECT src, dst FROM type_edges UNION SELECT r.src, e.dst
 _graph("callers", lambda g: explore.callers(g, g.elements.where("startswith(full_name, 'ECONOMY.Brand#1')").select("id")).select("id"), ", up AS (SELECT r.source_id AS id FROM relationships r JOIN elements e ON e.id = r.target_id WHERE r.type = 'Calls' AND starts_with(e.full_name, 'ECONOMY.Brand#1') UNION SELECT r.source_id FROM up JOIN relationships r ON r.target_id = up.id AND r.type = 'Calls') SELECT id FROM up")
 _graph("inheritance_tree", lambda g: explore.inheritance_tree(g, _of(g, "Class")), ", types AS (SELECT id FROM elements WHERE element_type = 'Class'), up AS (SELECT id AS origin, id FROM types UNION SELECT up.origin, r.target_id FROM up JOIN relationships r ON r.source_id = up.id AND r.type IN ('Inherits', 'Implements')), down AS (SELECT id AS origin, id FROM types UNION SELECT d.origin, r.source_id FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements')) SELECT origin, id FROM up UNION SELECT origin, id FROM down")
 _graph("walk_inheritance", lambda g: explore.walk_inheritance(g, _of(g, "Class", "Method"), False), ", down AS (SELECT r.target_id AS origin, r.source_id AS id, 1 AS depth FROM relationships r WHERE r.type IN ('Inherits', 'Implements', 'Overrides') UNION SELECT d.origin, r.source_id, d.depth + 1 FROM down d JOIN relationships r ON r.target_id = d.id AND r.type IN ('Inherits', 'Implements', 'Overrides')) SELECT origin, id, min(depth) AS depth FROM down WHERE origin <> id GROUP BY 1, 2")
-_graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, _of(g, "Class")), ", up AS (SELECT source_id AS origin, target_id AS id FROM relationships WHERE type = 'Inherits' UNION SELECT u.origin, r.target_id FROM up u JOIN relationships r ON r.source_id = u.id AND r.type = 'Inherits'), tree AS (SELECT origin, id FROM up UNION SELECT a.origin, b.origin FROM up a JOIN up b ON b.id = a.id) SELECT origin AS container, id FROM tree WHERE origin <> id AND (origin, id) NOT IN (SELECT (origin, id) FROM up) AND (origin, id) NOT IN (SELECT (id, origin) FROM up)")
+_graph("forbidden_call_sources", lambda g: explore.forbidden_call_sources(g, g.shape.where("element_type = 'Class'").select("id")), ", up AS (SELECT source_id AS origin, target_id AS id FROM relationships WHERE type = 'Inherits' UNION SELECT u.origin, r.target_id FROM up u JOIN relationships r ON r.source_id = u.id AND r.type = 'Inherits'), tree AS (SELECT origin, id FROM up UNION SELECT a.origin, b.origin FROM up a JOIN up b ON b.id = a.id) SELECT origin AS container, id FROM tree WHERE origin <> id AND (origin, id) NOT IN (SELECT (origin, id) FROM up) AND (origin, id) NOT IN (SELECT (id, origin) FROM up)")
 _graph("paths_between", lambda g: explore.paths_between(g, _of(g, "Assembly"), 5))
 _graph("path_chains", lambda g: explore.chains(explore.paths_between(g, _of(g, "Assembly"), 5)))
 _graph("follow_callers", lambda g: explore.follow_callers(g, _of(g, "Method")))

@@ -56,6 +56,11 @@ class Graph:
         held = self.shape.select(F.col("parent_id").alias("id")).where("id is not null").distinct()
         return self.shape.select("id", "element_type", "parent_id").join(held, "id", "left_semi")
 
+    @property
+    def inherits(self) -> DataFrame:
+        """Distinct (src, dst) of what inherits and from what; a source may have a shorter way to them than all relationships."""
+        return self.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+
     @cached_property
     def holder_paths(self) -> DataFrame:
         """id, path (root to itself) and types along it of each of the `holders`; path is null where a cycle of parents makes none.
@@ -180,10 +185,11 @@ class DeferredGraph(Graph):
     def _made(self, name: str) -> DataFrame | None:
         return self._makers[name]() if name in self._makers else None
 
-    #: These have makers where the source has a shorter way to them than the stored elements, which are taken for `shape` once they are there.
+    #: These have makers where the source has a shorter way to them than the stored frames, which are taken for `shape` and `inherits` once they are there.
     ends_among = lambda self, ids: self._makers["ends_among"](ids) if "ends_among" in self._makers else Graph.ends_among(self, ids)
     shape = property(lambda self: self._made("shape") if "shape" in self._makers and "elements" not in vars(self) else Graph.shape.fget(self))
     holders = property(lambda self: self._made("holders") if "holders" in self._makers else Graph.holders.fget(self))
+    inherits = property(lambda self: self._made("inherits") if "inherits" in self._makers and "relationships" not in vars(self) else Graph.inherits.fget(self))
     elements = cached_property(lambda self: self._made("elements"))
     relationships = cached_property(lambda self: self._made("relationships"))
     metrics = cached_property(lambda self: self._made("metrics"))

@@ -156,13 +156,45 @@ def inheritance_tree(g: Graph, ids: DataFrame) -> DataFrame:
     return found.select("origin", F.col("node").alias("id")).distinct()
 
 
-def _hierarchies_kernel(t: pa.Table) -> pa.Table:
-    """One row of all inheritance: names of its classes, who inherits from whom, which are asked for and which can be results."""
+def _listed(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ends of each node begin, and the ends."""
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(n + 1)).astype("int32"), b[order].astype("int32")
+
+
+def _next(front: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each node of a front has, and all of that in a row."""
+    many = at[front + 1] - at[front]
+    return many, to[np.repeat(at[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+
+def _hierarchies_kernel(t: pa.Table, parts: int) -> pa.Table:
+    """One row of all inheritance: names of its classes, who inherits from whom, which are asked for and which can be results.
+
+    Those asked for are in the order of their hierarchies and cut into parts of about equal results, so that
+    a task has few hierarchies: it finds the classes of each once, and the files it writes need few names.
+    Not `grounded` is what has a circle above, which makes no order.
+    """
     mark = t["mark"].to_numpy()
     names, src, dst = numbered(t["src"].filter(pa.array(mark == 0)), t["dst"].filter(pa.array(mark == 0)))
     asked, kinds = (np.sort(pc.index_in(t["src"].filter(pa.array(mark == k)), names).drop_null().to_numpy()) for k in (1, 2))
-    packed = [pa.array([a.astype("int32").tobytes()], pa.binary()) for a in (src, dst, asked, kinds)]
-    return pa.table([pa.array([names.to_pylist()], pa.list_(pa.string())), *packed], names=["names", "src", "dst", "asked", "kinds"])
+    n = len(names)
+    at, to = _listed(dst, src, n)
+    waits, top = np.bincount(src, minlength=n), np.full(n, n)
+    front = np.flatnonzero(waits == 0)
+    top[front] = front
+    while len(front):
+        many, near = _next(front, at, to)
+        np.minimum.at(top, near, np.repeat(top[front], many))
+        np.subtract.at(waits, near, 1)
+        near = np.unique(near)
+        front = near[waits[near] == 0]
+    top[waits > 0] = n
+    asked = asked[np.argsort(top[asked], kind="stable")]
+    load = np.cumsum(np.bincount(top, minlength=n + 1)[top[asked]])
+    cuts = np.r_[0, np.searchsorted(load, np.arange(1, parts) * (load[-1] / parts if len(load) else 0)), len(asked)]
+    packed = [pa.array([a.astype(kind).tobytes()], pa.binary()) for a, kind in ((src, "int32"), (dst, "int32"), (asked, "int32"), (cuts, "int32"), (kinds, "int32"), (waits == 0, "bool"))]
+    return pa.table([pa.array([names.to_pylist()], pa.list_(pa.string())), *packed], names=["names", "src", "dst", "asked", "cuts", "kinds", "grounded"])
 
 
 #: Rows of a batch of pairs that a task hands on.
@@ -170,55 +202,66 @@ PAIR_ROWS = 1 << 16
 
 
 def _forbidden_kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each task's share of the containers: what descends from a container's bases, without its bases, what descends from it and itself."""
+    """Pairs of each task's share of the containers: what descends from a container's bases, without its bases, what descends from it and itself.
+
+    Whatever descends from the bases descends from the topmost of them, so it is found once for all containers that have the same.
+    """
     for batch in batches:
         for row in range(batch.num_rows):
-            part, parts = batch["part"][row].as_py(), batch["parts"][row].as_py()
+            part = batch["part"][row].as_py()
             names = batch["names"][row].values
-            src, dst, asked, kinds = (np.frombuffer(batch[c][row].as_py(), "int32") for c in ("src", "dst", "asked", "kinds"))
+            src, dst, asked, cuts, kinds = (np.frombuffer(batch[c][row].as_py(), "int32") for c in ("src", "dst", "asked", "cuts", "kinds"))
+            grounded = np.frombuffer(batch["grounded"][row].as_py(), "bool")
             seen, can = np.zeros(len(names), bool), np.zeros(len(names), bool)
             can[kinds] = True
-
-            def listed(a: np.ndarray, b: np.ndarray, n: int = len(names)) -> tuple[np.ndarray, np.ndarray]:
-                order = np.argsort(a, kind="stable")
-                return np.searchsorted(a[order], np.arange(n + 1)), b[order]
-
-            def reached(front: np.ndarray, way: tuple[np.ndarray, np.ndarray], seen: np.ndarray = seen) -> np.ndarray:
-                """Marks and returns what wasn't seen before on the way from some nodes."""
-                at, to = way
-                found = [front[:0]]
+            up, down = _listed(src, dst, len(names)), _listed(dst, src, len(names))
+            up_at, up_to, down_at, down_to = (memoryview(a) for a in (*up, *down))
+
+            def reached(c: int, at: memoryview, to: memoryview) -> set[int]:
+                found, way = set(), [c]
+                while way:
+                    v = way.pop()
+                    for x in to[at[v] : at[v + 1]]:
+                        if x not in found:
+                            found.add(x)
+                            way.append(x)
+                return found
+
+            def hierarchy(tops: list[int], seen: np.ndarray = seen, can: np.ndarray = can, down: tuple[np.ndarray, np.ndarray] = down) -> np.ndarray:
+                """What can be a result of some classes and all that descends from them."""
+                found = [front := np.array(tops, "int32")]
+                seen[front] = True
                 while len(front):
-                    many = at[front + 1] - at[front]
-                    near = to[np.repeat(at[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    near = _next(front, *down)[1]
                     front = np.unique(near[~seen[near]])
                     seen[front] = True
                     found.append(front)
-                return np.concatenate(found)
+                every = np.sort(np.concatenate(found))
+                seen[every] = False
+                return every[can[every]]
 
-            up, down = listed(src, dst), listed(dst, src)
-            pairs, n = [], 0
+            pairs, n, last, every = [], 0, None, None
 
             def out(pairs: list[tuple[int, np.ndarray]], names: pa.Array = names) -> pa.RecordBatch:
                 own = np.repeat([c for c, _ in pairs], [len(x) for _, x in pairs])
                 return pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(np.concatenate([x for _, x in pairs])))], names=["container", "id"])
 
-            for c in asked[part::parts]:
-                start = np.array([c], "int32")
-                seen[c] = True
-                bases = reached(start, up)
-                seen[bases] = False  # a base may be below as well, where classes inherit in a circle
-                below = reached(start, down)
-                seen[bases] = True
-                found = reached(bases, down)
-                for x in (start, bases, below, found):
-                    seen[x] = False
-                found = found[can[found]]
-                if len(found):
-                    pairs.append((c, found))
-                    n += len(found)
-                if n >= PAIR_ROWS:
-                    yield out(pairs)
-                    pairs, n = [], 0
+            for c in asked[cuts[part] : cuts[part + 1]].tolist():
+                bases = reached(c, up_at, up_to)
+                tops = sorted(x for x in bases if up_at[x] == up_at[x + 1]) if grounded[c] else sorted(bases)
+                if tops != last:
+                    last, every = tops, hierarchy(tops)
+                own = bases | reached(c, down_at, down_to) | {c}
+                own = np.fromiter(own, "int32", len(own))
+                seen[own] = True
+                found = every[~seen[every]]
+                seen[own] = False
+                for k in range(0, len(found), PAIR_ROWS):
+                    pairs.append((c, found[k : k + PAIR_ROWS]))
+                    n += len(pairs[-1][1])
+                    if n >= PAIR_ROWS:
+                        yield out(pairs)
+                        pairs, n = [], 0
             if n:
                 yield out(pairs)
 
@@ -229,18 +272,18 @@ def forbidden_call_sources(g: Graph, ids: DataFrame) -> DataFrame:
     A call on the current instance can't come from them. Of a graph whose inheritance a
     task can hold (`TASK_EDGES`) each task gets all of it and its share of the
     containers, and pairs go to the result without being stored or dealt out before.
+    An end that is null is none.
     """
-    step = g.relationships.where("type = 'Inherits'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    kinds = g.elements.where("element_type in ('Class', 'Struct', 'Record')").select(F.col("id").alias("node"))
-    step = materialize(step.distinct(), "inherits", collect=True)
+    kinds = g.shape.where("element_type in ('Class', 'Struct', 'Record')").select(F.col("id").alias("node"))
+    step = materialize(g.inherits.where("src is not null and dst is not null"), "inherits", collect=True)
     if step.count() <= TASK_EDGES:
         spark, of = step.sparkSession, lambda df, mark: df.select(F.col(df.columns[0]).alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(mark).alias("mark"))
         ends = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         # a class without bases has no such sources
-        rows = step.withColumn("mark", F.lit(0)).unionByName(of(_ids(ids).join(step.select(F.col("src").alias("id")), "id", "left_semi"), 1)).unionByName(of(kinds.join(ends, "node", "left_semi"), 2))
-        packed = materialize(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _hierarchies_kernel(t.drop_columns("all")), "names array<string>, src binary, dst binary, asked binary, kinds binary"), "hierarchies")
+        rows = step.withColumn("mark", F.lit(0)).unionByName(of(_ids(ids).join(step.select(F.col("src").alias("id")), "id", "left_semi"), 1)).unionByName(of(kinds.join(ends, "node", "left_semi").distinct(), 2))
         parts = 8 * max(1, spark.sparkContext.defaultParallelism)
-        each = spark.range(0, parts, 1, parts).select(F.col("id").alias("part"), F.lit(parts).alias("parts")).join(F.broadcast(packed), F.lit(True))  # one row
+        packed = materialize(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _hierarchies_kernel(t.drop_columns("all"), parts), "names array<string>, src binary, dst binary, asked binary, cuts binary, kinds binary, grounded binary"), "hierarchies")
+        each = spark.range(0, parts, 1, parts).select(F.col("id").alias("part")).join(F.broadcast(packed), F.lit(True))  # one row
         return each.mapInArrow(lambda b: _forbidden_kernel(b), "container string, id string")
     back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     starts = _ids(ids).select(F.col("id").alias("origin"), F.col("id").alias("node"))

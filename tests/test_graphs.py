@@ -214,6 +214,28 @@ def test_forbidden_sources_without_stored_pairs(spark, monkeypatch):
     assert flat(explore.forbidden_call_sources(g, ids(spark, "d")), "container", "id") == [p for p in joined if p[0] == "d"]
 
 
+def test_forbidden_sources_by_whole_hierarchies(spark, tmp_path, monkeypatch):
+    """Only the table that inheritance is in is read, and no graph is stored; a task has few hierarchies; what inherits from null has no siblings by it."""
+    stored = code_graph(spark, "/root/testdata/sf0.001")
+    edges = stored.relationships.where("type = 'Inherits'").selectExpr("source_id as src", "target_id as dst")
+    joined = explore.forbidden_call_sources(Graph(stored.elements, stored.relationships), stored.elements.where("element_type = 'Class'").select("id"))
+    (tmp_path / "sf").mkdir()
+    for name in ("part", "lineitem"):
+        (tmp_path / "sf" / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    monkeypatch.setattr("tessergraph.fixtures.materialize", lambda *_, **__: pytest.fail("a graph is stored"))
+    found = catalog.queries()["forbidden_call_sources"](spark, str(tmp_path / "sf"))
+    assert flat(found, "container", "id") == flat(joined, "container", "id")
+    g = code_graph(spark, str(tmp_path / "sf"))
+    assert not {f.rsplit("/", 1)[1] for f in g.inherits.inputFiles()} - {"part.parquet"} and flat(g.inherits, "src", "dst") == flat(edges, "src", "dst")
+
+    names = [f"{k:03}" for k in range(200)]  # even and odd ones are two hierarchies
+    g = graph(spark, [(x, "Class", None) for x in names], [*((x, "Inherits", names[(k - 2) // 4 * 2 + k % 2]) for k, x in enumerate(names) if k > 1), ("000", "Inherits", None), ("001", "Inherits", None)])
+    found = explore.forbidden_call_sources(g, g.elements.select("id"))
+    tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct(F.col("container").cast("int") % 2).alias("n")).collect()
+    assert len(tasks) > 2 and sum(r["n"] > 1 for r in tasks) < 2
+    assert not {(int(a) + int(b)) % 2 for a, b in flat(found, "container", "id")} - {0}
+
+
 def test_plain_text_joins_only_likely_relationships(spark):
     """Lines of elements aren't joined with what is defined above; an element line whose second word names a kind of relationship is read as before."""
     lines = ["Class C", "Class Uses x", "loc=a.cs:1,2", "C Uses Uses", "Class Calls C"]
